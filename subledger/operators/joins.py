@@ -1,0 +1,39 @@
+"""Join patterns with SQL's NULL semantics kept exact.
+
+``x NOT IN (subquery)`` is NULL -- so the row is dropped -- as soon as the
+subquery holds a NULL, and true for every row when it is empty.  Spark plans
+it as a null-aware anti join that always broadcasts the subquery side, even
+when that side is large.  :func:`not_in` keeps the semantics with a plain
+anti join (shuffled or broadcast, as the optimizer decides from sizes) and a
+one-row statistics frame, which is the only thing broadcast.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def semi(df: DataFrame, keys: DataFrame, col: str, key_col: str | None = None) -> DataFrame:
+    """``df where col IN (select key_col from keys)``."""
+    key_col = key_col or col
+    k = keys.select(F.col(key_col).alias("__semi_k"))
+    return df.join(k, df[col] == k["__semi_k"], "left_semi")
+
+
+def not_in(df: DataFrame, keys: DataFrame, col: str, key_col: str | None = None) -> DataFrame:
+    """``df where col NOT IN (select key_col from keys)`` with SQL NULL logic."""
+    key_col = key_col or col
+    k = keys.select(F.col(key_col).alias("__ni_k"))
+    stats = k.agg(
+        F.count(F.lit(1)).alias("__ni_n"),
+        F.count_if(F.col("__ni_k").isNull()).alias("__ni_nulls"),
+    )
+    # One row: broadcast it and decide per row without touching the key list.
+    tagged = df.crossJoin(F.broadcast(stats))
+    empty = tagged.where(F.col("__ni_n") == 0).drop("__ni_n", "__ni_nulls")
+    nonempty = tagged.where((F.col("__ni_n") > 0) & (F.col("__ni_nulls") == 0) & F.col(col).isNotNull()).drop(
+        "__ni_n", "__ni_nulls"
+    )
+    kept = nonempty.join(k.where(F.col("__ni_k").isNotNull()), nonempty[col] == F.col("__ni_k"), "left_anti")
+    return empty.unionByName(kept)

@@ -1,0 +1,31 @@
+"""Emit a row ``n`` times from a count, in bounded pieces.
+
+When a result is "every A of a group paired with every B of the group",
+the output size is fixed by the query; what must not happen is building the
+pairs with a join inside one task.  Callers count A and B per group and
+call :func:`replicate` with ``n = count_a * count_b``.  Rows are produced in
+chunks of at most ``chunk`` copies, and the chunks are spread over tasks
+before they are expanded, so no task builds an array or a partition whose
+size grows with ``n``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+DEFAULT_CHUNK = 100_000
+
+
+def replicate(df: DataFrame, count_col: str, chunk: int = DEFAULT_CHUNK) -> DataFrame:
+    """Every row repeated ``count_col`` times (rows with 0 or NULL vanish); drops ``count_col``."""
+    n = F.col(count_col).cast("long")
+    keep = [c for c in df.columns if c != count_col]
+    pieces = df.where(n > 0).select(
+        *keep,
+        n.alias("__rep_n"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / chunk).cast("long"))).alias("__rep_piece"),
+    )
+    pieces = pieces.repartition(*[F.col(c) for c in keep], F.col("__rep_piece"))
+    size = F.least(F.lit(chunk).cast("long"), F.col("__rep_n") - F.col("__rep_piece") * chunk)
+    return pieces.select(*keep, F.explode(F.sequence(F.lit(1).cast("long"), size)).alias("__rep_i")).drop("__rep_i")
