@@ -16,6 +16,16 @@ third of the data.  Here the groups are split in two:
 
 The result is exact either way: the split only decides *where* a group's
 positions are computed, never *which* rows take part.
+
+The range-partitioned rows are written once with ``checkpoint()`` (to the
+session's checkpoint folder, shared storage on a cluster) before the local
+sums and the per-partition totals read them.  Both then see the same
+partition ids even if an executor is lost: range bounds come from a sample,
+and a recomputed sample need not equal the first one.
+
+Whether any group is hot is decided by a probe (one aggregation over the
+group keys, usually of a slimmer ``key_source``); without hot groups the
+operator is exactly one window.
 """
 
 from __future__ import annotations
@@ -70,6 +80,8 @@ def _ranged_running(
     """Running sum of ``_V`` over range partitions plus offsets of earlier partitions."""
     keys = [F.col(c) for c in group_cols] + [F.col(c) if isinstance(c, str) else c for c in order_cols]
     ranged = df.repartitionByRange(num_partitions, *keys).withColumn(_PID, F.spark_partition_id())
+    # Pin rows to their partition id in shared storage (see module notes).
+    ranged = ranged.checkpoint(eager=True)
     local_w = (
         Window.partitionBy(_PID, *group_cols)
         .orderBy(*order_cols)
@@ -122,16 +134,17 @@ def running_sum(
     hot_keys = (
         src.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("__rs_n")).where(F.col("__rs_n") > hot_rows).select(*group_cols)
     )
+    w = Window.partitionBy(*group_cols).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if hot_keys.isEmpty():
+        return base.withColumn(out_col, F.sum(_V).over(w)).drop(_V)
+
     # At most (rows / hot_rows) keys can pass the filter: safe to broadcast.
     hot_keys = F.broadcast(_renamed(hot_keys, group_cols, "__h_").withColumn("__rs_hot", F.lit(True)))
     marked = base.join(hot_keys, _null_safe_on(base, hot_keys, group_cols, "__h_"), "left").select(
         *[base[c] for c in base.columns], hot_keys["__rs_hot"]
     )
-
     cold = marked.where(F.col("__rs_hot").isNull()).drop("__rs_hot")
-    w = Window.partitionBy(*group_cols).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cold = cold.withColumn(out_col, F.sum(_V).over(w)).drop(_V)
-
     hot = marked.where(F.col("__rs_hot")).drop("__rs_hot")
     hot = _ranged_running(hot, group_cols, order_cols, out_col, nparts)
     return cold.unionByName(hot)
