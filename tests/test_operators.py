@@ -156,6 +156,9 @@ def test_business_date_dst_and_session_zone(spark):
         ("2023-01-01 23:00:00", "2023-01-02"),
         ("2023-10-28 21:59:59", "2023-10-28"),
         ("2023-10-28 22:00:00", "2023-10-29"),
+        # inside New York's spring-forward gap: must not shift with the session zone
+        ("2023-03-12 02:30:00", "2023-03-12"),
+        ("2023-03-11 22:59:59.5", "2023-03-11"),
     ]
     df = spark.createDataFrame([(a,) for a, _ in cases], "s string").select(F.to_timestamp_ntz("s").alias("ts"), "s")
     for zone in ("UTC", "America/New_York", "Asia/Tokyo"):
