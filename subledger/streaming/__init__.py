@@ -1 +1,5 @@
-"""streaming."""
+"""Structured Streaming: incremental L0 -> L1 ingestion of new extract files."""
+
+from subledger.streaming.ingest import l1_stream, read_extract_stream, start_l1_ingest
+
+__all__ = ["l1_stream", "read_extract_stream", "start_l1_ingest"]
