@@ -51,7 +51,8 @@ def quantiles(
     # Each distinct value covers the 1-based ranks (hi - c, hi].
     ranked = running_sum(counted, [], [F.col(_X)], F.col(_C), _HI, num_partitions=num_partitions)
 
-    n = counted.agg(F.sum(_C).alias("__q_n"))
+    # Total count from the (checkpointed) ranked table: no second pass over the input.
+    n = ranked.agg(F.sum(_C).alias("__q_n"))
     parts = []
     for i, p in enumerate(probs):
         p = float(p)

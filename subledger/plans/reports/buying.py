@@ -67,11 +67,15 @@ def revenue_segments(
     """Contracts in segments cut at global (interpolated) revenue percentiles.
 
     The cut points come from the distributed exact quantile operator as a
-    single row, broadcast to every partition of the per-contract table.
+    single row, broadcast to every partition of the per-contract table.  The
+    per-contract table is checkpointed (reliable, shared folder) because
+    both the cut points and the tagging read it.
     """
     if len(labels) != len(percentiles) + 1:
         raise ValueError("need one more label than percentiles")
-    per = revenue_per_paying_contract(l2_invoice, l2_product_purchase, digits)
+    # One row per paying contract, read twice below (cut points, tagging):
+    # written once to the checkpoint folder so the invoice table is scanned once.
+    per = revenue_per_paying_contract(l2_invoice, l2_product_purchase, digits).checkpoint(eager=True)
     names = [f"__t{i}" for i in range(len(percentiles))]
     cuts = quantiles(per, "total_revenue", percentiles, names, method="cont")
     seg = None
