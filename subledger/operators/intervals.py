@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from subledger.operators.running import running_sum
+from subledger.operators.running import find_hot_keys, running_sum
 
 _DAY, _KIND, _W, _SIGN = "__iv_day", "__iv_kind", "__iv_w", "__iv_sign"
 _P, _S = "__iv_p", "__iv_s"
@@ -66,8 +66,11 @@ def intervals_hit_by_other_points(
     events = point_ev.unionByName(start_ev).unionByName(end_ev)
 
     order = [F.col(_DAY), F.col(_KIND)]
-    events = running_sum(events, [group_col], order, F.col(_W), _P, **skew)
-    events = running_sum(events, [group_col, id_col], order, F.col(_W), _S, **skew)
+    # One probe for both sweeps: a (group, id) slice is only hot inside a hot group.
+    hot = find_hot_keys(events.select(group_col), [group_col], skew.get("hot_rows"))
+    kw = {k: v for k, v in skew.items() if k != "hot_rows"}
+    events = running_sum(events, [group_col], order, F.col(_W), _P, hot_keys=hot, **kw)
+    events = running_sum(events, [group_col, id_col], order, F.col(_W), _S, hot_keys=hot, **kw)
 
     # Points of other ids inside [lo, hi] = (P(hi) - P(lo-)) - (S(hi) - S(lo-)).
     inside = (

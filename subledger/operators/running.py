@@ -103,6 +103,22 @@ def _ranged_running(
     return out
 
 
+def find_hot_keys(src: DataFrame, key_cols: Sequence[str], hot_rows: int | None = None) -> DataFrame | None:
+    """Keys with more than ``hot_rows`` rows in ``src``, or None if there are none.
+
+    One aggregation (partial counts per task) and an emptiness probe.  At
+    most ``rows / hot_rows`` keys can qualify, which bounds the broadcast.
+    """
+    hot_rows = hot_rows if hot_rows is not None else hot_rows_setting(src)
+    hot = (
+        src.groupBy(*key_cols).agg(F.count(F.lit(1)).alias("__rs_n")).where(F.col("__rs_n") > hot_rows).select(*key_cols)
+    )
+    return None if hot.isEmpty() else hot
+
+
+_PROBE = object()
+
+
 def running_sum(
     df: DataFrame,
     group_cols: Sequence[str],
@@ -112,14 +128,17 @@ def running_sum(
     *,
     hot_rows: int | None = None,
     key_source: DataFrame | None = None,
+    hot_keys=_PROBE,
     num_partitions: int | None = None,
 ) -> DataFrame:
     """Add ``out_col`` = inclusive running sum of ``value`` within each group.
 
     ``order_cols`` should give a total order (add tie-breaks), otherwise rows
     that tie are numbered in an arbitrary order, as with any ROWS frame.
-    ``key_source`` (optional) is a cheaper frame with the same group-key
-    distribution used to find hot groups, e.g. the fact table before a join.
+    Hot groups are found by probing ``key_source`` (default: ``df``), e.g.
+    the fact table before a join, or passed in as ``hot_keys`` (a frame over
+    a prefix of ``group_cols`` -- coarser keys are fine, every group still
+    lands wholly on one side -- or None for "no hot groups").
     With no ``group_cols`` the whole frame is one group and is always
     range-partitioned.
     """
@@ -129,19 +148,19 @@ def running_sum(
     if not group_cols:
         return _ranged_running(base, [], order_cols, out_col, nparts)
 
-    hot_rows = hot_rows if hot_rows is not None else hot_rows_setting(df)
-    src = key_source if key_source is not None else df
-    hot_keys = (
-        src.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("__rs_n")).where(F.col("__rs_n") > hot_rows).select(*group_cols)
-    )
+    if hot_keys is _PROBE:
+        src = key_source if key_source is not None else df
+        hot_keys = find_hot_keys(src, group_cols, hot_rows)
     w = Window.partitionBy(*group_cols).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    if hot_keys.isEmpty():
+    if hot_keys is None:
         return base.withColumn(out_col, F.sum(_V).over(w)).drop(_V)
 
-    # At most (rows / hot_rows) keys can pass the filter: safe to broadcast.
-    hot_keys = F.broadcast(_renamed(hot_keys, group_cols, "__h_").withColumn("__rs_hot", F.lit(True)))
-    marked = base.join(hot_keys, _null_safe_on(base, hot_keys, group_cols, "__h_"), "left").select(
-        *[base[c] for c in base.columns], hot_keys["__rs_hot"]
+    key_cols = list(hot_keys.columns)
+    if key_cols != group_cols[: len(key_cols)]:
+        raise ValueError("hot_keys must be keyed by a prefix of group_cols")
+    hk = F.broadcast(_renamed(hot_keys, key_cols, "__h_").withColumn("__rs_hot", F.lit(True)))
+    marked = base.join(hk, _null_safe_on(base, hk, key_cols, "__h_"), "left").select(
+        *[base[c] for c in base.columns], hk["__rs_hot"]
     )
     cold = marked.where(F.col("__rs_hot").isNull()).drop("__rs_hot")
     cold = cold.withColumn(out_col, F.sum(_V).over(w)).drop(_V)
