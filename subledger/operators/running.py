@@ -51,12 +51,6 @@ def hot_rows_setting(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(HOT_ROWS_CONF, str(DEFAULT_HOT_ROWS)))
 
 
-def _num_partitions(df: DataFrame, n: int | None) -> int:
-    if n:
-        return n
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def _renamed(df: DataFrame, cols: Sequence[str], prefix: str) -> DataFrame:
     """Give the key columns fresh names so a join back to the same lineage is unambiguous."""
     return df.select(*[F.col(c).alias(prefix + c) if c in cols else F.col(c) for c in df.columns])
@@ -75,11 +69,17 @@ def _ranged_running(
     group_cols: Sequence[str],
     order_cols: Sequence[Column | str],
     out_col: str,
-    num_partitions: int,
+    num_partitions: int | None,
 ) -> DataFrame:
-    """Running sum of ``_V`` over range partitions plus offsets of earlier partitions."""
+    """Running sum of ``_V`` over range partitions plus offsets of earlier partitions.
+
+    Without an explicit partition count the range exchange is left to AQE,
+    which merges adjacent (still ordered) partitions of small inputs; the
+    checkpoint then fixes whichever partition ids result.
+    """
     keys = [F.col(c) for c in group_cols] + [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    ranged = df.repartitionByRange(num_partitions, *keys).withColumn(_PID, F.spark_partition_id())
+    ranged = df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys)
+    ranged = ranged.withColumn(_PID, F.spark_partition_id())
     # Pin rows to their partition id in shared storage (see module notes).
     ranged = ranged.checkpoint(eager=True)
     local_w = (
@@ -144,7 +144,7 @@ def running_sum(
     """
     group_cols = list(group_cols)
     base = df.withColumn(_V, value)
-    nparts = _num_partitions(df, num_partitions)
+    nparts = num_partitions
     if not group_cols:
         return _ranged_running(base, [], order_cols, out_col, nparts)
 

@@ -49,9 +49,11 @@ def test_running_sum_hot_path_values(spark):
         assert abs(want[(r.g, r.k)] - r.run) < 1e-9
 
 
-def test_running_sum_without_groups(spark):
-    df = spark.range(0, 500).select(((F.col("id") * 37) % 500).alias("x"))
-    got = running_sum(df, [], [F.col("x")], F.lit(1), "n", num_partitions=6)
+@pytest.mark.parametrize("nparts", [6, None])
+def test_running_sum_without_groups(spark, nparts):
+    # None: partition count left to AQE (adjacent range partitions merged)
+    df = spark.range(0, 5000, numPartitions=8).select(((F.col("id") * 37) % 5000).alias("x"))
+    got = running_sum(df, [], [F.col("x")], F.lit(1), "n", num_partitions=nparts)
     assert all(r.n == r.x + 1 for r in got.collect())
 
 
