@@ -30,6 +30,29 @@ MATERIALIZED = (
 )
 
 
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """Make ``DataFrame.checkpoint()`` write to the session's shared folder.
+
+    Uses ``spark.checkpoint.dir`` (or an already set context directory).  Only
+    a local-mode session with neither gets a fresh temporary folder, as in
+    tests; a cluster session without one is an error, never a local path.
+    """
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    conf = spark.conf.get("spark.checkpoint.dir", None)
+    if conf:
+        sc.setCheckpointDir(conf)
+    elif sc.master.startswith("local"):
+        import tempfile
+
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="subledger-ckpt-"))
+    else:
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return sc.getCheckpointDir()
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir`` (set only if unset)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
@@ -48,10 +71,12 @@ class Warehouse:
     # ---------------------------------------------------------------- builders
     @classmethod
     def from_testdata(cls, spark: SparkSession, sf_dir: str) -> Warehouse:
+        ensure_checkpoint_dir(spark)
         return cls(testdata.l0_from_testdata(spark, sf_dir))
 
     @classmethod
     def from_csv(cls, spark: SparkSession, folder: str, files: dict[str, str] | None = None) -> Warehouse:
+        ensure_checkpoint_dir(spark)
         return cls(csv_source.read_l0(spark, folder, files))
 
     @property

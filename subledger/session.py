@@ -6,8 +6,6 @@ only adds what the jobs rely on and never overrides a value already set.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # Settings the plans are designed around.
@@ -17,6 +15,12 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Size-driven coalescing: merge shuffle partitions up to the advisory size
+    # instead of keeping them small for parallelism; with a high
+    # spark.sql.shuffle.partitions on a cluster this yields ~128 MB tasks
+    # that fit executor memory without spilling, at any scale factor.
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     # Never start the web UI from a job.
     "spark.ui.enabled": "false",
 }
@@ -42,6 +46,7 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "suble
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="subledger-ckpt-"))
+    from subledger.plans.warehouse import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
     return spark
