@@ -28,6 +28,8 @@ MATERIALIZED = (
     "l3_invoice",
     "l3_pp_product_contract",
 )
+# Report tables the source warehouse also keeps as tables.
+REPORT_TABLES = ("l3_contract_duration_bins", "l3_invoice_pp")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -144,9 +146,28 @@ class Warehouse:
     def l3_pp_contract(self) -> DataFrame:
         return layers.l3_pp_contract(self.l3_pp_product_contract)
 
+    # ----------------------------------------------------- L3 report tables
+    @property
+    def l3_contract_duration_bins(self) -> DataFrame:
+        """Distinct contracts per duration bin (the final labels)."""
+        from subledger.plans.reports import churn
+
+        return self._table("l3_contract_duration_bins", lambda: churn.contract_duration_bins(self.l3_pp_product_contract))
+
+    @property
+    def l3_invoice_pp(self) -> DataFrame:
+        """Paying contracts in revenue segments."""
+        from subledger.plans.reports import buying
+
+        return self._table("l3_invoice_pp", lambda: buying.revenue_segments(self.l2_invoice, self.l2_product_purchase))
+
     # ------------------------------------------------------------ persistence
     def materialize(self, folder: str | None = None, tables=MATERIALIZED) -> str:
-        """Write the table layers as Parquet and switch to reading them back."""
+        """Write the table layers as Parquet and switch to reading them back.
+
+        Pass ``tables=MATERIALIZED + REPORT_TABLES`` to also persist the two
+        report tables (written after the layers they read).
+        """
         folder = folder or f"{checkpoint_folder(self.spark)}/warehouse-{uuid.uuid4().hex[:12]}"
         for name in tables:
             df = getattr(self, name)

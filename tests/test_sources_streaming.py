@@ -39,11 +39,16 @@ def test_warehouse_from_csv_equals_from_tables(spark):
 
 
 def test_materialize_reads_back_same_tables(spark):
+    from subledger.plans.warehouse import MATERIALIZED, REPORT_TABLES
+
     w = Warehouse.from_testdata(spark, SF_SMALL)
     before = _bag(w.l3_invoice)
-    folder = w.materialize()
+    bins = _bag(w.l3_contract_duration_bins)
+    folder = w.materialize(tables=MATERIALIZED + REPORT_TABLES)
     assert folder
     assert _bag(w.l3_invoice) == before
+    assert _bag(w.l3_contract_duration_bins) == bins
+    assert sorted(w.l3_invoice_pp.columns) == ["num_customers", "revenue_segment", "total_purchases", "total_revenue"]
 
 
 def test_streaming_ingest_is_incremental(spark):
