@@ -179,3 +179,19 @@ def row_position(
     """1-based ``row_number()`` within each group (ties numbered consecutively)."""
     out = running_sum(df, group_cols, order_cols, F.lit(1), out_col, **kw)
     return out.withColumn(out_col, F.col(out_col).cast("int"))
+
+
+def ranged_row_position(
+    df: DataFrame,
+    group_cols: Sequence[str],
+    order_cols: Sequence[Column | str],
+    out_col: str,
+    num_partitions: int | None = None,
+) -> DataFrame:
+    """``row_number()`` for frames whose groups are all known to be hot.
+
+    Skips the probe and the hot/cold split: every row goes through the
+    range-partitioned path.
+    """
+    out = _ranged_running(df.withColumn(_V, F.lit(1)), list(group_cols), order_cols, out_col, num_partitions)
+    return out.withColumn(out_col, F.col(out_col).cast("int"))

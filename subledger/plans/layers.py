@@ -28,7 +28,7 @@ from subledger.functions import (
     net_of_vat,
     with_vat,
 )
-from subledger.operators.running import row_position
+from subledger.operators.running import find_hot_keys, ranged_row_position, row_position
 
 # ----------------------------------------------------------------- L1 views
 
@@ -164,38 +164,51 @@ INVOICE_ORDER_KEYS = (
 )
 
 
-def l2_invoice(l1_invoice_df: DataFrame, l2_contract_df: DataFrame, vat_rate: float = VAT_RATE, **skew) -> DataFrame:
+def l2_invoice(l1_invoice_df: DataFrame, l2_contract_df: DataFrame, vat_rate: float = VAT_RATE, hot_rows: int | None = None) -> DataFrame:
     """Issued invoices of L2 contracts, net of VAT, numbered per contract.
 
     Inner join on contract id (repeated contract rows fan out, as in SQL).
-    The join shuffles both sides on ``contract_id``; the numbering reuses
-    that partitioning, and contracts too big for one task are numbered by
-    the range-partitioned path of :func:`row_position`.
+    A probe on the invoice keys finds contracts too big for one task; the
+    invoices are split *before* the join so every row is shuffled once:
+
+    * cold contracts: sort-merge join on ``contract_id``, and the numbering
+      window reuses that partitioning (no further exchange);
+    * hot contracts (at most rows / ``hot_rows`` of them): their few contract
+      rows are broadcast to the hot invoices, which are then numbered on the
+      range-partitioned path of :func:`ranged_row_position`.
     """
     inv = l1_invoice_df.where((F.col("invoice_type") == "invoice") & F.col("flag_invoice_issued"))
     contracts = l2_contract_df.select(F.col("contract_id").alias("__c_id"))
-    joined = inv.join(contracts, inv["contract_id"] == contracts["__c_id"], "inner").select(
-        "invoice_id",
-        "contract_id",
-        "date_issue",
-        "due_date",
-        "paid_date",
-        "start_date",
-        "end_date",
-        "amount_w_vat",
-        net_of_vat("amount_w_vat", vat_rate).alias("amount_wo_vat"),
-        "date_insert",
-        "update_date",
-        "branch_id",
-    )
-    return row_position(
-        joined,
-        ["contract_id"],
-        [F.col(c).asc_nulls_first() for c in INVOICE_ORDER_KEYS],
-        "invoice_order",
-        key_source=inv.select("contract_id"),
-        **skew,
-    )
+    order = [F.col(c).asc_nulls_first() for c in INVOICE_ORDER_KEYS]
+
+    def joined(i: DataFrame, c: DataFrame) -> DataFrame:
+        return i.join(c, i["contract_id"] == c["__c_id"], "inner").select(
+            "invoice_id",
+            "contract_id",
+            "date_issue",
+            "due_date",
+            "paid_date",
+            "start_date",
+            "end_date",
+            "amount_w_vat",
+            net_of_vat("amount_w_vat", vat_rate).alias("amount_wo_vat"),
+            "date_insert",
+            "update_date",
+            "branch_id",
+        )
+
+    hot = find_hot_keys(inv.select("contract_id"), ["contract_id"], hot_rows)
+    if hot is None:
+        return row_position(joined(inv, contracts), ["contract_id"], order, "invoice_order", hot_keys=None)
+
+    hk = F.broadcast(hot.select(F.col("contract_id").alias("__h_id")))
+    inv_cold = inv.join(hk, inv["contract_id"] == hk["__h_id"], "left_anti")
+    inv_hot = inv.join(hk, inv["contract_id"] == hk["__h_id"], "left_semi")
+    # Contract rows of hot contracts: bounded by the hot-key list (times repeats).
+    hot_contracts = F.broadcast(contracts.join(hk, contracts["__c_id"] == hk["__h_id"], "left_semi"))
+    cold = row_position(joined(inv_cold, contracts), ["contract_id"], order, "invoice_order", hot_keys=None)
+    hot_part = ranged_row_position(joined(inv_hot, hot_contracts), ["contract_id"], order, "invoice_order")
+    return cold.unionByName(hot_part)
 
 
 def l2_product(l1_product_df: DataFrame, categories: Sequence[str] = SOLD_CATEGORIES) -> DataFrame:
