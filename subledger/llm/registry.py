@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import mix, shard
+from . import chat, mix, rules, secrets, shard
 
 QUERIES = {
+    "op3_risk_controlled_rules": rules.op3_risk_controlled_rules,
+    "op5_blob_ledger_scan": secrets.op5_blob_ledger_scan,
+    "op6_budgeted_windows": chat.op6_budgeted_windows,
     "op9_raked_mixture": mix.op9_raked_mixture,
     "op10_stratified_shards": shard.op10_stratified_shards,
 }
-ORACLE_SQL = {**mix.ORACLE}
+ORACLE_SQL = {**rules.ORACLE, **secrets.ORACLE, **chat.ORACLE, **mix.ORACLE}
