@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, mix, rules, secrets, shard
+from . import chat, mix, neardup, rules, secrets, shard
 
 QUERIES = {
+    "op1_bottomk_neardup": neardup.op1_bottomk_neardup,
     "op3_risk_controlled_rules": rules.op3_risk_controlled_rules,
     "op5_blob_ledger_scan": secrets.op5_blob_ledger_scan,
     "op6_budgeted_windows": chat.op6_budgeted_windows,
