@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from . import chat, mix, neardup, rules, secrets, shard
+from . import chat, decontam, mix, neardup, rules, secrets, shard
 
 QUERIES = {
     "op1_bottomk_neardup": neardup.op1_bottomk_neardup,
     "op3_risk_controlled_rules": rules.op3_risk_controlled_rules,
     "op5_blob_ledger_scan": secrets.op5_blob_ledger_scan,
     "op6_budgeted_windows": chat.op6_budgeted_windows,
+    "op8_suffix_automaton_decontamination": decontam.op8_suffix_automaton_decontamination,
     "op9_raked_mixture": mix.op9_raked_mixture,
     "op10_stratified_shards": shard.op10_stratified_shards,
 }
-ORACLE_SQL = {**rules.ORACLE, **secrets.ORACLE, **chat.ORACLE, **mix.ORACLE}
+ORACLE_SQL = {**rules.ORACLE, **secrets.ORACLE, **chat.ORACLE, **decontam.ORACLE, **mix.ORACLE}
