@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, mix, neardup, rules, secrets, shard
+from . import chat, decontam, mix, nbsvm, neardup, rules, secrets, shard
 
 QUERIES = {
     "op1_bottomk_neardup": neardup.op1_bottomk_neardup,
     "op3_risk_controlled_rules": rules.op3_risk_controlled_rules,
+    "op4_nbsvm_quality": nbsvm.op4_nbsvm_quality,
     "op5_blob_ledger_scan": secrets.op5_blob_ledger_scan,
     "op6_budgeted_windows": chat.op6_budgeted_windows,
     "op8_suffix_automaton_decontamination": decontam.op8_suffix_automaton_decontamination,
