@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, mix, nbsvm, neardup, rules, secrets, shard
+from . import chat, decontam, extract, mix, nbsvm, neardup, rules, secrets, shard
 
 QUERIES = {
     "op1_bottomk_neardup": neardup.op1_bottomk_neardup,
+    "op2_two_pass_blocks": extract.op2_two_pass_blocks,
     "op3_risk_controlled_rules": rules.op3_risk_controlled_rules,
     "op4_nbsvm_quality": nbsvm.op4_nbsvm_quality,
     "op5_blob_ledger_scan": secrets.op5_blob_ledger_scan,
