@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, extract, mix, nbsvm, neardup, rules, secrets, shard
+from . import chat, decontam, extract, mix, nbsvm, neardup, rules, secrets, shard, suffix
 
 QUERIES = {
     "op1_bottomk_neardup": neardup.op1_bottomk_neardup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_nbsvm_quality": nbsvm.op4_nbsvm_quality,
     "op5_blob_ledger_scan": secrets.op5_blob_ledger_scan,
     "op6_budgeted_windows": chat.op6_budgeted_windows,
+    "op7_sparse_suffix_dedup": suffix.op7_sparse_suffix_dedup,
     "op8_suffix_automaton_decontamination": decontam.op8_suffix_automaton_decontamination,
     "op9_raked_mixture": mix.op9_raked_mixture,
     "op10_stratified_shards": shard.op10_stratified_shards,
