@@ -1,26 +1,70 @@
-"""The corpus pipeline: documents pass the stages below, each written as Parquet and read again."""
+"""The corpus pipeline: documents pass the stages below, each written as Parquet and read again.
+
+1. quality classifier: documents that it rejects go
+2. near-duplicates: one document of each group stays, the one of least id
+3. benchmark decontamination: contaminated documents go
+4. mixing sources: documents are sampled to the raked weights
+5. sharding: every document left gets its shard and slot
+
+Every stage but the last returns the columns of documents.  Stages 1 and 3 decide
+row by row.  Stages 2 and 4 join their decisions back by ``doc_id`` (null equals
+null), so rows that share an id share the decision; of equal rows stage 2 keeps
+one.  An empty table passes through all stages as an empty table.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from subledger.llm.common import stage, table
+from subledger.llm.decontam import keep_uncontaminated
 from subledger.llm.mix import mix_documents
+from subledger.llm.nbsvm import keep_good
+from subledger.llm.neardup import link_documents
 from subledger.llm.shard import assign_shards
 
 
+def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose id is in ``ids`` (null equals null)."""
+    ids = ids.select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(ids.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(docs.columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier predicts as good."""
+    return keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of least id of each group; documents linked with nothing stay."""
+    linked = stage(link_documents(docs).select("doc_id", "kept"), "pipeline-linked")
+    kept = _keep(docs, linked.filter("kept"))
+    # equal rows are copies too; a second shuffle of the texts is only needed where an id repeats
+    if linked.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return kept
+    return kept.dropDuplicates(["doc_id", "text"])
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the benchmark does not contaminate."""
+    return keep_uncontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the raked mixture keeps."""
-    kept = mix_documents(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """Documents that the raked mixture samples."""
+    return _keep(docs, mix_documents(docs).filter("kept"))
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard and slot of every document left."""
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard, source, frac of every document left."""
     return assign_shards(docs)
 
 
 STAGES = [
+    ("quality classifier", quality),
+    ("near-duplicates", near_duplicates),
+    ("benchmark decontamination", decontamination),
     ("mixing sources", mixing),
     ("sharding", sharding),
 ]
@@ -33,5 +77,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: The quality classifier and the near-duplicate stage have no SQL form; tests use a brute-force version.
+#: The fitted classifier and the near-duplicate components have no SQL form; tests use a brute-force version.
 ORACLE_SQL = None

@@ -212,10 +212,11 @@ def _merge(ranges: list) -> list[tuple[int, int]]:
 
 
 _HITS = "array<struct<a:bigint,b:bigint>>"
+_SPAN_TYPE = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("words", pa.int64())]))
 _HIT_TYPE = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
 
-def _match(items, key: str, window: int, text_at: int, schema: pa.Schema):
+def _match(items, key: str, window: int):
     """Add one block's matches to the columns n_words, hits (byte ranges of hit runs), n_hit and items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +227,7 @@ def _match(items, key: str, window: int, text_at: int, schema: pa.Schema):
             names: list = batch.column("items").to_pylist()
             spans: list = [[]] * batch.num_rows
             n_hit = np.zeros(batch.num_rows, dtype=np.int64)
-            for i, j, raw, offsets in pieces(batch.column(text_at)):
+            for i, j, raw, offsets in pieces(batch.column("text")):
                 data = LOWER[raw]
                 row, start, end = words(data, offsets, ALNUM)
                 bounds = np.searchsorted(row, np.arange(j - i + 1))
@@ -249,36 +250,40 @@ def _match(items, key: str, window: int, text_at: int, schema: pa.Schema):
                 "n_hit": pa.array(n_hit),
                 "items": pa.array(names, pa.list_(pa.string())),
                 "word_hits": pa.array([[{"a": x[0], "b": x[1]} if not isinstance(x, dict) else x for x in h] for h in hits], _HIT_TYPE),
-                "spans": pa.array([[{"start": s, "end": e, "words": n} for s, e, n in x] for x in spans], schema.field("spans").type),
+                "spans": pa.array([[{"start": s, "end": e, "words": n} for s, e, n in x] for x in spans], _SPAN_TYPE),
             }
-            yield pa.record_batch([added[f.name] if f.name in added else batch.column(f.name).cast(f.type) for f in schema], schema=schema)
+            yield pa.record_batch([*(batch.column(c) for c in ("doc_id", "text", "row")), *added.values()], names=["doc_id", "text", "row", *added])
 
     return run
 
 
 def match_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, piece_words: int = PIECE_WORDS) -> DataFrame:
-    """doc_id, text, n_words, n_hit, items, spans (byte ranges of maximal hit runs, and their words)."""
+    """doc_id, text, row (the other columns), n_words, n_hit, items, spans (byte ranges of maximal hit runs, and their words)."""
     spark = docs.sparkSession
     cut = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     cut = cut.mapInArrow(_cut_items(window, min(piece_words, block_words)), "item_id string, n bigint, hashes array<bigint>").distinct()
     total = cut.agg(F.sum("n")).first()[0] or 0
     n_blocks = max(1, -(-2 * total // block_words)) if total > block_words else 1
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = out.select("*", F.array().cast(_HITS).alias("word_hits"), F.array().cast("array<string>").alias("items"))
-    kinds = [
-        ("doc_id", pa.int64(), "bigint"),
-        ("text", pa.string(), "string"),
-        ("n_words", pa.int64(), "bigint"),
-        ("n_hit", pa.int64(), "bigint"),
-        ("items", pa.list_(pa.string()), "array<string>"),
-        ("word_hits", _HIT_TYPE, _HITS),
-        (
-            "spans",
-            pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("words", pa.int64())])),
-            "array<struct<start:bigint,end:bigint,words:bigint>>",
-        ),
-    ]
-    schema, sql = pa.schema([k[:2] for k in kinds]), ", ".join(f"{k[0]} {k[2]}" for k in kinds)
+    out = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("text").cast("string").alias("text"),
+        F.struct(*[c for c in docs.columns if c != "text"]).alias("row"),
+        F.array().cast(_HITS).alias("word_hits"),
+        F.array().cast("array<string>").alias("items"),
+    )
+    sql = ", ".join(
+        f"{name} {kind}"
+        for name, kind in (
+            ("doc_id", "bigint"),
+            ("text", "string"),
+            ("row", out.schema["row"].dataType.simpleString()),
+            ("n_words", "bigint"),
+            ("n_hit", "bigint"),
+            ("items", "array<string>"),
+            ("word_hits", _HITS),
+            ("spans", "array<struct<start:bigint,end:bigint,words:bigint>>"),
+        )
+    )
     keyed = cut.withColumn("block", F.pmod(F.xxhash64("item_id", "hashes"), F.lit(n_blocks)))
     for b in range(n_blocks):
         rows = [(r["item_id"], r["hashes"]) for r in keyed.filter(F.col("block") == b).collect()]
@@ -286,10 +291,16 @@ def match_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
             continue
         digest = hashlib.sha256(repr((window, sorted(rows))).encode()).hexdigest()
         shared = spark.sparkContext.broadcast([(n, np.asarray(h, dtype=np.int64)) for n, h in sorted(rows)]) if rows else None
-        out = out.mapInArrow(_match(shared, digest, window, 1, schema), sql)
+        out = out.mapInArrow(_match(shared, digest, window), sql)
     return out
 
 
+def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, coverage: int = COVERAGE) -> DataFrame:
+    """The documents within the coverage limit, with all their columns."""
+    clean = match_documents(docs, benchmark).filter(~is_contaminated(coverage))
+    return clean.select("row.*", "text").select(docs.columns)
+
+
 def is_contaminated(coverage: int = COVERAGE):
     return (F.col("n_hit") > 0) & (coverage * F.col("n_hit") >= F.col("n_words"))
 

@@ -192,10 +192,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     return plain
 
 
-def score_texts(rows: DataFrame, model: Model, margin: bool = False) -> DataFrame:
-    """``rows`` with ``text`` (the last column) replaced by ``score``."""
+def score_texts(rows: DataFrame, model: Model, margin: bool = False, keep_text: bool = False) -> DataFrame:
+    """``rows`` with ``text`` replaced by ``score`` (or followed by it)."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
-    kept = [f for f in rows.schema.fields if f.name != "text"]
+    kept = [f for f in rows.schema.fields if keep_text or f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -216,5 +216,13 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score_texts(rows, model).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents of score ``threshold`` or more, with all their columns."""
+    rest = F.struct(*[c for c in docs.columns if c != "text"]).alias("row")
+    rows = docs.select(rest, F.col("text").cast("string").alias("text"))
+    good = score_texts(rows, train(docs, labels), keep_text=True).filter(F.col("score") >= threshold)
+    return good.select("row.*", "text").select(docs.columns)
+
+
 def op4_nbsvm_quality(spark, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
