@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 #: Separators of words in the quality, dedup and mixing operators (space, tab to CR).
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
@@ -19,12 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only a local session without that setting (tests) gets a folder of its own.
+    Only a single-machine session without that setting (tests) gets a folder of its own.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if d:
         return d.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     d = tempfile.mkdtemp(prefix="subledger-llm-")
     spark.conf.set("spark.checkpoint.dir", d)
@@ -39,6 +42,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """``df.mapInArrow`` whose Python workers look for this package where the driver found it."""
+    env = df.sparkSession.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if _ROOT not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([_ROOT, *paths])
+    return df.mapInArrow(run, schema)
+
+
 def drop_staged(*frames: DataFrame) -> None:
     """Delete staged tables that no later frame reads (only files :func:`stage` wrote)."""
     for df in frames:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import ALNUM, LOWER, pieces, sequence_hash, word_hashes, words
-from .common import table
+from .common import map_arrow, table
 
 WINDOW, SEED = 13, 4
 #: A document is contaminated if COVERAGE * hit words >= words.
@@ -261,7 +261,7 @@ def match_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     """doc_id, text, row (the other columns), n_words, n_hit, items, spans (byte ranges of maximal hit runs, and their words)."""
     spark = docs.sparkSession
     cut = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    cut = cut.mapInArrow(_cut_items(window, min(piece_words, block_words)), "item_id string, n bigint, hashes array<bigint>").distinct()
+    cut = map_arrow(cut, _cut_items(window, min(piece_words, block_words)), "item_id string, n bigint, hashes array<bigint>").distinct()
     total = cut.agg(F.sum("n")).first()[0] or 0
     n_blocks = max(1, -(-2 * total // block_words)) if total > block_words else 1
     out = docs.select(
@@ -291,7 +291,7 @@ def match_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
             continue
         digest = hashlib.sha256(repr((window, sorted(rows))).encode()).hexdigest()
         shared = spark.sparkContext.broadcast([(n, np.asarray(h, dtype=np.int64)) for n, h in sorted(rows)]) if rows else None
-        out = out.mapInArrow(_match(shared, digest, window), sql)
+        out = map_arrow(out, _match(shared, digest, window), sql)
     return out
 
 
@@ -323,7 +323,7 @@ def remove_spans(matched: DataFrame, longest: int = WINDOW, coverage: int = COVE
             yield pa.record_batch([batch.column(0), pa.array(out, pa.string())], names=["doc_id", "text"])
 
     clean = matched.filter(~is_contaminated(coverage)).select("doc_id", "text", "spans")
-    return clean.mapInArrow(run, "doc_id bigint, text string")
+    return map_arrow(clean, run, "doc_id bigint, text string")
 
 
 def op8_suffix_automaton_decontamination(spark, sf_dir: str) -> DataFrame:

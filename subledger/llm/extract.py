@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_arrow, table
 
 LONG, SHORT = 200, 70
 LINKS, DENSE, SPARSE = 0.5, 0.30, 0.20
@@ -252,7 +252,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every page."""
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return p.mapInArrow(_extract, "page_id bigint, url string, text string, n_chars bigint")
+    return map_arrow(p, _extract, "page_id bigint, url string, text string, n_chars bigint")
 
 
 def op2_two_pass_blocks(spark, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import LOWER, SPACED, mix, pieces, word_hashes, words
-from .common import stage, table
+from .common import map_arrow, stage, table
 
 BITS = 18
 FIT_ROWS, CURVE_ROWS = 4000, 8000
@@ -161,7 +161,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     known = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(marks, "doc_id")
     known = stage(known, "nbsvm-labelled")
     fit = known.filter("part < 2").select("label", "text")
-    counts = fit.mapInArrow(_count, "feature bigint, n0 bigint, n1 bigint").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    counts = map_arrow(fit, _count, "feature bigint, n0 bigint, n1 bigint").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     c = counts.toPandas()  # at most 2^BITS rows
     n = np.zeros((2, 1 << BITS))
     n[0, c["feature"]], n[1, c["feature"]] = c["n0"], c["n1"]
@@ -173,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         return df.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("label", "text")
 
     classes = [least(known.filter(f"part < 2 and label = {v}"), FIT_ROWS) for v in (0, 1)]
-    got = classes[0].unionByName(classes[1]).mapInArrow(_vectors, "label int, features array<int>").toPandas()
+    got = map_arrow(classes[0].unionByName(classes[1]), _vectors, "label int, features array<int>").toPandas()
     y = got["label"].to_numpy()
     if len(set(y)) < 2:
         share1 = (y.sum() + 1) / (len(y) + 2)
@@ -205,7 +205,7 @@ def score_texts(rows: DataFrame, model: Model, margin: bool = False, keep_text:
             yield pa.record_batch([*(batch.column(f.name) for f in kept), pa.array(s)], names=[*(f.name for f in kept), "score"])
 
     sql = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "score double"])
-    return rows.mapInArrow(run, sql)
+    return map_arrow(rows, run, sql)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:

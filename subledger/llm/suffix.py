@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import mix, pieces, powers, prefix_hash
-from .common import drop_staged, stage, table
+from .common import drop_staged, map_arrow, stage, table
 
 LENGTH = 200
 #: Bytes of text per bucket of the first sort, and suffixes per bucket of the second.
@@ -273,18 +273,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
     total = slim.agg(F.sum("n_bytes")).first()[0] or 0
 
     place = F.xxhash64("doc_id", "s0")
-    anchored = d.mapInArrow(_segment_rows(length), _SEGMENTS)
+    anchored = map_arrow(d, _segment_rows(length), _SEGMENTS)
     anchored = anchored.repartitionByRange(max(8, total // BUCKET_BYTES), F.col("t0"), F.col("t1"), place)
-    found = stage(anchored.mapInArrow(_first_sort, _FOUND), "suffix-found")
+    found = stage(map_arrow(anchored, _first_sort, _FOUND), "suffix-found")
     per = found.groupBy("doc_id", "th").agg(F.collect_list(F.struct("s0", "s1", "whole")).alias("segments"))
     per = per.withColumnRenamed("doc_id", "_d").withColumnRenamed("th", "_t")
     here = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t"))
     touched = stage(d.join(per.hint("shuffle_hash"), here).select("doc_id", "th", "text", "segments"), "suffix-touched")
 
     n = found.filter("not whole").agg(F.sum(F.col("s1") - F.col("s0") + 1)).first()[0] or 0
-    suffixes = touched.mapInArrow(_windows(length), _WINDOWS)
+    suffixes = map_arrow(touched, _windows(length), _WINDOWS)
     suffixes = suffixes.repartitionByRange(max(8, n // BUCKET_ROWS), F.col("t0"), F.col("t1"), F.xxhash64("doc_id", "s"))
-    sorted_ = stage(suffixes.mapInArrow(_second_sort, _REPEATS), "suffix-repeats")
+    sorted_ = stage(map_arrow(suffixes, _second_sort, _REPEATS), "suffix-repeats")
     # edges: at most two rows a bucket
     edges = sorted_.filter("n > 0")
     met = edges.groupBy("t0", "t1").agg(F.sum("n").alias("all")).filter("all > 1")
@@ -292,7 +292,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
     starts = repeats.groupBy("doc_id", "th").agg(F.collect_set("s").alias("starts"))
     starts = starts.withColumnRenamed("doc_id", "_d").withColumnRenamed("th", "_t")
     both = touched.join(starts.hint("shuffle_hash"), here, "left").select("doc_id", "th", "text", "segments", "starts")
-    cut = stage(both.mapInArrow(_remove(length, with_text), _CUT), "suffix-cut")
+    cut = stage(map_arrow(both, _remove(length, with_text), _CUT), "suffix-cut")
     drop_staged(touched)
     cut = cut.filter("n_removed > 0").dropDuplicates(["doc_id", "th"]).withColumnRenamed("doc_id", "_d").withColumnRenamed("th", "_t")
     out = slim.join(cut, here, "left").select(
