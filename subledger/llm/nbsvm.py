@@ -158,7 +158,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on the labelled documents of remainders 0, 1 and 3."""
     marks = labels.filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
     marks = marks.withColumn("part", remainder(F.col("doc_id"))).filter("part <> 2").withColumn("order", F.xxhash64(F.lit(11), "doc_id"))
-    known = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(marks, "doc_id")
+    # texts are shuffled alike at every size, and never sorted: the labels' side is hashed
+    known = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(marks.hint("shuffle_hash"), "doc_id")
     known = stage(known, "nbsvm-labelled")
     fit = known.filter("part < 2").select("label", "text")
     counts = map_arrow(fit, _count, "feature bigint, n0 bigint, n1 bigint").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
