@@ -11,13 +11,19 @@
    those.  A value held by one document has no list but uses up a place, so most
    documents without a near copy enter no list, and a passage that very many
    documents share is listed only for documents that consist of little else.
-3. A list is compared with a hub first: (hub, member) pairs are linear in the
-   list.  The union sketch estimates the similarity of a pair; pairs that may
-   reach the threshold are verified by exact Jaccard on the full sets, and links
-   merge components.  Further rounds use other hubs, for lists that still hold
-   several components.  The last round compares every pair of different
-   components that share a list, so no link between components is lost, while
-   pairs inside a component are never expanded.
+3. Lists are split by size class (a linked pair shares one).  Each is compared with
+   a hub: (hub, member) pairs are linear in the list.  The union sketch estimates
+   the similarity of a pair; pairs that may reach the threshold are verified by
+   exact Jaccard on the full sets, and links merge components.
+4. Members of one hub that are still in different components are described by
+   their difference D from the hub's set.  |A xor B| = |D(A) xor D(B)|, so a linked
+   pair whose members are not both linked to the hub must share a known number of
+   elements of D.  Lists of the rarest elements of D, cut by that number and by
+   position, hold such pairs and almost no others: variants of one text with
+   edits of their own share nothing rare.  These lists meet hubs again, and the
+   last round compares every pair left in them, so no link between components is
+   lost, while a large group of unlinked variants is never expanded into pairs.
+   Members of one component are never compared.
 
 Set elements are 64-bit hashes of shingles; the verification compares them as
 whole sets.
@@ -29,6 +35,7 @@ an empty table gives an empty result; other input columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,12 +44,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import mix, shingle_sets
-from .common import drop_staged, stage, table
+from .common import drop_staged, map_arrow, stage, table
 from .components import components
 
 K, WIDTH, PERCENT = 64, 5, 85
 #: Share of a sketch that two documents at the threshold have in common at least.
-#: The number in common among k values is binomial with rate >= 0.85 at most: P(<= 36 of 64) < 1e-7.
+#: The number in common among k values is binomial with rate >= 0.85 at least: P(<= 36 of 64) < 1e-7.
 SURE = 36 / 64
 HUB_ROUNDS = 2
 
@@ -103,16 +110,44 @@ def _lists(nodes: DataFrame, sure: float) -> DataFrame:
     return mine.select("node", "n", F.explode(listed).alias("s")).select(F.col("s.value").alias("value"), "node", "n")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, k: int, sure: float, percent: int) -> DataFrame:
-    """The pairs (a, b) whose exact similarity reaches the threshold."""
-    side = lambda df, c, x, y: df.select(F.col("node").alias(x), F.col(c).alias(y))
-    est = pairs.join(side(nodes, "sketch", "a", "sa"), "a").join(side(nodes, "sketch", "b", "sb"), "b")
-    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
-    common = F.size(F.array_intersect(union, F.array_intersect("sa", "sb")))
-    est = est.filter(common >= F.size(union) * F.lit(sure)).select("a", "b").distinct()
-    full = est.join(side(sets, "items", "a", "xa"), "a").join(side(sets, "items", "b", "xb"), "b")
-    inter = F.size(F.array_intersect("xa", "xb"))
-    return full.filter(100 * inter >= percent * (F.size("xa") + F.size("xb") - inter)).select("a", "b").distinct()
+class _Verifier:
+    """Verifies pairs, each once, and keeps the components of all links found."""
+
+    def __init__(self, nodes: DataFrame, sets: DataFrame, k: int, sure: float, percent: int):
+        self.nodes, self.sets, self.k, self.sure, self.percent = nodes, sets, k, sure, percent
+        self.links = self.checked = None
+        self.components = nodes.sparkSession.createDataFrame([], "node bigint, component bigint")
+
+    def add(self, pairs: DataFrame) -> DataFrame:
+        """(node, component) of the nodes linked so far, after verifying ``pairs`` (a, b)."""
+        pairs = pairs.distinct()
+        if self.checked is not None:
+            pairs = pairs.join(self.checked, ["a", "b"], "left_anti")
+        pairs = stage(pairs, "neardup-pairs")
+        if pairs.isEmpty():
+            return self.components
+        self.checked = pairs if self.checked is None else self.checked.unionByName(pairs)
+        found = stage(self._linked(pairs), "neardup-links")
+        self.links = found if self.links is None else self.links.unionByName(found)
+        self.components = stage(components(self.links), "neardup-components")
+        return self.components
+
+    def _linked(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose exact similarity reaches the threshold."""
+        side = lambda df, c, x, y: df.select(F.col("node").alias(x), F.col(c).alias(y))
+        est = pairs.join(side(self.nodes, "sketch", "a", "sa"), "a").join(side(self.nodes, "sketch", "b", "sb"), "b")
+        union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, self.k)
+        common = F.size(F.array_intersect(union, F.array_intersect("sa", "sb")))
+        est = est.filter(common >= F.size(union) * F.lit(self.sure)).select("a", "b").distinct()
+        full = est.join(side(self.sets, "items", "a", "xa"), "a").join(side(self.sets, "items", "b", "xb"), "b")
+        inter = F.size(F.array_intersect("xa", "xb"))
+        return full.filter(100 * inter >= self.percent * (F.size("xa") + F.size("xb") - inter)).select("a", "b").distinct()
+
+
+def _classes(n: Column, percent: int) -> Column:
+    """The two size classes of a set: sizes within the threshold's ratio share one."""
+    k = F.floor(F.ln(n) / F.lit(-math.log((percent - 0.5) / 100))).cast("int")
+    return F.array(k, k + 1)
 
 
 def _close(n1: str, n2: str, percent: int) -> Column:
@@ -123,7 +158,7 @@ def _close(n1: str, n2: str, percent: int) -> Column:
 def link_documents(docs: DataFrame, k: int = K, width: int = WIDTH, percent: int = PERCENT, sure: float = SURE, rounds: int = HUB_ROUNDS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketched = stage(text.mapInArrow(_sketches(width, k), _sql(_SKETCH)), "neardup-sketches")
+    sketched = stage(map_arrow(text, _sketches(width, k), _sql(_SKETCH)), "neardup-sketches")
     real = sketched.filter("n > 0 and doc_id is not null")
     groups = stage(real.groupBy("set_key").agg(F.min("doc_id").alias("node")), "neardup-groups")
     # one document of each group of equal sets carries the sketch
@@ -135,36 +170,34 @@ def link_documents(docs: DataFrame, k: int = K, width: int = WIDTH, percent: int
 
     wanted = stage(lists.select("node").distinct(), "neardup-wanted")
     cand = text.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("node"), "left_semi")
-    sets = stage(cand.mapInArrow(_sets(width), _sql(_SETS)).dropDuplicates(["node", "items"]), "neardup-sets")
+    sets = stage(map_arrow(cand, _sets(width), _sql(_SETS)).dropDuplicates(["node", "items"]), "neardup-sets")
     slim = stage(nodes.join(wanted, "node", "left_semi"), "neardup-listed")
 
-    comp, links, checked = None, None, None
+    verify = _Verifier(slim, sets, k, sure, percent)
+    classed = lists.withColumn("class", F.explode(_classes(F.col("n"), percent)))
+    hubs = classed.groupBy("value", "class").agg(F.min(F.struct(F.xxhash64("node").alias("o"), F.col("node").alias("hub"), F.col("n").alias("hub_n"))).alias("h"))
+    members = classed.join(hubs, ["value", "class"]).select("h.hub", "h.hub_n", "node", "n").filter("hub <> node").distinct()
+    members = stage(members, "neardup-members")
+    near = members.filter(_close("n", "hub_n", percent))
+    comp = verify.add(near.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")))
+
+    listed = stage(_difference_lists(members, sets, comp, percent), "neardup-differences")
     for r in range(rounds + 1):
-        now = lists.withColumn("comp", F.col("node")) if comp is None else _labelled(lists, comp)
-        per = now.groupBy("value").agg(
-            F.min(F.struct(F.xxhash64(F.lit(r), F.col("node")).alias("o"), "node", "n", "comp")).alias("hub"),
-            F.min("comp").alias("lo"),
-            F.max("comp").alias("hi"),
+        now = _labelled(listed, comp)
+        per = now.groupBy("hub", "value").agg(
+            F.min(F.struct(F.xxhash64(F.lit(r), "node").alias("o"), *_MEMBER)).alias("x"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
         )
-        open_ = stage(now.join(per.filter("lo <> hi"), "value"), "neardup-open")
+        open_ = stage(now.join(per.filter("lo <> hi"), ["hub", "value"]).select("hub", "value", *_MEMBER, "x"), "neardup-open")
         if open_.isEmpty():
             break
         if r < rounds:
-            pairs = open_.filter((F.col("comp") != F.col("hub.comp")) & _close("n", "hub.n", percent))
-            pairs = pairs.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+            pairs = open_.filter(_may_link("x.", "", percent)).select("node", F.col("x.node").alias("other"))
         else:
             pairs = _across(open_, percent)
-        if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        pairs = stage(pairs, "neardup-pairs")
-        checked = pairs if checked is None else checked.unionByName(pairs)
-        found = stage(_verified(pairs, slim, sets, k, sure, percent), "neardup-links")
-        links = found if links is None else links.unionByName(found)
-        comp = stage(components(links), "neardup-components")
+        comp = verify.add(pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")))
         drop_staged(open_)
-    out = sketched.join(groups, "set_key", "left") if comp is None else _labelled(sketched.join(groups, "set_key", "left"), comp)
-    component = F.col("node") if comp is None else F.col("comp")
-    component = F.when(F.col("n") > 0, component).otherwise(F.col("doc_id"))
+    out = _labelled(sketched.join(groups, "set_key", "left"), comp)
+    component = F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
     return out.select(
         "doc_id",
@@ -178,14 +211,49 @@ def _labelled(rows: DataFrame, comp: DataFrame) -> DataFrame:
     return rows.join(comp, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
 
 
+#: What a difference list holds of a member: its set's size, its difference's size, the element's place in it, its component.
+_MEMBER = ("node", "n", "d", "at", "comp")
+
+
+def _difference_lists(members: DataFrame, sets: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """(hub, value, node, n, d, at): the rarest elements in which members of a hub differ from it.
+
+    Only hubs whose members are in several components are looked at.  Elements
+    that one member has alone come first in the order; they need no list but
+    count as places.
+    """
+    m = _labelled(members, comp)
+    open_ = m.groupBy("hub").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("hub")
+    m = m.join(open_, "hub").select("hub", "node", "n")
+    own = sets.select("node", F.col("items").alias("x"))
+    base = sets.select(F.col("node").alias("hub"), F.col("items").alias("y"))
+    diff = m.join(own, "node").join(base, "hub").select("hub", "node", "n", F.concat(F.array_except("x", "y"), F.array_except("y", "x")).alias("diff"))
+    diff = stage(diff.withColumn("d", F.size("diff")), "neardup-diff")
+    rows = diff.select("hub", "node", "n", "d", F.explode("diff").alias("value"))
+    shared = rows.groupBy("hub", "value").agg(F.count("*").alias("df")).filter("df > 1")
+    mine = rows.join(shared, ["hub", "value"]).groupBy("hub", "node", "n", "d").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("s"))
+    # a linked pair shares at least d - (100 - percent) / percent * n elements of D
+    places = F.least(F.col("d"), F.floor(F.col("n") * F.lit((100 - percent) / percent + 1e-9)).cast("int") + 1)
+    alone = F.col("d") - F.size("s")
+    listed = mine.withColumn("alone", alone).select("hub", "node", "n", "d", "alone", F.posexplode(F.slice("s", F.lit(1), F.greatest(F.lit(0), places - alone))))
+    return listed.select("hub", F.col("col.value").alias("value"), "node", "n", "d", (F.col("alone") + F.col("pos")).alias("at"))
+
+
+def _may_link(x: str, y: str, percent: int) -> Column:
+    """Whether two members of different components can be linked, if this is the first element that they share."""
+    nx, ny, dx, dy = F.col(f"{x}n"), F.col(f"{y}n"), F.col(f"{x}d"), F.col(f"{y}d")
+    common = (dx + dy - (nx + ny) * F.lit((100 - percent) / (100 + percent))) / 2
+    left = F.least(dx - F.col(f"{x}at"), dy - F.col(f"{y}at"))
+    return (F.col(f"{x}comp") != F.col(f"{y}comp")) & _close(f"{x}n", f"{y}n", percent) & (left >= common - F.lit(1e-6))
+
+
 def _across(open_: DataFrame, percent: int) -> DataFrame:
-    """All pairs of one list in different components: each member outside the list's largest component, against all."""
-    size = open_.groupBy("value", "comp").agg(F.count("*").alias("c"))
-    main = size.groupBy("value").agg(F.max(F.struct("c", "comp"))["comp"].alias("main"))
-    rows = open_.select("value", "node", "n", "comp")
-    few = rows.join(main, "value").filter("comp <> main").select("value", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
-    met = few.join(rows, "value").filter((F.col("cx") != F.col("comp")) & _close("n", "nx", percent))
-    return met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+    """All pairs of one list that may be linked: each member outside the list's largest component, against all."""
+    size = open_.groupBy("hub", "value", "comp").agg(F.count("*").alias("c"))
+    main = size.groupBy("hub", "value").agg(F.max(F.struct("c", "comp"))["comp"].alias("main"))
+    few = open_.join(main, ["hub", "value"]).filter("comp <> main").select("hub", "value", F.struct(*_MEMBER).alias("x"))
+    met = few.join(open_.select("hub", "value", *_MEMBER), ["hub", "value"]).filter(_may_link("x.", "", percent))
+    return met.select("node", F.col("x.node").alias("other"))
 
 
 def op1_bottomk_neardup(spark, sf_dir: str) -> DataFrame:
