@@ -163,9 +163,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     known = stage(known, "nbsvm-labelled")
     fit = known.filter("part < 2").select("label", "text")
     counts = map_arrow(fit, _count, "feature bigint, n0 bigint, n1 bigint").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    c = counts.toPandas()  # at most 2^BITS rows
+    # Arrow tables: rows as Python objects would take the driver ten times the memory
+    c = counts.toArrow()  # at most 2^BITS rows
     n = np.zeros((2, 1 << BITS))
-    n[0, c["feature"]], n[1, c["feature"]] = c["n0"], c["n1"]
+    at = c["feature"].to_numpy()
+    n[0, at], n[1, at] = c["n0"].to_numpy(), c["n1"].to_numpy()
     share = (n + SMOOTH) / (n.sum(axis=1, keepdims=True) + SMOOTH * (1 << BITS))
     ratio = np.log(share[1] / share[0])
 
@@ -174,20 +176,20 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         return df.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("label", "text")
 
     classes = [least(known.filter(f"part < 2 and label = {v}"), FIT_ROWS) for v in (0, 1)]
-    got = map_arrow(classes[0].unionByName(classes[1]), _vectors, "label int, features array<int>").toPandas()
+    got = map_arrow(classes[0].unionByName(classes[1]), _vectors, "label int, features array<int>").toArrow().combine_chunks()
     y = got["label"].to_numpy()
     if len(set(y)) < 2:
         share1 = (y.sum() + 1) / (len(y) + 2)
         return Model(ratio * 0, ratio * 0, 0.0, 0.0, float(np.log(share1 / (1 - share1))))
     # rows in an order of their own content, so that the fit does not depend on partitions
-    rows = [np.asarray(r) for r in got["features"]]
+    rows = [part[i].values.to_numpy() for part in got["features"].chunks for i in range(len(part))]
     order = sorted(range(len(rows)), key=lambda i: (len(rows[i]), rows[i].tobytes(), y[i]))
     rows, y = [rows[i] for i in order], y[order]
     per_class = {v: len(y) / (2 * max(1, (y == v).sum())) for v in (0, 1)}
     weight, intercept = dual_descent(rows, np.where(y == 1, 1.0, -1.0), ratio, COST * np.where(y == 1, per_class[1], per_class[0]))
     plain = Model(ratio, weight, intercept, 1.0, 0.0)
-    curve = score_texts(least(known.filter("part = 3"), CURVE_ROWS), plain, margin=True).toPandas().sort_values(["score", "label"])
-    if curve["label"].nunique() < 2:
+    curve = score_texts(least(known.filter("part = 3"), CURVE_ROWS), plain, margin=True).toArrow().sort_by([("score", "ascending"), ("label", "ascending")])
+    if len(set(curve["label"].to_pylist())) < 2:
         return plain
     plain.slope, plain.offset = logistic_curve(curve["score"].to_numpy(), curve["label"].to_numpy())
     return plain
