@@ -1,10 +1,11 @@
 """Quality classifier: Naive Bayes support vectors over n-gram indicators.
 
-Features of a text are indicators of its byte trigrams and of its words, hashed
-into two halves of ``2^BITS`` buckets.  Log-count ratios of the classes, from
-the counts of *all* labelled training documents (summed in Spark), scale the
-indicators; rows are brought to length 1, and a linear model with hinge loss is
-fitted by dual coordinate descent.  A logistic curve maps margins to scores.
+Features of a text are indicators of its byte trigrams, of its words and of how
+far its n-grams repeat, hashed into two halves of ``2^BITS`` buckets.  Log-count
+ratios of the classes, from the counts of *all* labelled training documents
+(summed in Spark), scale the indicators; rows are divided by their length (with
+a floor for short texts), and a linear model with hinge loss is fitted by dual
+coordinate descent.  A logistic curve maps margins to scores.
 
 Labels enter only for documents with ``crc32(doc_id) mod 4 <> 2``: remainders 0
 and 1 give counts and fit, remainder 3 the curve, remainder 2 is held out.
@@ -29,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytetext import LOWER, SPACED, mix, pieces, word_hashes, words
+from .bytetext import LOWER, SPACED, mix, pieces, sequence_hash, word_hashes, words
 from .common import map_arrow, stage, table
 
 BITS = 18
 FIT_ROWS, CURVE_ROWS = 4000, 8000
 THRESHOLD = 0.7
-SMOOTH, COST, EPOCHS = 1.0, 1.0, 12
+SMOOTH, COST, EPOCHS, FLOOR = 1.0, 1.0, 12, 0.5
 
 
 def row_features(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -52,10 +53,32 @@ def row_features(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
         if len(start):
             h = word_hashes(LOWER[data], start, end)
             keys.append((row << BITS) + (half + h % half).astype(np.int64))
+            keys.append(_repeat_features(row, h, j - i))
         key = np.unique(np.concatenate(keys)) if keys else np.zeros(0, dtype=np.int64)
         yield i, j, key >> BITS, key & ((1 << BITS) - 1)
 
 
+def _repeat_features(row: np.ndarray, h: np.ndarray, rows: int) -> np.ndarray:
+    """Keys of indicators of repeated n-grams: how large a share of a text's words repeats the last
+    word, and of its word trigrams an earlier one, in steps."""
+    n = np.bincount(row, minlength=rows)
+    out = []
+    for kind, width in ((0, 1), (1, 3)):
+        if kind == 0:
+            again = row[1:][(h[1:] == h[:-1]) & (row[1:] == row[:-1])]
+        else:
+            inside = row[width - 1 :] == row[: len(row) - width + 1]
+            # (row, hash) in one sortable value; 40 bits of hash tell the trigrams of a text apart
+            key = np.sort((row[: len(inside)][inside].astype(np.uint64) << np.uint64(40)) | (sequence_hash(h, width)[inside] >> np.uint64(24)))
+            again = (key[1:][key[1:] == key[:-1]] >> np.uint64(40)).astype(np.int64)
+        share = np.bincount(again, minlength=rows) / np.maximum(n, 1)
+        step = np.searchsorted([1e-9, 0.02, 0.1, 0.3, 0.6], share, "right")
+        at = np.flatnonzero((n >= 8) & (step > 0))
+        tag = mix((step[at] + 8 * kind + 1).astype(np.uint64)) % np.uint64(1 << (BITS - 1))
+        out.append((at << BITS) + (1 << (BITS - 1)) + tag.astype(np.int64))
+    return np.concatenate(out)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(feature, documents of label 0, of label 1) of a task; columns: label, text."""
     counts = np.zeros((2, 1 << BITS), dtype=np.int64)
@@ -80,15 +103,15 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    def __init__(self, ratio: np.ndarray, weight: np.ndarray, intercept: float, slope: float, offset: float):
-        self.ratio2, self.product = ratio * ratio, ratio * weight
+    def __init__(self, ratio: np.ndarray, weight: np.ndarray, intercept: float, slope: float, offset: float, floor: float = 0.0):
+        self.ratio2, self.product, self.floor = ratio * ratio, ratio * weight, floor
         self.intercept, self.slope, self.offset = intercept, slope, offset
 
     def margins(self, texts: pa.Array) -> np.ndarray:
         out = np.zeros(len(texts))
         for i, j, row, feature in row_features(texts):
             dot = np.bincount(row, self.product[feature], minlength=j - i)
-            norm = np.sqrt(np.bincount(row, self.ratio2[feature], minlength=j - i))
+            norm = np.sqrt(np.bincount(row, self.ratio2[feature], minlength=j - i) + self.floor)
             out[i:j] = dot / np.where(norm > 0, norm, 1.0)
         return out + self.intercept
 
@@ -96,14 +119,14 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(texts) + self.offset, -500, 500)))
 
 
-def dual_descent(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: np.ndarray, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
-    """Weights (for unit rows of scaled indicators) and intercept of the hinge-loss model."""
+def dual_descent(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: np.ndarray, epochs: int = EPOCHS, floor: float = 0.0) -> tuple[np.ndarray, float]:
+    """Weights (for scaled indicators over their length) and intercept of the hinge-loss model."""
     weight, intercept = np.zeros(len(ratio)), 0.0
     alpha = np.zeros(len(rows))
     values = []
     for r in rows:
         x = ratio[r]
-        n = np.sqrt(x @ x)
+        n = np.sqrt(x @ x + floor)
         values.append(x / n if n > 0 else x)
     square = np.array([v @ v + 1 for v in values])  # the intercept is one more feature of value 1
     rng = np.random.default_rng(7)
@@ -186,8 +209,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     order = sorted(range(len(rows)), key=lambda i: (len(rows[i]), rows[i].tobytes(), y[i]))
     rows, y = [rows[i] for i in order], y[order]
     per_class = {v: len(y) / (2 * max(1, (y == v).sum())) for v in (0, 1)}
-    weight, intercept = dual_descent(rows, np.where(y == 1, 1.0, -1.0), ratio, COST * np.where(y == 1, per_class[1], per_class[0]))
-    plain = Model(ratio, weight, intercept, 1.0, 0.0)
+    # a floor under the squared length keeps a few words of a short text from counting as much as a long one
+    floor = FLOOR * float(np.median([ratio[r] @ ratio[r] for r in rows]))
+    weight, intercept = dual_descent(rows, np.where(y == 1, 1.0, -1.0), ratio, COST * np.where(y == 1, per_class[1], per_class[0]), floor=floor)
+    plain = Model(ratio, weight, intercept, 1.0, 0.0, floor)
     curve = score_texts(least(known.filter("part = 3"), CURVE_ROWS), plain, margin=True).toArrow().sort_by([("score", "ascending"), ("label", "ascending")])
     if len(set(curve["label"].to_pylist())) < 2:
         return plain
