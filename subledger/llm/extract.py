@@ -66,6 +66,8 @@ _BAD_NAMES = frozenset(
     social related recommended recommendations recommend newsletter subscribe subscription signup login popup popups modal overlay pagination
     pager skip hidden search copyright disclaimer form taboola outbrain trending""".split()
 )
+#: Of those, names that a page may also give to a wrapper of its whole article.
+_LOOSE_NAMES = frozenset("notice notices alert alerts banner banners widget widgets hidden search social share form modal overlay header promo".split())
 #: Elements whose end tag may be left out, and the elements that a new one of them ends.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = frozenset("ul ol dl table select menu".split())
@@ -85,31 +87,36 @@ _WORD = re.compile(r"\w+")
 
 
 class _Element:
-    __slots__ = ("tag", "bad", "by_name", "void")
+    __slots__ = ("tag", "bad", "firm", "void")
 
-    def __init__(self, tag: str, bad: bool, by_name: bool):
-        self.tag, self.bad, self.by_name, self.void = tag, bad, by_name, False
+    def __init__(self, tag: str, bad: bool, firm: bool):
+        #: void: excluded by a loose name, but found to hold the article
+        self.tag, self.bad, self.firm, self.void = tag, bad, firm, False
 
 
-def _names_bad(attrs: str, in_article: bool) -> bool:
+def _excluded(attrs: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether the attributes exclude an element, and whether that holds even around an article."""
+    loose = False
     for key, value in _NAME.findall(attrs):
         key, value = key.lower(), value.strip("\"'")
         if key == "hidden" and not value.strip("hidden").strip():
-            return True
+            return True, True
         if key == "aria-hidden" and value.lower() == "true":
-            return True
+            return True, True
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
+            return True, True
         if key == "role" and value.lower() in _BAD_ROLES:
-            return True
+            return True, True
         if key in ("class", "id"):
             for name in value.split():
                 parts = [p.lower() for p in _PART.findall(name)]
                 if any(p in ("has", "with", "no", "without", "is") for p in parts):
                     continue  # says something about the layout, as in has-sidebar
-                if any(p in _BAD_NAMES for p in parts) or ("header" in parts and not in_article):
-                    return True
-    return False
+                names = {p for p in parts if p in _BAD_NAMES or (p == "header" and not in_article)}
+                if names - _LOOSE_NAMES:
+                    return True, True
+                loose = loose or bool(names)
+    return loose, False
 
 
 class _Block:
@@ -176,15 +183,15 @@ def _blocks(page: str) -> list[_Block]:
                 break
             if stack[i].tag in _SCOPE:
                 break
-        by_name = bool(attrs.strip()) and tag not in ("html", "body") and _names_bad(attrs, article > 0)
-        bad = by_name or tag in _BAD_TAGS or (tag == "header" and not article)
-        if block or by_name:
-            stack.append(_Element(tag, bad, by_name))
+        named, firm = _excluded(attrs, article > 0) if attrs.strip() and tag not in ("html", "body") else (False, False)
+        by_tag = tag in _BAD_TAGS or (tag == "header" and not article)
+        bad = named or by_tag
+        if block or named:
+            stack.append(_Element(tag, bad, firm or (by_tag and tag != "form")))
         if tag in ("article", "main") and not bad:
             article += 1
             for e in stack:
-                # a wrapper of the article is no notice or form, whatever it is called
-                e.void = e.void or (e.bad and (e.by_name or e.tag == "form") and e.tag not in ("nav", "footer", "aside"))
+                e.void = e.void or (e.bad and not e.firm and article == 1)
         if _HEADING.match(tag):
             heading = True
     flush()
