@@ -4,11 +4,13 @@ from subledger.functions.columns import (
     business_date,
     business_date_of_text,
     duration_bin,
+    exact_sum,
     flag,
     invoice_type_label,
     net_of_vat,
     rounded,
     safe_corr,
+    utc_ntz_of_text,
     with_vat,
 )
 
@@ -16,10 +18,12 @@ __all__ = [
     "business_date",
     "business_date_of_text",
     "duration_bin",
+    "exact_sum",
     "flag",
     "invoice_type_label",
     "net_of_vat",
     "rounded",
     "safe_corr",
+    "utc_ntz_of_text",
     "with_vat",
 ]

@@ -52,9 +52,38 @@ def business_date(ts: Column | str, tz: str = BUSINESS_TZ) -> Column:
     return F.date_from_unix_date(F.floor(F.unix_seconds(local) / F.lit(_SECONDS_PER_DAY)).cast("int"))
 
 
+# Zone at the end of a date/time text: Z, UTC or an offset after the time of day.
+_ZONE = r"(?i)(?<=[0-9])\s*(Z|UTC|GMT|[+-][0-9]{1,2}(:?[0-9]{2})?)$"
+
+
+def utc_instant_text(text: Column | str) -> Column:
+    """A date/time text with its zone spelled out: no zone means UTC, no time midnight.
+
+    Accepts ``T`` or a space before the time, a fraction of a second, and ``Z``,
+    ``UTC`` or an offset (``+02:00``, ``+0200``, ``+2``) behind it.
+    """
+    t = F.trim(_col(text))
+    t = F.when(t.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"), F.concat(t, F.lit(" 00:00:00"))).otherwise(t)
+    zoned = t.rlike(r"[0-9]{1,2}-[0-9]{1,2}[T ].*") & t.rlike(_ZONE)
+    t = F.regexp_replace(t, r"(?<=[0-9])\s*([+-][0-9]{2})([0-9]{2})$", "$1:$2")
+    return F.when(zoned, t).otherwise(F.concat(t, F.lit(" UTC")))
+
+
+def ntz_of_instant(instant: Column) -> Column:
+    """The UTC wall-clock time (``TIMESTAMP_NTZ``) of an instant, whatever the session's zone."""
+    seconds = (F.unix_micros(instant).cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(18,6)")
+    return F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'") + F.make_dt_interval(secs=seconds)
+
+
+def utc_ntz_of_text(text: Column | str, strict: bool = True) -> Column:
+    """UTC wall-clock time of a date/time text; a bad text is an error, or NULL if not ``strict``."""
+    t = utc_instant_text(text)
+    return ntz_of_instant(t.cast("timestamp") if strict else t.try_cast("timestamp"))
+
+
 def business_date_of_text(text: Column | str, tz: str = BUSINESS_TZ) -> Column:
-    """Business date of a date/time string read as UTC (``date(timestamp(s), tz)``)."""
-    return business_date(F.to_timestamp_ntz(_col(text)), tz)
+    """Business date of a date/time text (``date(timestamp(s), tz)``; offsets count, no zone is UTC)."""
+    return business_date(utc_ntz_of_text(text), tz)
 
 
 def flag(cond: Column) -> Column:
@@ -97,12 +126,20 @@ def duration_bin(
 
 
 def rounded(c: Column | str, digits: int | None = RESULT_DIGITS) -> Column:
-    """Round an aggregated double so distributed summation order cannot show."""
+    """Round a reported double; only the last select of a report does."""
     return _col(c) if digits is None else F.round(_col(c), digits)
 
 
+def exact_sum(c: Column | str) -> Column:
+    """Sum of doubles that no order of addition changes: as decimals of 8 digits, then a double.
+
+    Sums compare, rank and are stored as they are; nothing is rounded before a report's last select.
+    """
+    return F.sum(_col(c).cast("decimal(28,8)")).cast("double")
+
+
 def safe_corr(x: Column | str, y: Column | str) -> Column:
-    """Pearson correlation that is NULL (not an error) for zero variance.
+    """Pearson correlation: NULL for fewer than two pairs, NaN if a side does not vary.
 
     Only rows where both inputs are non-NULL take part, as in ``corr``.
     """
@@ -110,4 +147,6 @@ def safe_corr(x: Column | str, y: Column | str) -> Column:
     both = x.isNotNull() & y.isNotNull()
     xx = F.when(both, x.cast("double"))
     yy = F.when(both, y.cast("double"))
-    return F.try_divide(F.covar_pop(xx, yy), F.stddev_pop(xx) * F.stddev_pop(yy))
+    flat = (F.min(xx) == F.max(xx)) | (F.min(yy) == F.max(yy))
+    ratio = F.try_divide(F.covar_pop(xx, yy), F.stddev_pop(xx) * F.stddev_pop(yy))
+    return F.when(F.count_if(both) < 2, F.lit(None).cast("double")).when(flat, F.lit(float("nan"))).otherwise(ratio)

@@ -1,19 +1,22 @@
 """CSV sources (L0) and table sinks.
 
 The warehouse's raw extracts are CSV files with one header row; spreadsheet
-sources are read from their CSV export.  Every read uses the explicit schema
-from :mod:`subledger.sources.schemas` -- never schema inference, which would
-scan the data twice and guess types per file.
+sources are read from their CSV export.  Columns are taken by header name, never
+by position, and each text is cast to the type of
+:mod:`subledger.sources.schemas`.  A text that cannot be read as its type is an
+error that names source, column and value, or sends its row to a reject table;
+it never becomes a silent NULL.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from subledger.functions import utc_ntz_of_text
 from subledger.sources.schemas import L0_SCHEMAS
 
-# Timestamp text as exported: "2023-01-31 22:30:00[.ffffff][ UTC]", UTC wall time.
-READ_TS_FORMAT = "yyyy-MM-dd HH:mm:ss[.SSSSSS][' UTC']"
 WRITE_TS_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 # Default file name of each source inside its folder.
@@ -27,16 +30,60 @@ L0_FILES = {
     "branch": "branch.csv",
 }
 
+_TRUE, _FALSE = ("true", "t", "yes", "y", "1"), ("false", "f", "no", "n", "0")
+
+
+def _parsed(text: Column, kind: T.DataType) -> Column:
+    """``text`` as ``kind``, NULL where it cannot be read."""
+    if isinstance(kind, T.StringType):
+        return text
+    t = F.trim(text)
+    if isinstance(kind, T.TimestampNTZType):
+        return utc_ntz_of_text(t, strict=False)
+    if isinstance(kind, T.BooleanType):
+        low = F.lower(t)
+        return F.when(low.isin(*_TRUE), F.lit(True)).when(low.isin(*_FALSE), F.lit(False))
+    return t.try_cast(kind)
+
+
+def read_text(spark: SparkSession, name: str, path: str) -> DataFrame:
+    """The extract's columns as texts, found by header name in the order of the schema.
+
+    Other columns are ignored; a missing one is an error.  ``enforceSchema``
+    off makes Spark compare the header of every file with the first one, so
+    files of another column order are an error as well.
+    """
+    raw = spark.read.option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").csv(path)
+    found = {c.strip().lstrip("\ufeff").lower(): c for c in raw.columns}
+    missing = [f.name for f in L0_SCHEMAS[name] if f.name not in found]
+    if missing:
+        raise ValueError(f"{name}: {path} has no column {', '.join(missing)}; its header is {', '.join(raw.columns)}")
+    return raw.select(*[F.col(f"`{found[f.name]}`").alias(f.name) for f in L0_SCHEMAS[name]])
+
 
 def read_source(spark: SparkSession, name: str, path: str) -> DataFrame:
-    """Read one L0 extract (header row skipped) with its fixed schema."""
-    return (
-        spark.read.schema(L0_SCHEMAS[name])
-        .option("header", True)
-        .option("mode", "PERMISSIVE")
-        .option("timestampNTZFormat", READ_TS_FORMAT)
-        .csv(path)
-    )
+    """One L0 extract with its schema; a value that cannot be read stops the job with an error."""
+    text = read_text(spark, name, path)
+
+    def strict(f: T.StructField) -> Column:
+        parsed = _parsed(F.col(f.name), f.dataType)
+        if isinstance(f.dataType, T.StringType):
+            return parsed.alias(f.name)
+        say = F.concat(F.lit(f"{name}.{f.name}: cannot read as {f.dataType.simpleString()}: "), F.col(f.name))
+        bad = F.col(f.name).isNotNull() & parsed.isNull()
+        return F.when(bad, F.raise_error(say).cast(f.dataType)).otherwise(parsed).alias(f.name)
+
+    return text.select(*[strict(f) for f in L0_SCHEMAS[name]])
+
+
+def read_source_with_rejects(spark: SparkSession, name: str, path: str) -> tuple[DataFrame, DataFrame]:
+    """(readable rows, rejected rows as texts with ``reject_columns``); every row is in one of them."""
+    text = read_text(spark, name, path)
+    fields = L0_SCHEMAS[name].fields
+    bad = [F.when(F.col(f.name).isNotNull() & _parsed(F.col(f.name), f.dataType).isNull(), F.lit(f.name)) for f in fields]
+    marked = text.withColumn("reject_columns", F.array_compact(F.array(*bad)))
+    good = marked.where(F.size("reject_columns") == 0).select(*[_parsed(F.col(f.name), f.dataType).alias(f.name) for f in fields])
+    return good, marked.where(F.size("reject_columns") > 0)
 
 
 def read_l0(spark: SparkSession, folder: str, files: dict[str, str] | None = None) -> dict[str, DataFrame]:
@@ -53,14 +100,3 @@ def write_source(df: DataFrame, path: str) -> None:
         .option("timestampNTZFormat", WRITE_TS_FORMAT)
         .csv(path)
     )
-
-
-def write_table(df: DataFrame, path: str) -> DataFrame:
-    """Create-or-replace a table as Parquet and return a frame reading it back.
-
-    Reading the written files back cuts the lineage: later reports restart
-    from the table instead of recomputing (and re-shuffling) its plan, and a
-    lost executor only costs re-reading files.
-    """
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
