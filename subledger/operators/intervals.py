@@ -53,7 +53,8 @@ def intervals_hit_by_other_points(
     )
     pts = points.select(
         F.col(group_col), F.col(id_col), F.col(at_col).alias(_DAY)
-    ).where(F.col(group_col).isNotNull() & F.col(id_col).isNotNull() & F.col(_DAY).isNotNull())
+    ).where(F.col(group_col).isNotNull() & F.col(id_col).isNotNull() & F.col(_DAY).isNotNull()).distinct()
+    # (only whether a point exists matters, so repeated points are one)
 
     null_key = [F.lit(None).cast(intervals.schema[c].dataType).alias(c) for c in [*keep_cols, lo_col, hi_col]]
     # kind orders same-day events: interval start (0) < point (1) < interval end (2),
@@ -65,7 +66,8 @@ def intervals_hit_by_other_points(
     end_ev = iv.select(*key, F.col(hi_col).alias(_DAY), F.lit(2).alias(_KIND), F.lit(0).alias(_W), F.lit(1).alias(_SIGN))
     events = point_ev.unionByName(start_ev).unionByName(end_ev)
 
-    order = [F.col(_DAY), F.col(_KIND)]
+    # The id spreads events of one day (the open-ended end day, say) over range partitions.
+    order = [F.col(_DAY), F.col(_KIND), F.col(id_col)]
     # One probe for both sweeps: a (group, id) slice is only hot inside a hot group.
     hot = find_hot_keys(events.select(group_col), [group_col], skew.get("hot_rows"))
     kw = {k: v for k, v in skew.items() if k != "hot_rows"}

@@ -7,12 +7,14 @@ third of the data.  Here the groups are split in two:
 * **cold** groups (at most ``hot_rows`` rows) use the ordinary window: one
   hash exchange on the group key, and none at all if the input is already
   partitioned by it (e.g. straight after a sort-merge join on that key);
-* **hot** groups (more than ``hot_rows`` rows; there can be at most
-  ``total_rows / hot_rows`` of them, so their key list has a proven size
-  bound and is broadcast) are range-partitioned on (group, order).  A hot
-  group then spans many partitions.  Each partition computes its local running
-  sum per group, and a small offsets table (one row per partition and hot
-  group) adds what earlier partitions hold.
+* **hot** groups are range-partitioned on (group, order), so one of them spans
+  many partitions.  Each partition computes its local running sum per group.
+  In a range-partitioned frame only the first group of a partition can have
+  rows in earlier partitions, so the offsets table that adds what those hold
+  has at most one row per partition; only that table is broadcast.
+
+The list of hot keys has at most ``rows / hot_rows`` entries.  It is joined
+without a hint: the planner broadcasts it by its measured size or shuffles.
 
 The result is exact either way: the split only decides *where* a group's
 positions are computed, never *which* rows take part.
@@ -88,26 +90,26 @@ def _ranged_running(
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     local = ranged.withColumn(_RUN, F.sum(_V).over(local_w))
-    # One row per (partition, group): bounded by partitions + hot groups.
     totals = ranged.groupBy(_PID, *group_cols).agg(F.sum(_V).alias(_TOT))
     prev_w = Window.partitionBy(*group_cols).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+    # Only a group that goes on from an earlier partition has an offset: at most one per partition.
     offsets = totals.select(
-        _PID, *group_cols, F.coalesce(F.sum(_TOT).over(prev_w), F.lit(0)).alias(_OFF)
+        _PID, *group_cols, F.sum(_TOT).over(prev_w).alias(_OFF), F.count(F.lit(1)).over(prev_w).alias("__rs_before")
     )
+    offsets = offsets.where(F.col("__rs_before") > 0).drop("__rs_before")
     offsets = F.broadcast(_renamed(offsets, [_PID, *group_cols], "__o_"))
-    joined = local.join(offsets, _null_safe_on(local, offsets, [_PID, *group_cols], "__o_"), "inner")
-    out = joined.select(
+    joined = local.join(offsets, _null_safe_on(local, offsets, [_PID, *group_cols], "__o_"), "left")
+    return joined.select(
         *[local[c] for c in df.columns if c != _V],
-        (local[_RUN] + offsets[_OFF]).alias(out_col),
+        (local[_RUN] + F.coalesce(offsets[_OFF], F.lit(0))).alias(out_col),
     )
-    return out
 
 
 def find_hot_keys(src: DataFrame, key_cols: Sequence[str], hot_rows: int | None = None) -> DataFrame | None:
     """Keys with more than ``hot_rows`` rows in ``src``, or None if there are none.
 
     One aggregation (partial counts per task) and an emptiness probe.  At
-    most ``rows / hot_rows`` keys can qualify, which bounds the broadcast.
+    most ``rows / hot_rows`` keys can qualify.
     """
     hot_rows = hot_rows if hot_rows is not None else hot_rows_setting(src)
     hot = (
@@ -158,7 +160,7 @@ def running_sum(
     key_cols = list(hot_keys.columns)
     if key_cols != group_cols[: len(key_cols)]:
         raise ValueError("hot_keys must be keyed by a prefix of group_cols")
-    hk = F.broadcast(_renamed(hot_keys, key_cols, "__h_").withColumn("__rs_hot", F.lit(True)))
+    hk = _renamed(hot_keys, key_cols, "__h_").withColumn("__rs_hot", F.lit(True))
     marked = base.join(hk, _null_safe_on(base, hk, key_cols, "__h_"), "left").select(
         *[base[c] for c in base.columns], hk["__rs_hot"]
     )
@@ -176,22 +178,6 @@ def row_position(
     out_col: str,
     **kw,
 ) -> DataFrame:
-    """1-based ``row_number()`` within each group (ties numbered consecutively)."""
+    """1-based ``row_number()`` within each group (ties numbered consecutively), as a long."""
     out = running_sum(df, group_cols, order_cols, F.lit(1), out_col, **kw)
-    return out.withColumn(out_col, F.col(out_col).cast("int"))
-
-
-def ranged_row_position(
-    df: DataFrame,
-    group_cols: Sequence[str],
-    order_cols: Sequence[Column | str],
-    out_col: str,
-    num_partitions: int | None = None,
-) -> DataFrame:
-    """``row_number()`` for frames whose groups are all known to be hot.
-
-    Skips the probe and the hot/cold split: every row goes through the
-    range-partitioned path.
-    """
-    out = _ranged_running(df.withColumn(_V, F.lit(1)), list(group_cols), order_cols, out_col, num_partitions)
-    return out.withColumn(out_col, F.col(out_col).cast("int"))
+    return out.withColumn(out_col, F.col(out_col).cast("long"))
