@@ -5,8 +5,8 @@ deterministic, integer-only function of ``orders``, ``lineitem``, ``part``,
 ``nation`` (see FIXTURES.md section 3).  The same mapping is written as SQL in
 :mod:`subledger.oracle` so an independent engine can build identical rows.
 
-Grain: contract = order; purchase = line item with return flag <> 'A';
-invoice = line item with return flag <> 'R'; product = part; branch = nation.
+Grain: contract = order; purchase = line item; invoice = line item;
+product = part; branch = nation.  No row of a table is left out.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ PART_TYPE_TO_PRODUCT_TYPE = {
 }
 # line status -> (package / product status id, status name)
 LINE_STATUS = {"O": (1, "active"), "F": (2, "closed")}
+# any other line status
+OTHER_STATUS = (3, "other")
 # -----------------------------------------------------------------------------
 
 TABLES = ("orders", "lineitem", "part", "nation")
@@ -83,7 +85,7 @@ def product_purchase(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
         F.col("o_orderkey"),
         _shifted("o_orderdate").alias("d0"),
     )
-    li = lineitem.where(F.col("l_returnflag") != "A").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    li = lineitem.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     k = F.col("l_orderkey")
     ln = F.col("l_linenumber")
     st = F.date_add(F.col("d0"), (F.col("l_partkey") % 400).cast("int"))
@@ -95,6 +97,7 @@ def product_purchase(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     )
     fee = (
         F.when((k % 30 == 3) | (ln == 7), F.lit(0.0))
+        .when(F.col("l_returnflag") == "A", F.col("l_extendedprice") * F.lit(0.5))
         .when(F.col("l_partkey") % 101 == 0, F.lit(None).cast("double"))
         .otherwise(F.col("l_extendedprice"))
     )
@@ -107,12 +110,11 @@ def product_purchase(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
         end.alias("end_date"),
         fee.alias("fee"),
         _at_clock(F.date_add(st, 1)).alias("date_update"),
-        F.when(F.col("l_linestatus") == "O", 1).otherwise(2).alias("package_status"),
+        _status_id(F.col("l_linestatus")).alias("package_status"),
     )
 
 
 def invoice(lineitem: DataFrame) -> DataFrame:
-    li = lineitem.where(F.col("l_returnflag") != "R")
     k = F.col("l_orderkey")
     ln = F.col("l_linenumber")
     pk = F.col("l_partkey")
@@ -122,13 +124,13 @@ def invoice(lineitem: DataFrame) -> DataFrame:
         .when(pk % 40 == 1, -F.col("l_extendedprice"))
         .otherwise(F.col("l_extendedprice"))
     )
-    inv_type = F.when(ln == 7, 2).when(ln == 6, 3).when(ln == 5, 4).otherwise(1)
+    inv_type = F.when((ln == 7) | ((F.col("l_returnflag") == "R") & (ln % 2 == 0)), 2).when(ln == 6, 3).when(ln == 5, 4).otherwise(1)
     status = (
         F.when(pk % 97 == 0, F.lit(None).cast("int"))
         .when((F.col("l_linestatus") == "O") & (pk % 4 == 0), 100)
         .otherwise(50)
     )
-    return li.select(
+    return lineitem.select(
         (k * 10 + ln).alias("id_invoice"),
         F.when(k % 10 == 0, F.lit(None).cast("long")).otherwise(k).alias("id_invoice_old"),
         k.alias("invoice_id_contract"),
@@ -163,14 +165,19 @@ def all_products(part: DataFrame) -> DataFrame:
     )
 
 
+def _status_id(code: Column) -> Column:
+    sid = F.lit(OTHER_STATUS[0])
+    for c, (i, _) in LINE_STATUS.items():
+        sid = F.when(code == c, F.lit(i)).otherwise(sid)
+    return sid
+
+
 def status(lineitem: DataFrame) -> DataFrame:
     """Status dimension: one row per line status present in the data."""
-    sid = F.lit(None).cast("int")
-    name = F.lit(None).cast("string")
-    for code, (i, label) in LINE_STATUS.items():
-        sid = F.when(F.col("l_linestatus") == code, F.lit(i)).otherwise(sid)
-        name = F.when(F.col("l_linestatus") == code, F.lit(label)).otherwise(name)
-    return lineitem.select(sid.alias("id_status"), name.alias("status_name")).where(F.col("id_status").isNotNull()).distinct()
+    name = F.lit(OTHER_STATUS[1])
+    for c, (_, label) in LINE_STATUS.items():
+        name = F.when(F.col("l_linestatus") == c, F.lit(label)).otherwise(name)
+    return lineitem.select(_status_id(F.col("l_linestatus")).alias("id_status"), name.alias("status_name")).distinct()
 
 
 def branch(nation: DataFrame) -> DataFrame:
