@@ -2,23 +2,27 @@
 
 ``Warehouse`` only wires layer functions together; nothing runs until a
 report is collected or written.  ``materialize`` writes the tables that the
-source warehouse keeps as tables (L2 and the L3 base tables) into the
-session's checkpoint folder -- shared storage on a cluster -- and reads them
-back.  Reports built afterwards start from those files, which cuts the
-lineage and makes a lost executor cost a file re-read instead of a re-join.
+source warehouse keeps as tables (L2, the L3 base tables and the two L3 report
+tables) as a new version in a folder of shared storage and reads them back.
+Reports built afterwards start from those files, which cuts the lineage and
+makes a lost executor cost a file re-read instead of a re-join.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
 from subledger.plans import layers
+from subledger.session import checkpoint_folder, configure
 from subledger.sources import csv as csv_source
 from subledger.sources import testdata
 
+# Views of the source warehouse.
+VIEWS = ("l1_contract", "l1_product", "l1_product_status", "l1_product_purchase", "l1_invoice")
 # Tables the source warehouse creates as tables (snapshots), in build order.
 MATERIALIZED = (
     "l2_contract",
@@ -27,58 +31,28 @@ MATERIALIZED = (
     "l2_product_purchase",
     "l3_invoice",
     "l3_pp_product_contract",
+    "l3_contract_duration_bins",
+    "l3_invoice_pp",
 )
-# Report tables the source warehouse also keeps as tables.
-REPORT_TABLES = ("l3_contract_duration_bins", "l3_invoice_pp")
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Make ``DataFrame.checkpoint()`` write to the session's shared folder.
-
-    Uses ``spark.checkpoint.dir`` (or an already set context directory).  Only
-    a local-mode session with neither gets a fresh temporary folder, as in
-    tests; a cluster session without one is an error, never a local path.
-    """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    conf = spark.conf.get("spark.checkpoint.dir", None)
-    if conf:
-        sc.setCheckpointDir(conf)
-    elif sc.master.startswith("local"):
-        import tempfile
-
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="subledger-ckpt-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return sc.getCheckpointDir()
-
-
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir`` (set only if unset)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
-    if not path:
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return path.rstrip("/")
+# Marks a version whose tables have all been written.
+COMPLETE = "_complete"
 
 
 class Warehouse:
     def __init__(self, l0: dict[str, DataFrame]):
         self.l0 = l0
         self._tables: dict[str, DataFrame] = {}
+        self._written = False
+        configure(self.spark)
+        checkpoint_folder(self.spark)
 
     # ---------------------------------------------------------------- builders
     @classmethod
     def from_testdata(cls, spark: SparkSession, sf_dir: str) -> Warehouse:
-        ensure_checkpoint_dir(spark)
         return cls(testdata.l0_from_testdata(spark, sf_dir))
 
     @classmethod
     def from_csv(cls, spark: SparkSession, folder: str, files: dict[str, str] | None = None) -> Warehouse:
-        ensure_checkpoint_dir(spark)
         return cls(csv_source.read_l0(spark, folder, files))
 
     @property
@@ -120,6 +94,13 @@ class Warehouse:
     def l2_invoice(self) -> DataFrame:
         return self._table("l2_invoice", lambda: layers.l2_invoice(self.l1_invoice, self.l2_contract))
 
+    @property
+    def l2_invoice_rows(self) -> DataFrame:
+        """The rows of ``l2_invoice`` for reports that need no numbering: from the table once it is written."""
+        if "l2_invoice" in self._tables and self._written:
+            return self._tables["l2_invoice"]
+        return self._table("l2_invoice_rows", lambda: layers.l2_invoice_rows(self.l1_invoice, self.l2_contract))
+
     @property
     def l2_product(self) -> DataFrame:
         return self._table("l2_product", lambda: layers.l2_product(self.l1_product))
@@ -133,7 +114,7 @@ class Warehouse:
     # ---------------------------------------------------------- L3 base tables
     @property
     def l3_invoice(self) -> DataFrame:
-        return self._table("l3_invoice", lambda: layers.l3_invoice(self.l2_invoice))
+        return self._table("l3_invoice", lambda: layers.l3_invoice(self.l2_invoice_rows))
 
     @property
     def l3_pp_product_contract(self) -> DataFrame:
@@ -159,17 +140,61 @@ class Warehouse:
         """Paying contracts in revenue segments."""
         from subledger.plans.reports import buying
 
-        return self._table("l3_invoice_pp", lambda: buying.revenue_segments(self.l2_invoice, self.l2_product_purchase))
+        return self._table("l3_invoice_pp", lambda: buying.revenue_segments(self.l2_invoice_rows, self.l2_product_purchase))
 
     # ------------------------------------------------------------ persistence
     def materialize(self, folder: str | None = None, tables=MATERIALIZED) -> str:
-        """Write the table layers as Parquet and switch to reading them back.
+        """Write the tables as a new version below ``folder`` and switch to reading it.
 
-        Pass ``tables=MATERIALIZED + REPORT_TABLES`` to also persist the two
-        report tables (written after the layers they read).
+        Every call builds from L0 again, so it picks up changed inputs, and
+        never reads or overwrites an earlier version.  The version counts once
+        all its tables are written (see :meth:`use`); a run that dies before
+        leaves the earlier one in place.  Returns the version's folder.
         """
-        folder = folder or f"{checkpoint_folder(self.spark)}/warehouse-{uuid.uuid4().hex[:12]}"
+        folder = (folder or f"{checkpoint_folder(self.spark)}/warehouse-{uuid.uuid4().hex[:12]}").rstrip("/")
+        version = f"{folder}/v{time.time_ns():020d}"
+        self._tables, self._written = {}, False
         for name in tables:
-            df = getattr(self, name)
-            self._tables[name] = csv_source.write_table(df, f"{folder}/{name}")
-        return folder
+            getattr(self, name).write.parquet(f"{version}/{name}")
+            self._tables[name] = self.spark.read.parquet(f"{version}/{name}")
+            self._written = True
+        fs, path = _hadoop(self.spark, f"{version}/{COMPLETE}")
+        fs.create(path, False).close()
+        return version
+
+    def use(self, folder: str) -> str:
+        """Read the tables of the latest complete version below ``folder``; returns its folder."""
+        done = self._versions(folder)
+        if not done:
+            raise FileNotFoundError(f"no complete version below {folder}")
+        fs, at = _hadoop(self.spark, done[-1])
+        names = [s.getPath().getName() for s in fs.listStatus(at) if s.isDirectory()]
+        self._tables, self._written = {n: self.spark.read.parquet(f"{done[-1]}/{n}") for n in names}, True
+        return done[-1]
+
+    def _versions(self, folder: str) -> list[str]:
+        folder = folder.rstrip("/")
+        fs, pattern = _hadoop(self.spark, f"{folder}/v*/{COMPLETE}")
+        return sorted(f"{folder}/{s.getPath().getParent().getName()}" for s in fs.globStatus(pattern) or [])
+
+    def drop_versions(self, folder: str, keep: int = 1) -> list[str]:
+        """Delete the oldest complete versions below ``folder``, all but the last ``keep``; returns them."""
+        done = self._versions(folder)
+        old = done[: max(0, len(done) - max(1, keep))]
+        for v in old:
+            fs, path = _hadoop(self.spark, v)
+            fs.delete(path, True)
+        return old
+
+    def register(self, prefix: str = "") -> list[str]:
+        """Name every view and table in the session (temporary views), for use in SQL; returns the names."""
+        names = [*VIEWS, *MATERIALIZED, "l3_pp_contract"]
+        for name in names:
+            getattr(self, name).createOrReplaceTempView(f"{prefix}{name}")
+        return [f"{prefix}{n}" for n in names]
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """(file system, path) of ``path`` in whatever storage it names."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p

@@ -1,11 +1,15 @@
 """Spark session defaults for running the warehouse.
 
-On a cluster the session normally comes from the platform; :func:`configure`
-only adds what the jobs rely on and never overrides a value already set.
+On a cluster the session normally comes from the platform; :func:`configure`,
+which every ``Warehouse`` calls, only adds what the plans rely on and never
+overrides a value that is set.
 """
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import SparkSession
 
 # Settings the plans are designed around.
@@ -15,6 +19,10 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # A report may aggregate per contract right after a join on the contract, which reuses the
+    # join's partitioning; without this, AQE would then leave a contract that holds a large
+    # part of all rows in one task.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Size-driven coalescing: merge shuffle partitions up to the advisory size
     # instead of keeping them small for parallelism; with a high
     # spark.sql.shuffle.partitions on a cluster this yields ~128 MB tasks
@@ -28,25 +36,44 @@ DEFAULTS = {
 
 def configure(spark: SparkSession) -> SparkSession:
     for k, v in DEFAULTS.items():
-        if k.startswith("spark.ui"):
-            continue
-        if spark.conf.get(k, None) is None:
+        if not k.startswith("spark.ui") and spark.conf.get(k, None) is None:
             spark.conf.set(k, v)
     return spark
 
 
+def _plain(path: str) -> str:
+    return re.sub(r"^file:/+", "/", path).rstrip("/") + "/"
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The one folder for checkpoints and intermediate tables that driver and executors share.
+
+    ``spark.checkpoint.dir`` of the session, or else the directory set on the
+    context.  Only a single-machine session with neither (a test, a smoke run)
+    gets a temporary folder; a cluster session without one is an error.
+    ``DataFrame.checkpoint()`` writes below the same folder.
+    """
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or current
+    if not folder:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="subledger-ckpt-")
+    if current is None or not _plain(current).startswith(_plain(folder)):
+        sc.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
 def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "subledger", **extra) -> SparkSession:
-    """A local session for tests and benchmarks (checkpoint folder set only if unset)."""
+    """A local session for tests and benchmarks, with a checkpoint folder of its own if none is given."""
     b = SparkSession.builder.master(f"local[{cores}]").appName(app)
     b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     b = b.config("spark.driver.memory", "16g")
-    for k, v in DEFAULTS.items():
-        b = b.config(k, v)
-    for k, v in extra.items():
+    if "spark.checkpoint.dir" not in extra:
+        extra["spark.checkpoint.dir"] = tempfile.mkdtemp(prefix="subledger-ckpt-")
+    for k, v in {**DEFAULTS, "spark.cleaner.referenceTracking.cleanCheckpoints": "true", **extra}.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    from subledger.plans.warehouse import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(spark)
-    return spark
+    return configure(spark)
