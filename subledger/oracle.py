@@ -6,25 +6,34 @@ test tables (``orders lineitem part nation`` views) -- plain joins,
 uses the Spark side's rewrites (per-contract flags, sweeps, range-partitioned
 ranks), so agreement checks those rewrites.  Dialect notes: single-quoted
 strings, explicit ``NULLS FIRST`` where Spark sorts NULLs first, doubles for
-the VAT factor, explicit tie-breaks for every ordered limit, and the same
-4-digit rounding of aggregated doubles as the Spark side.
+the VAT factor, explicit tie-breaks for every ordered limit.  Doubles are
+summed as decimals and rounded in the last select only.  Bins, labels, cut
+points, order keys and mappings are written out here, not imported.
 """
 
 from __future__ import annotations
 
 import re
 
-from subledger.constants import (
-    DURATION_BIN_BOUNDS,
-    DURATION_BIN_LABELS,
-    DURATION_BIN_LABELS_V1,
-    SEGMENT_LABELS,
-    SEGMENT_PERCENTILES,
+# Written out here, not imported, so that a wrong constant of the library cannot agree with itself.
+DURATION_BIN_BOUNDS = (30, 61, 91, 122, 152, 183, 365, 1230)
+DURATION_BIN_LABELS_V1 = ("M1", "M2", "M3", "M4", "M5", "M6", "M6-M12", "Y2", "Y2+")
+DURATION_BIN_LABELS = ("M1", "M2", "M3", "M4", "M5", "M6", "M6-M12", "Y1-Y2", "Y2+")
+SEGMENT_PERCENTILES = (0.25, 0.50, 0.75)
+SEGMENT_LABELS = (
+    "Light spenders (bottom quartile)",
+    "Moderate spenders (3rd quartile)",
+    "Heavy spenders (2nd quartile)",
+    "Superstars (top quartile)",
 )
-from subledger.plans.layers import INVOICE_ORDER_KEYS
-from subledger.sources.testdata import DATE_SHIFT_DAYS, LINE_STATUS, PART_TYPE_TO_PRODUCT_TYPE
+PART_TYPE_TO_PRODUCT_TYPE = {"ECONOMY": "product_trial", "STANDARD": "equipment", "SMALL": "rent", "PROMO": "service"}
 
-D = 4  # rounding digits of aggregated doubles
+D = 4  # digits of reported doubles, rounded in the last select only
+
+
+def _total(x: str) -> str:
+    """A sum of doubles that does not depend on the order of its terms."""
+    return f"CAST(sum(CAST({x} AS DECIMAL(28, 8))) AS DOUBLE)"
 
 
 def _at(day: str) -> str:
@@ -60,10 +69,10 @@ _PTYPE = (
     + " ".join(f"WHEN split_part(p_type, ' ', 1) = '{w}' THEN '{t}'" for w, t in PART_TYPE_TO_PRODUCT_TYPE.items())
     + " ELSE 'product' END"
 )
-_STATUS_ID = "CASE " + " ".join(f"WHEN l_linestatus = '{c}' THEN {i}" for c, (i, _) in LINE_STATUS.items()) + " END"
-_STATUS_NAME = "CASE " + " ".join(f"WHEN l_linestatus = '{c}' THEN '{n}'" for c, (_, n) in LINE_STATUS.items()) + " END"
-_D0 = f"(CAST(o_orderdate AS DATE) + {DATE_SHIFT_DAYS})"
-_ISS = f"(CAST(l_shipdate AS DATE) + {DATE_SHIFT_DAYS})"
+_STATUS_ID = "CASE l_linestatus WHEN 'O' THEN 1 WHEN 'F' THEN 2 ELSE 3 END"
+_STATUS_NAME = "CASE l_linestatus WHEN 'O' THEN 'active' WHEN 'F' THEN 'closed' ELSE 'other' END"
+_D0 = "(CAST(o_orderdate AS DATE) + 8766)"
+_ISS = "(CAST(l_shipdate AS DATE) + 8766)"
 _ST = "(d0 + CAST(l_partkey % 400 AS INTEGER))"
 
 # Named building blocks, in dependency order.  A query pulls in the ones it
@@ -96,12 +105,12 @@ SELECT l_orderkey * 10 + l_linenumber AS id_package,
             WHEN l_linenumber IN (1, 2) THEN {_valid_to('l_orderkey', 'd0')}
             ELSE {_iso(f'({_ST} + CAST(floor(l_quantity * 10) AS INTEGER))')} END AS end_date,
        CASE WHEN l_orderkey % 30 = 3 OR l_linenumber = 7 THEN CAST(0 AS DOUBLE)
+            WHEN l_returnflag = 'A' THEN l_extendedprice * CAST(0.5 AS DOUBLE)
             WHEN l_partkey % 101 = 0 THEN NULL
             ELSE l_extendedprice END AS fee,
        {_at(f'({_ST} + 1)')} AS date_update,
-       CASE WHEN l_linestatus = 'O' THEN 1 ELSE 2 END AS package_status
-FROM lineitem JOIN (SELECT o_orderkey, {_D0} AS d0 FROM orders) o ON l_orderkey = o.o_orderkey
-WHERE l_returnflag <> 'A'"""
+       {_STATUS_ID} AS package_status
+FROM lineitem JOIN (SELECT o_orderkey, {_D0} AS d0 FROM orders) o ON l_orderkey = o.o_orderkey"""
 
 CTES["l0_invoice"] = f"""
 SELECT l_orderkey * 10 + l_linenumber AS id_invoice,
@@ -115,7 +124,8 @@ SELECT l_orderkey * 10 + l_linenumber AS id_invoice,
        CASE WHEN l_partkey % 25 = 0 THEN CAST(0 AS DOUBLE)
             WHEN l_partkey % 40 = 1 THEN -l_extendedprice
             ELSE l_extendedprice END AS value,
-       CASE l_linenumber WHEN 7 THEN 2 WHEN 6 THEN 3 WHEN 5 THEN 4 ELSE 1 END AS invoice_type,
+       CASE WHEN l_linenumber = 7 OR (l_returnflag = 'R' AND l_linenumber % 2 = 0) THEN 2
+            WHEN l_linenumber = 6 THEN 3 WHEN l_linenumber = 5 THEN 4 ELSE 1 END AS invoice_type,
        l_discount AS value_storno,
        {_at(_ISS)} AS date_insert,
        CASE WHEN l_partkey % 97 = 0 THEN NULL
@@ -123,8 +133,7 @@ SELECT l_orderkey * 10 + l_linenumber AS id_invoice,
             ELSE 50 END AS status,
        {_at(f'({_ISS} + 1)')} AS date_update,
        l_suppkey % 25 AS id_branch
-FROM lineitem
-WHERE l_returnflag <> 'R'"""
+FROM lineitem"""
 
 CTES["l0_invoice_load"] = "SELECT * FROM l0_invoice"
 
@@ -139,7 +148,7 @@ FROM part"""
 
 CTES["l0_status"] = f"""
 SELECT DISTINCT {_STATUS_ID} AS id_status, {_STATUS_NAME} AS status_name
-FROM lineitem WHERE {_STATUS_ID} IS NOT NULL"""
+FROM lineitem"""
 
 CTES["l0_branch"] = "SELECT CAST(n_nationkey AS BIGINT) AS id_branch, n_name AS branch_name FROM nation"
 
@@ -215,14 +224,20 @@ SELECT contract_id, branch_id, contract_valid_from, contract_valid_to, registere
 FROM l1_contract
 WHERE registered_date IS NOT NULL"""
 
-_ORDER = ", ".join(f"i.{c} ASC NULLS FIRST" for c in INVOICE_ORDER_KEYS)
+_ORDER = ", ".join(
+    f"i.{c} ASC NULLS FIRST"
+    for c in (
+        "date_issue", "invoice_id", "due_date", "paid_date", "start_date", "end_date", "amount_w_vat", "date_insert",
+        "update_date", "branch_id",
+    )
+)
 CTES["l2_invoice"] = f"""
 SELECT i.invoice_id, i.contract_id, i.date_issue, i.due_date, i.paid_date, i.start_date, i.end_date,
        i.amount_w_vat,
        CASE WHEN i.amount_w_vat <= 0 THEN CAST(0 AS DOUBLE)
             WHEN i.amount_w_vat > 0 THEN i.amount_w_vat / CAST(1.2 AS DOUBLE) END AS amount_wo_vat,
        i.date_insert, i.update_date, i.branch_id,
-       CAST(row_number() OVER (PARTITION BY i.contract_id ORDER BY {_ORDER}) AS INTEGER) AS invoice_order
+       row_number() OVER (PARTITION BY i.contract_id ORDER BY {_ORDER}) AS invoice_order
 FROM l1_invoice i
 JOIN l2_contract c ON i.contract_id = c.contract_id
 WHERE i.invoice_type = 'invoice' AND i.flag_invoice_issued"""
@@ -236,14 +251,13 @@ CTES["l2_product_purchase"] = """
 SELECT product_purchase_id, contract_id, product_id, create_date, product_valid_from, product_valid_to,
        price_wo_vat, price_wo_vat * CAST(1.2 AS DOUBLE) AS price_w_vat, date_update, product_name, product_type,
        CASE WHEN product_valid_to = DATE '2035-12-31' THEN true ELSE false END AS flag_unlimited_product
-FROM l1_product_purchase
-WHERE true
-  AND product_category IN ('product', 'rent')
-  AND product_id IN (SELECT product_id FROM l2_product)"""
+FROM l1_product_purchase u
+WHERE u.product_category IN ('product', 'rent')
+  AND EXISTS (SELECT 1 FROM l2_product q WHERE q.product_id = u.product_id)"""
 
 # ---------------------------------------------------------------- L3 tables
 CTES["l3_invoice"] = f"""
-SELECT contract_id, round(sum(amount_wo_vat), {D}) AS rev_per_contract
+SELECT contract_id, {_total('amount_wo_vat')} AS rev_per_contract
 FROM l2_invoice
 WHERE paid_date IS NOT NULL
 GROUP BY contract_id"""
@@ -262,7 +276,7 @@ CTES["l3_pp_contract"] = "SELECT *, product_life AS product_lifecycle FROM l3_pp
 # ------------------------------------------------------- per-query helpers
 CTES["q7_per_contract"] = f"""
 SELECT i.contract_id,
-       round(sum(i.amount_wo_vat), {D}) AS total_revenue,
+       {_total('i.amount_wo_vat')} AS total_revenue,
        count(p.product_purchase_id) AS total_purchases
 FROM l2_invoice i
 LEFT JOIN l2_product_purchase p ON p.contract_id = i.contract_id
@@ -303,6 +317,13 @@ SELECT DISTINCT x.contract_id FROM q_ended x
 WHERE x.product_valid_to > x.product_valid_from
   AND EXISTS (SELECT 1 FROM q_ended y WHERE y.contract_id = x.contract_id AND y.product_id <> x.product_id)"""
 
+# Contracts with a started trial: their other purchase rows and what those cost.
+CTES["q_trial_contracts"] = f"""
+SELECT contract_id, count(*) FILTER (product_type <> 'product_trial') AS n_other,
+       {_total("CASE WHEN product_type <> 'product_trial' THEN price_wo_vat END")} AS p_other
+FROM l3_pp_contract WHERE contract_id IS NOT NULL GROUP BY contract_id
+HAVING count(*) FILTER (product_type = 'product_trial' AND product_valid_from IS NOT NULL) > 0"""
+
 CTES["q16_equipment"] = """
 SELECT contract_id, product_id, product_type, product_valid_to FROM q_ended WHERE product_type = 'equipment'"""
 
@@ -313,22 +334,25 @@ WHERE EXISTS (SELECT 1 FROM q16_equipment e
               WHERE e.contract_id = o.contract_id AND e.product_id <> o.product_id
                 AND e.product_valid_to BETWEEN o.product_valid_from AND o.product_valid_to)"""
 
-CTES["q_per_contract_inv"] = """
-SELECT contract_id, count(invoice_id) AS num_invoices, sum(amount_wo_vat) AS total_amount_wo_vat
+CTES["q_per_contract_inv"] = f"""
+SELECT contract_id, count(invoice_id) AS num_invoices, {_total('amount_wo_vat')} AS total_amount_wo_vat
 FROM l2_invoice GROUP BY contract_id"""
 CTES["q_per_contract_pp"] = """
 SELECT contract_id, count(product_id) AS num_products, count(product_purchase_id) AS num_pp
 FROM l2_product_purchase GROUP BY contract_id"""
 
 
-def _disc_quantiles(source: str, col: str, probs=(0.0, 0.25, 0.5, 0.75, 1.0), names=("q0", "q1", "q2", "q3", "q4")) -> str:
+def _disc_quantiles(
+    source: str, col: str, probs=(0.0, 0.25, 0.5, 0.75, 1.0), names=("q0", "q1", "q2", "q3", "q4"), digits: int | None = None
+) -> str:
     """Nearest-rank quantiles as one row (value at 1-based rank max(1, ceil(p*n)))."""
     ranked = (
         f"(SELECT {col} AS v, row_number() OVER (ORDER BY {col}) AS rn, count(*) OVER () AS n "
         f"FROM ({source}) WHERE {col} IS NOT NULL)"
     )
+    shown = "v" if digits is None else f"round(v, {digits})"
     cols = ", ".join(
-        f"(SELECT v FROM {ranked} WHERE rn = greatest(1, ceil(CAST({p!r} AS DOUBLE) * n))) AS {nm}"
+        f"(SELECT {shown} FROM {ranked} WHERE rn = greatest(1, ceil(CAST({p!r} AS DOUBLE) * n))) AS {nm}"
         for p, nm in zip(probs, names)
     )
     return f"SELECT {cols}"
@@ -383,34 +407,33 @@ FINAL: dict[str, str] = {
         f"{_bins(DURATION_BIN_LABELS_V1)} AS contract_duration FROM l3_pp_product_contract "
         f"WHERE contract_valid_to IS NOT NULL) GROUP BY contract_duration ORDER BY contract_duration"
     ),
-    "avg_revenue_per_customer": f"SELECT round(sum(rev_per_contract) / count(contract_id), {D}) AS rev_per_cust FROM l3_invoice",
+    "avg_revenue_per_customer": f"SELECT round({_total('rev_per_contract')} / count(contract_id), {D}) AS rev_per_cust FROM l3_invoice",
     "median_revenue_single_row": (
-        "SELECT quantile_disc(rev_per_customer, 0.5) AS median FROM ("
-        f"SELECT round(sum(amount_wo_vat) / count(DISTINCT contract_id), {D}) AS rev_per_customer "
-        "FROM l2_invoice WHERE paid_date IS NOT NULL)"
+        f"SELECT round({_total('amount_wo_vat')} / count(DISTINCT contract_id), {D}) AS median "
+        "FROM l2_invoice WHERE paid_date IS NOT NULL"
     ),
     "revenue_segments": (
         "SELECT revenue_segment, count(DISTINCT contract_id) AS num_customers, "
-        "CAST(round(sum(total_revenue)) AS BIGINT) AS total_revenue, "
+        f"CAST(round({_total('total_revenue')}) AS BIGINT) AS total_revenue, "
         "CAST(sum(total_purchases) AS BIGINT) AS total_purchases "
         "FROM q7_tagged GROUP BY revenue_segment ORDER BY revenue_segment"
     ),
     "customers_churned": f"SELECT * FROM l3_pp_contract WHERE {_CHURN_ROWS} ORDER BY product_lifecycle DESC",
     "churned_multi_product_top50": (
-        "SELECT c.contract_id, count(c.contract_id) AS cnt FROM l3_pp_contract c "
-        f"JOIN (SELECT * FROM l3_pp_contract WHERE {_CHURN_ROWS}) ch ON c.contract_id = ch.contract_id "
-        "GROUP BY c.contract_id HAVING count(c.contract_id) > 1 ORDER BY cnt DESC, c.contract_id ASC LIMIT 50"
+        "SELECT contract_id, n * n_churn AS cnt FROM (SELECT contract_id, count(*) AS n, "
+        f"count(*) FILTER ({_CHURN_ROWS}) AS n_churn FROM l3_pp_contract WHERE contract_id IS NOT NULL GROUP BY contract_id) "
+        "WHERE n * n_churn > 1 ORDER BY cnt DESC, contract_id LIMIT 50"
     ),
     "unique_contracts": "SELECT count(DISTINCT contract_id) AS unique_contracts FROM l1_contract WHERE contract_valid_from IS NOT NULL",
     "trial_customers": (
-        "SELECT count(DISTINCT contract_id) AS trial_customers FROM l2_product_purchase "
-        "WHERE product_type = 'product_trial' AND product_valid_from IS NOT NULL "
-        "AND contract_id IN (SELECT contract_id FROM l2_contract WHERE contract_valid_from IS NOT NULL)"
+        "SELECT count(DISTINCT u.contract_id) AS trial_customers FROM l2_product_purchase u "
+        "WHERE u.product_type = 'product_trial' AND u.product_valid_from IS NOT NULL AND EXISTS "
+        "(SELECT 1 FROM l2_contract k WHERE k.contract_id = u.contract_id AND k.contract_valid_from IS NOT NULL)"
     ),
     "non_trial_customers": (
-        "SELECT count(DISTINCT contract_id) AS non_trial_customers FROM l2_product_purchase "
-        "WHERE product_type <> 'product_trial' AND product_valid_from IS NOT NULL "
-        "AND contract_id IN (SELECT contract_id FROM l2_contract WHERE contract_valid_from IS NOT NULL)"
+        "SELECT count(DISTINCT u.contract_id) AS non_trial_customers FROM l2_product_purchase u "
+        "WHERE u.product_type <> 'product_trial' AND u.product_valid_from IS NOT NULL AND EXISTS "
+        "(SELECT 1 FROM l2_contract k WHERE k.contract_id = u.contract_id AND k.contract_valid_from IS NOT NULL)"
     ),
     "continued_after_trial": (
         "SELECT count(DISTINCT a.contract_id) AS continued_customers FROM l3_pp_product_contract a "
@@ -433,26 +456,18 @@ FINAL: dict[str, str] = {
         "FROM q_ended WHERE contract_id IN (SELECT contract_id FROM q_with_other_product)"
     ),
     "churned_equipment_other_types": (
-        "SELECT e.contract_id, e.product_type AS discontinued_product, a.product_type AS other_product_at_same_time "
-        "FROM q16_equipment e JOIN q16_active_then a ON a.contract_id = e.contract_id ORDER BY e.contract_id"
+        "SELECT e.contract_id, e.product_type AS discontinued_product, a.product_type AS other_product_at_same_time, count(*) AS cnt "
+        "FROM q16_equipment e JOIN q16_active_then a ON a.contract_id = e.contract_id GROUP BY ALL ORDER BY ALL"
     ),
     "contract_duration_bins": (
         f"SELECT contract_duration, count(DISTINCT contract_id) AS cnt FROM (SELECT contract_id, "
         f"{_bins(DURATION_BIN_LABELS)} AS contract_duration FROM l3_pp_product_contract "
         f"WHERE contract_valid_to IS NOT NULL) GROUP BY contract_duration ORDER BY contract_duration"
     ),
-    "trial_then_other_rows": (
-        "SELECT count(contract_id) AS cnt FROM l3_pp_contract WHERE product_type <> 'product_trial' "
-        "AND contract_id IN (SELECT contract_id FROM l3_pp_contract WHERE product_type = 'product_trial' "
-        "AND product_valid_from IS NOT NULL)"
-    ),
-    "trial_then_other_revenue": (
-        f"SELECT round(sum(price_wo_vat), {D}) AS revenue FROM l3_pp_contract WHERE product_type <> 'product_trial' "
-        "AND contract_id IN (SELECT contract_id FROM l3_pp_contract WHERE product_type = 'product_trial' "
-        "AND product_valid_from IS NOT NULL)"
-    ),
+    "trial_then_other_rows": "SELECT coalesce(sum(n_other), 0)::BIGINT AS cnt FROM q_trial_contracts",
+    "trial_then_other_revenue": f"SELECT round({_total('p_other')}, {D}) AS revenue FROM q_trial_contracts",
     "trial_revenue": (
-        f"SELECT round(sum(price_wo_vat), {D}) AS revenue FROM l3_pp_contract "
+        f"SELECT round({_total('price_wo_vat')}, {D}) AS revenue FROM l3_pp_contract "
         "WHERE product_type = 'product_trial' AND product_valid_from IS NOT NULL"
     ),
     "top_cancel_dates": (
@@ -491,14 +506,14 @@ FINAL: dict[str, str] = {
     ),
     "median_contract_duration": _disc_quantiles("SELECT contract_duration FROM l3_pp_contract", "contract_duration", (0.5,), ("median",)),
     "top_spenders": (
-        f"SELECT contract_id, round(sum(amount_wo_vat), {D}) AS sum FROM l2_invoice WHERE paid_date IS NOT NULL "
-        "GROUP BY contract_id ORDER BY sum DESC NULLS LAST, contract_id ASC LIMIT 50"
+        f"SELECT contract_id, round(spent, {D}) AS sum FROM (SELECT contract_id, {_total('amount_wo_vat')} AS spent "
+        "FROM l2_invoice WHERE paid_date IS NOT NULL GROUP BY contract_id) ORDER BY spent DESC NULLS LAST, contract_id LIMIT 50"
     ),
     "invoice_amount_quartiles": _disc_quantiles(
         "SELECT amount_wo_vat FROM l2_invoice WHERE paid_date IS NOT NULL", "amount_wo_vat"
     ),
-    "avg_invoice_amount": f"SELECT round(avg(amount_wo_vat), {D}) AS avg_amount_wo_vat FROM l2_invoice",
-    "avg_purchase_price": f"SELECT round(avg(price_wo_vat), {D}) AS avg_price_wo_vat FROM l2_product_purchase WHERE price_wo_vat > 0",
+    "avg_invoice_amount": f"SELECT round({_total('amount_wo_vat')} / count(amount_wo_vat), {D}) AS avg_amount_wo_vat FROM l2_invoice",
+    "avg_purchase_price": f"SELECT round({_total('price_wo_vat')} / count(price_wo_vat), {D}) AS avg_price_wo_vat FROM l2_product_purchase WHERE price_wo_vat > 0",
     "zero_paying_customers": (
         # NOT IN as NOT EXISTS: a paying row of the contract, or a paying row without id, excludes it
         "SELECT count(*) AS cnt FROM l2_contract c JOIN l2_product_purchase z ON z.contract_id = c.contract_id "
@@ -512,7 +527,7 @@ FINAL: dict[str, str] = {
         "FROM l2_invoice GROUP BY contract_id)"
     ),
     "revenue_per_customer_quartiles": _disc_quantiles(
-        f"SELECT contract_id, round(sum(amount_wo_vat), {D}) AS total FROM l2_invoice GROUP BY contract_id", "total"
+        f"SELECT contract_id, {_total('amount_wo_vat')} AS total FROM l2_invoice GROUP BY contract_id", "total", digits=D
     ),
     "invoice_count_quartiles": _disc_quantiles(
         "SELECT contract_id, count(invoice_id) AS cnt FROM l2_invoice GROUP BY contract_id", "cnt"
@@ -532,7 +547,7 @@ FINAL: dict[str, str] = {
     ),
     "free_product_types": "SELECT DISTINCT product_type FROM l2_product_purchase WHERE price_wo_vat = 0",
     "revenue_per_customer_by_type": (
-        f"SELECT product_type, round(sum(price_wo_vat) / count(contract_id), {D}) AS rev_per_customer "
+        f"SELECT product_type, round({_total('price_wo_vat')} / count(contract_id), {D}) AS rev_per_customer "
         "FROM l2_product_purchase WHERE product_type IS NOT NULL GROUP BY product_type"
     ),
     "avg_trial_duration": (

@@ -23,12 +23,14 @@ from subledger.constants import (
 from subledger.functions import (
     business_date,
     business_date_of_text,
+    exact_sum,
     flag,
     invoice_type_label,
     net_of_vat,
     with_vat,
 )
-from subledger.operators.running import find_hot_keys, ranged_row_position, row_position
+from subledger.operators.broadcasts import broadcast_if_small
+from subledger.operators.running import hot_rows_setting, row_position
 
 # ----------------------------------------------------------------- L1 views
 
@@ -75,12 +77,13 @@ def l1_product_purchase(
 ) -> DataFrame:
     """Purchases LEFT JOIN status LEFT JOIN product (fan-out on repeated ids kept).
 
-    The two dimensions are small catalogs; the planner broadcasts them when
-    their measured size is under the broadcast threshold and shuffles
-    otherwise -- no unconditional hint.
+    A status id has a handful of values, so a shuffle of the purchases on it
+    would land in a handful of tasks: the status catalog is broadcast after a
+    count of its rows, and only a catalog beyond the bound is shuffled.  The
+    product catalog is left to the planner and its measured size.
     """
     pp = product_purchase.alias("pp")
-    ps = product_status.alias("ps")
+    ps = broadcast_if_small(product_status).alias("ps")
     p = product.alias("p")
     return (
         pp.join(ps, F.col("pp.package_status") == F.col("ps.product_status_id"), "left")
@@ -164,51 +167,48 @@ INVOICE_ORDER_KEYS = (
 )
 
 
-def l2_invoice(l1_invoice_df: DataFrame, l2_contract_df: DataFrame, vat_rate: float = VAT_RATE, hot_rows: int | None = None) -> DataFrame:
-    """Issued invoices of L2 contracts, net of VAT, numbered per contract.
-
-    Inner join on contract id (repeated contract rows fan out, as in SQL).
-    A probe on the invoice keys finds contracts too big for one task; the
-    invoices are split *before* the join so every row is shuffled once:
+def l2_invoice_rows(l1_invoice_df: DataFrame, l2_contract_df: DataFrame, vat_rate: float = VAT_RATE) -> DataFrame:
+    """Issued invoices of L2 contracts, net of VAT, not yet numbered.
 
-    * cold contracts: sort-merge join on ``contract_id``, and the numbering
-      window reuses that partitioning (no further exchange);
-    * hot contracts (at most rows / ``hot_rows`` of them): their few contract
-      rows are broadcast to the hot invoices, which are then numbered on the
-      range-partitioned path of :func:`ranged_row_position`.
+    Inner join on contract id; repeated contract rows fan out, as in SQL.  Most
+    reports read these rows and never pay for the numbering.
     """
     inv = l1_invoice_df.where((F.col("invoice_type") == "invoice") & F.col("flag_invoice_issued"))
-    contracts = l2_contract_df.select(F.col("contract_id").alias("__c_id"))
-    order = [F.col(c).asc_nulls_first() for c in INVOICE_ORDER_KEYS]
+    c = l2_contract_df.select(F.col("contract_id").alias("__c_id"))
+    return inv.join(c, inv["contract_id"] == c["__c_id"], "inner").select(
+        "invoice_id",
+        "contract_id",
+        "date_issue",
+        "due_date",
+        "paid_date",
+        "start_date",
+        "end_date",
+        "amount_w_vat",
+        net_of_vat("amount_w_vat", vat_rate).alias("amount_wo_vat"),
+        "date_insert",
+        "update_date",
+        "branch_id",
+    )
 
-    def joined(i: DataFrame, c: DataFrame) -> DataFrame:
-        return i.join(c, i["contract_id"] == c["__c_id"], "inner").select(
-            "invoice_id",
-            "contract_id",
-            "date_issue",
-            "due_date",
-            "paid_date",
-            "start_date",
-            "end_date",
-            "amount_w_vat",
-            net_of_vat("amount_w_vat", vat_rate).alias("amount_wo_vat"),
-            "date_insert",
-            "update_date",
-            "branch_id",
-        )
 
-    hot = find_hot_keys(inv.select("contract_id"), ["contract_id"], hot_rows)
-    if hot is None:
-        return row_position(joined(inv, contracts), ["contract_id"], order, "invoice_order", hot_keys=None)
+def l2_invoice(l1_invoice_df: DataFrame, l2_contract_df: DataFrame, vat_rate: float = VAT_RATE, hot_rows: int | None = None) -> DataFrame:
+    """:func:`l2_invoice_rows` with ``invoice_order``, the invoice's number within its contract.
 
-    hk = F.broadcast(hot.select(F.col("contract_id").alias("__h_id")))
-    inv_cold = inv.join(hk, inv["contract_id"] == hk["__h_id"], "left_anti")
-    inv_hot = inv.join(hk, inv["contract_id"] == hk["__h_id"], "left_semi")
-    # Contract rows of hot contracts: bounded by the hot-key list (times repeats).
-    hot_contracts = F.broadcast(contracts.join(hk, contracts["__c_id"] == hk["__h_id"], "left_semi"))
-    cold = row_position(joined(inv_cold, contracts), ["contract_id"], order, "invoice_order", hot_keys=None)
-    hot_part = ranged_row_position(joined(inv_hot, hot_contracts), ["contract_id"], order, "invoice_order")
-    return cold.unionByName(hot_part)
+    The probe counts joined rows (invoices times contract rows) per contract
+    from two slim aggregations, so neither repeated contract rows nor invoices
+    that the join drops mislead it.  Contracts over ``hot_rows`` rows are
+    numbered on the range-partitioned path of :mod:`subledger.operators.running`;
+    without any, the numbering is one window that reuses the join's partitioning.
+    """
+    rows = l2_invoice_rows(l1_invoice_df, l2_contract_df, vat_rate)
+    limit = hot_rows_setting(rows) if hot_rows is None else hot_rows
+    inv = l1_invoice_df.where((F.col("invoice_type") == "invoice") & F.col("flag_invoice_issued") & F.col("contract_id").isNotNull())
+    n_inv = inv.groupBy("contract_id").agg(F.count(F.lit(1)).alias("__n_inv"))
+    n_con = l2_contract_df.groupBy(F.col("contract_id").alias("__c_id")).agg(F.count(F.lit(1)).alias("__n_con"))
+    hot = n_inv.join(n_con, n_inv["contract_id"] == n_con["__c_id"], "inner")
+    hot = hot.where(F.col("__n_inv") * F.col("__n_con") > limit).select("contract_id")
+    order = [F.col(c).asc_nulls_first() for c in INVOICE_ORDER_KEYS]
+    return row_position(rows, ["contract_id"], order, "invoice_order", hot_keys=None if hot.isEmpty() else hot)
 
 
 def l2_product(l1_product_df: DataFrame, categories: Sequence[str] = SOLD_CATEGORIES) -> DataFrame:
@@ -246,15 +246,12 @@ def l2_product_purchase(
 # ------------------------------------------------------------ L3 base tables
 
 
-def l3_invoice(l2_invoice_df: DataFrame, digits: int | None = 4) -> DataFrame:
-    """Revenue per contract from paid invoices."""
-    total = F.sum("amount_wo_vat")
-    if digits is not None:
-        total = F.round(total, digits)
+def l3_invoice(l2_invoice_df: DataFrame) -> DataFrame:
+    """Revenue per contract from paid invoices (stored unrounded)."""
     return (
         l2_invoice_df.where(F.col("paid_date").isNotNull())
         .groupBy("contract_id")
-        .agg(total.alias("rev_per_contract"))
+        .agg(exact_sum("amount_wo_vat").alias("rev_per_contract"))
     )
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from subledger.operators import quality
 from subledger.plans.reports import behavior, buying, churn
@@ -36,14 +37,14 @@ QUERIES: dict[str, Query] = {
     "check_invoice_duplicates": lambda w: quality.duplicate_keys(w.l0["invoice"], "id_invoice"),
     "invoice_deduplicated": lambda w: quality.dedupe_by_key(w.l0["invoice"], "id_invoice"),
     "check_invoice_old_duplicates": lambda w: quality.duplicate_keys(w.l0["invoice"], "id_invoice_old").orderBy(
-        "cnt", ascending=False
+        F.col("cnt").desc(), F.col("id_invoice_old").asc()
     ),
     "l1_invoice": lambda w: w.l1_invoice,
     # L2 tables and count checks
     "l2_contract": lambda w: w.l2_contract,
     "check_counts_contract": lambda w: quality.count_compare({"L2": w.l2_contract, "L1": w.l1_contract}),
     "l2_invoice": lambda w: w.l2_invoice,
-    "check_counts_invoice": lambda w: quality.count_compare({"L2": w.l2_invoice, "L1": w.l1_invoice}),
+    "check_counts_invoice": lambda w: quality.count_compare({"L2": w.l2_invoice_rows, "L1": w.l1_invoice}),
     "l2_product": lambda w: w.l2_product,
     "check_counts_product": lambda w: quality.count_compare({"L2": w.l2_product, "L1": w.l1_product}),
     "l2_product_purchase": lambda w: w.l2_product_purchase,
@@ -54,8 +55,8 @@ QUERIES: dict[str, Query] = {
     "contract_duration_bins_v1": lambda w: churn.contract_duration_bins_v1(w.l3_pp_product_contract),
     # 1. buying behaviour
     "avg_revenue_per_customer": lambda w: buying.avg_revenue_per_customer(w.l3_invoice),
-    "median_revenue_single_row": lambda w: buying.median_revenue_single_row(w.l2_invoice),
-    "revenue_segments": lambda w: buying.revenue_segments(w.l2_invoice, w.l2_product_purchase),
+    "median_revenue_single_row": lambda w: buying.median_revenue_single_row(w.l2_invoice_rows),
+    "revenue_segments": lambda w: buying.revenue_segments(w.l2_invoice_rows, w.l2_product_purchase),
     # 2. customer churn
     "customers_churned": lambda w: churn.customers_churned(w.l3_pp_contract),
     "churned_multi_product_top50": lambda w: churn.churned_multi_product_top(w.l3_pp_contract),
@@ -79,25 +80,21 @@ QUERIES: dict[str, Query] = {
     "end_date_by_invoice_order": lambda w: churn.end_date_by_invoice_order(w.l2_invoice),
     "median_contract_duration": lambda w: churn.median_contract_duration(w.l3_pp_contract),
     # 3. customer behaviour
-    "top_spenders": lambda w: behavior.top_spenders(w.l2_invoice),
-    "invoice_amount_quartiles": lambda w: behavior.invoice_amount_quartiles(w.l2_invoice),
-    "avg_invoice_amount": lambda w: behavior.avg_invoice_amount(w.l2_invoice),
+    "top_spenders": lambda w: behavior.top_spenders(w.l2_invoice_rows),
+    "invoice_amount_quartiles": lambda w: behavior.invoice_amount_quartiles(w.l2_invoice_rows),
+    "avg_invoice_amount": lambda w: behavior.avg_invoice_amount(w.l2_invoice_rows),
     "avg_purchase_price": lambda w: behavior.avg_purchase_price(w.l2_product_purchase),
     "zero_paying_customers": lambda w: behavior.zero_paying_customers(w.l2_product_purchase, w.l2_contract),
-    "avg_invoices_per_customer": lambda w: behavior.avg_invoices_per_customer(w.l2_invoice),
-    "revenue_per_customer_quartiles": lambda w: behavior.revenue_per_customer_quartiles(w.l2_invoice),
-    "invoice_count_quartiles": lambda w: behavior.invoice_count_quartiles(w.l2_invoice),
-    "corr_invoices_revenue": lambda w: behavior.corr_invoices_revenue(w.l2_invoice),
-    "corr_invoices_products": lambda w: behavior.corr_invoices_products(w.l2_invoice, w.l2_product_purchase),
-    "corr_invoices_purchases": lambda w: behavior.corr_invoices_purchases(w.l2_invoice, w.l2_product_purchase),
-    "corr_revenue_products": lambda w: behavior.corr_revenue_products(w.l2_invoice, w.l2_product_purchase),
+    "avg_invoices_per_customer": lambda w: behavior.avg_invoices_per_customer(w.l2_invoice_rows),
+    "revenue_per_customer_quartiles": lambda w: behavior.revenue_per_customer_quartiles(w.l2_invoice_rows),
+    "invoice_count_quartiles": lambda w: behavior.invoice_count_quartiles(w.l2_invoice_rows),
+    "corr_invoices_revenue": lambda w: behavior.corr_invoices_revenue(w.l2_invoice_rows),
+    "corr_invoices_products": lambda w: behavior.corr_invoices_products(w.l2_invoice_rows, w.l2_product_purchase),
+    "corr_invoices_purchases": lambda w: behavior.corr_invoices_purchases(w.l2_invoice_rows, w.l2_product_purchase),
+    "corr_revenue_products": lambda w: behavior.corr_revenue_products(w.l2_invoice_rows, w.l2_product_purchase),
     "free_product_types": lambda w: behavior.free_product_types(w.l2_product_purchase),
     "revenue_per_customer_by_type": lambda w: behavior.revenue_per_customer_by_type(w.l2_product_purchase),
     "avg_trial_duration": lambda w: behavior.avg_trial_duration(w.l2_product_purchase),
     "avg_days_to_equipment": lambda w: behavior.avg_days_to_equipment(w.l3_pp_product_contract),
     "customers_per_year": lambda w: behavior.customers_per_year(w.l3_pp_product_contract),
 }
-
-
-def run(key: str, warehouse: Warehouse) -> DataFrame:
-    return QUERIES[key](warehouse)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from subledger.constants import EQUIPMENT_TYPE, RESULT_DIGITS, TOP_SPENDERS, TRIAL_TYPE
-from subledger.functions import rounded, safe_corr
+from subledger.functions import exact_sum, rounded, safe_corr
 from subledger.operators.quantiles import quantiles
 
 QUARTILE_PROBS = (0.0, 0.25, 0.5, 0.75, 1.0)
@@ -18,13 +18,9 @@ def _paid(l2_invoice: DataFrame) -> DataFrame:
 
 
 def top_spenders(l2_invoice: DataFrame, top: int = TOP_SPENDERS, digits: int | None = RESULT_DIGITS) -> DataFrame:
-    return (
-        _paid(l2_invoice)
-        .groupBy("contract_id")
-        .agg(rounded(F.sum("amount_wo_vat"), digits).alias("sum"))
-        .orderBy(F.col("sum").desc_nulls_last(), F.col("contract_id").asc())
-        .limit(top)
-    )
+    per = _paid(l2_invoice).groupBy("contract_id").agg(exact_sum("amount_wo_vat").alias("sum"))
+    ranked = per.orderBy(F.col("sum").desc_nulls_last(), F.col("contract_id").asc()).limit(top)
+    return ranked.select("contract_id", rounded("sum", digits).alias("sum"))
 
 
 def invoice_amount_quartiles(l2_invoice: DataFrame) -> DataFrame:
@@ -33,12 +29,12 @@ def invoice_amount_quartiles(l2_invoice: DataFrame) -> DataFrame:
 
 
 def avg_invoice_amount(l2_invoice: DataFrame, digits: int | None = RESULT_DIGITS) -> DataFrame:
-    return l2_invoice.agg(rounded(F.avg("amount_wo_vat"), digits).alias("avg_amount_wo_vat"))
+    return l2_invoice.agg(rounded(F.try_divide(exact_sum("amount_wo_vat"), F.count("amount_wo_vat")), digits).alias("avg_amount_wo_vat"))
 
 
 def avg_purchase_price(l2_product_purchase: DataFrame, digits: int | None = RESULT_DIGITS) -> DataFrame:
     return l2_product_purchase.where(F.col("price_wo_vat") > 0).agg(
-        rounded(F.avg("price_wo_vat"), digits).alias("avg_price_wo_vat")
+        rounded(F.try_divide(exact_sum("price_wo_vat"), F.count("price_wo_vat")), digits).alias("avg_price_wo_vat")
     )
 
 
@@ -74,7 +70,7 @@ def zero_paying_customers(l2_product_purchase: DataFrame, l2_contract: DataFrame
 def _invoices_per_contract(l2_invoice: DataFrame) -> DataFrame:
     return l2_invoice.groupBy("contract_id").agg(
         F.count("invoice_id").alias("num_invoices"),
-        F.sum("amount_wo_vat").alias("total_amount_wo_vat"),
+        exact_sum("amount_wo_vat").alias("total_amount_wo_vat"),
     )
 
 
@@ -83,8 +79,9 @@ def avg_invoices_per_customer(l2_invoice: DataFrame, digits: int | None = RESULT
 
 
 def revenue_per_customer_quartiles(l2_invoice: DataFrame, digits: int | None = RESULT_DIGITS) -> DataFrame:
-    per = _invoices_per_contract(l2_invoice).select(rounded("total_amount_wo_vat", digits).alias("total"))
-    return quantiles(per, "total", QUARTILE_PROBS, QUARTILE_NAMES, method="disc")
+    per = _invoices_per_contract(l2_invoice)
+    q = quantiles(per, "total_amount_wo_vat", QUARTILE_PROBS, QUARTILE_NAMES, method="disc")
+    return q.select(*[rounded(n, digits).alias(n) for n in QUARTILE_NAMES])
 
 
 def invoice_count_quartiles(l2_invoice: DataFrame) -> DataFrame:
@@ -132,7 +129,7 @@ def revenue_per_customer_by_type(l2_product_purchase: DataFrame, digits: int | N
     return (
         l2_product_purchase.where(F.col("product_type").isNotNull())
         .groupBy("product_type")
-        .agg(rounded(F.sum("price_wo_vat") / F.count("contract_id"), digits).alias("rev_per_customer"))
+        .agg(rounded(F.try_divide(exact_sum("price_wo_vat"), F.count("contract_id")), digits).alias("rev_per_customer"))
     )
 
 

@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from subledger.constants import RESULT_DIGITS, SEGMENT_LABELS, SEGMENT_PERCENTILES
-from subledger.functions import rounded
+from subledger.functions import exact_sum, rounded
 from subledger.operators.quantiles import quantiles
 
 
 def avg_revenue_per_customer(l3_invoice: DataFrame, digits: int | None = RESULT_DIGITS) -> DataFrame:
     """sum(revenue) / count(contracts) over the per-contract revenue table."""
-    return l3_invoice.agg(rounded(F.sum("rev_per_contract") / F.count("contract_id"), digits).alias("rev_per_cust"))
+    return l3_invoice.agg(rounded(F.try_divide(exact_sum("rev_per_contract"), F.count("contract_id")), digits).alias("rev_per_cust"))
 
 
 def median_revenue_single_row(l2_invoice: DataFrame, digits: int | None = RESULT_DIGITS) -> DataFrame:
@@ -24,13 +24,11 @@ def median_revenue_single_row(l2_invoice: DataFrame, digits: int | None = RESULT
     """
     paid = l2_invoice.where(F.col("paid_date").isNotNull())
     return paid.agg(
-        rounded(F.sum("amount_wo_vat") / F.count_distinct("contract_id"), digits).alias("median")
+        rounded(F.try_divide(exact_sum("amount_wo_vat"), F.count_distinct("contract_id")), digits).alias("median")
     )
 
 
-def revenue_per_paying_contract(
-    l2_invoice: DataFrame, l2_product_purchase: DataFrame, digits: int | None = RESULT_DIGITS
-) -> DataFrame:
+def revenue_per_paying_contract(l2_invoice: DataFrame, l2_product_purchase: DataFrame) -> DataFrame:
     """Per contract: revenue and purchase count of (paid invoices LEFT JOIN purchases).
 
     The join multiplies each invoice by the contract's purchase rows.
@@ -43,7 +41,7 @@ def revenue_per_paying_contract(
     inv = (
         l2_invoice.where(F.col("paid_date").isNotNull())
         .groupBy("contract_id")
-        .agg(F.sum("amount_wo_vat").alias("__s"), F.count(F.lit(1)).alias("__n_inv"))
+        .agg(exact_sum("amount_wo_vat").alias("__s"), F.count(F.lit(1)).alias("__n_inv"))
     )
     pp = l2_product_purchase.groupBy(F.col("contract_id").alias("__pc")).agg(
         F.count(F.lit(1)).alias("__n_pp"), F.count("product_purchase_id").alias("__n_ppid")
@@ -52,7 +50,7 @@ def revenue_per_paying_contract(
     fan = F.greatest(F.coalesce(F.col("__n_pp"), F.lit(0)), F.lit(1))
     return per.select(
         "contract_id",
-        rounded(F.col("__s") * fan, digits).alias("total_revenue"),
+        (F.col("__s") * fan).alias("total_revenue"),
         (F.col("__n_inv") * F.coalesce(F.col("__n_ppid"), F.lit(0))).alias("total_purchases"),
     )
 
@@ -62,20 +60,19 @@ def revenue_segments(
     l2_product_purchase: DataFrame,
     percentiles: Sequence[float] = SEGMENT_PERCENTILES,
     labels: Sequence[str] = SEGMENT_LABELS,
-    digits: int | None = RESULT_DIGITS,
 ) -> DataFrame:
     """Contracts in segments cut at global (interpolated) revenue percentiles.
 
     The cut points come from the distributed exact quantile operator as a
-    single row, broadcast to every partition of the per-contract table.  The
-    per-contract table is checkpointed (reliable, shared folder) because
-    both the cut points and the tagging read it.
+    single row, broadcast to every partition of the per-contract table.
+    Contracts are compared unrounded.  The per-contract table is checkpointed
+    (reliable, shared folder) because both the cut points and the tagging read it.
     """
     if len(labels) != len(percentiles) + 1:
         raise ValueError("need one more label than percentiles")
     # One row per paying contract, read twice below (cut points, tagging):
     # written once to the checkpoint folder so the invoice table is scanned once.
-    per = revenue_per_paying_contract(l2_invoice, l2_product_purchase, digits).checkpoint(eager=True)
+    per = revenue_per_paying_contract(l2_invoice, l2_product_purchase).checkpoint(eager=True)
     names = [f"__t{i}" for i in range(len(percentiles))]
     cuts = quantiles(per, "total_revenue", percentiles, names, method="cont")
     seg = None
@@ -89,7 +86,7 @@ def revenue_segments(
         tagged.groupBy("revenue_segment")
         .agg(
             F.count("contract_id").alias("num_customers"),
-            F.round(F.sum("total_revenue")).cast("long").alias("total_revenue"),
+            F.round(exact_sum("total_revenue")).cast("long").alias("total_revenue"),
             F.sum("total_purchases").cast("long").alias("total_purchases"),
         )
         .orderBy("revenue_segment")

@@ -28,10 +28,9 @@ from subledger.constants import (
     TOP_PRODUCT_END_DATES,
     TRIAL_TYPE,
 )
-from subledger.functions import duration_bin, rounded
+from subledger.functions import duration_bin, exact_sum, rounded
 from subledger.operators.intervals import intervals_hit_by_other_points
 from subledger.operators.quantiles import quantiles
-from subledger.operators.replicate import replicate
 
 
 def _any(cond) -> Column:
@@ -73,7 +72,7 @@ def _churn_row(cutoff: dt.date) -> Column:
 
 def customers_churned(l3_pp_contract: DataFrame, cutoff: dt.date = CHURN_CUTOFF) -> DataFrame:
     """Purchase rows ending on their contract's end day, before the cut-off."""
-    return l3_pp_contract.where(_churn_row(cutoff)).orderBy(F.col("product_lifecycle").desc())
+    return l3_pp_contract.where(_churn_row(cutoff)).orderBy(F.col("product_lifecycle").desc(), "contract_id", "product_purchase_id")
 
 
 def churned_multi_product_top(
@@ -175,9 +174,11 @@ def churn_with_other_products(l3_pp_product_contract: DataFrame) -> DataFrame:
 def churned_equipment_other_types(
     l3_pp_product_contract: DataFrame, equipment_type: str = EQUIPMENT_TYPE, **skew
 ) -> DataFrame:
-    """For every ended equipment row: the types of the contract's other products
-    active on an equipment end day (one output row per equipment row and
-    distinct other product, duplicates kept, as the join defines).
+    """Types of a contract's other products active on a day its equipment ended, counted.
+
+    The question's join has one row per ended equipment row and distinct other
+    product; ``cnt`` is the number of those rows per contract and type, formed
+    from the two counts, so the pairs of a large contract are never expanded.
     """
     ended = l3_pp_product_contract.where(F.col("product_valid_to").isNotNull())
     equipment = ended.where(F.col("product_type") == equipment_type)
@@ -205,9 +206,9 @@ def churned_equipment_other_types(
         "contract_id",
         F.lit(equipment_type).alias("discontinued_product"),
         "other_product_at_same_time",
-        (F.col("__n") * F.col("__m")).alias("__copies"),
+        (F.col("__n") * F.col("__m")).alias("cnt"),
     )
-    return replicate(per, "__copies").orderBy("contract_id")
+    return per.orderBy("contract_id", F.col("other_product_at_same_time").asc_nulls_first())
 
 
 def _trial_contract_flags(l3_pp_contract: DataFrame, trial_type: str) -> DataFrame:
@@ -215,7 +216,7 @@ def _trial_contract_flags(l3_pp_contract: DataFrame, trial_type: str) -> DataFra
     return l3_pp_contract.where(F.col("contract_id").isNotNull()).groupBy("contract_id").agg(
         _any((t == trial_type) & F.col("product_valid_from").isNotNull()).alias("had_trial"),
         F.count_if(t != trial_type).alias("other_rows"),
-        F.sum(F.when(t != trial_type, F.col("price_wo_vat"))).alias("other_price"),
+        exact_sum(F.when(t != trial_type, F.col("price_wo_vat"))).alias("other_price"),
     )
 
 
@@ -229,12 +230,12 @@ def trial_then_other_revenue(
     l3_pp_contract: DataFrame, trial_type: str = TRIAL_TYPE, digits: int | None = RESULT_DIGITS
 ) -> DataFrame:
     per = _trial_contract_flags(l3_pp_contract, trial_type).where("had_trial")
-    return per.agg(rounded(F.sum("other_price"), digits).alias("revenue"))
+    return per.agg(rounded(exact_sum("other_price"), digits).alias("revenue"))
 
 
 def trial_revenue(l3_pp_contract: DataFrame, trial_type: str = TRIAL_TYPE, digits: int | None = RESULT_DIGITS) -> DataFrame:
     rows = l3_pp_contract.where((F.col("product_type") == trial_type) & F.col("product_valid_from").isNotNull())
-    return rows.agg(rounded(F.sum("price_wo_vat"), digits).alias("revenue"))
+    return rows.agg(rounded(exact_sum("price_wo_vat"), digits).alias("revenue"))
 
 
 def top_cancel_dates(l2_contract: DataFrame, top: int = TOP_CANCEL_DATES) -> DataFrame:
@@ -302,14 +303,14 @@ def last_invoice_end_dates(l2_invoice: DataFrame) -> DataFrame:
     last = l2_invoice.where(F.col("contract_id").isNotNull()).groupBy("contract_id").agg(
         F.max_by("end_date", "invoice_order").alias("end_date")
     )
-    return last.groupBy("end_date").agg(F.count(F.lit(1)).alias("end_date_count")).orderBy(F.col("end_date_count").desc())
+    return last.groupBy("end_date").agg(F.count(F.lit(1)).alias("end_date_count")).orderBy(F.col("end_date_count").desc(), F.col("end_date").asc())
 
 
 def end_date_by_invoice_order(l2_invoice: DataFrame) -> DataFrame:
     return (
         l2_invoice.groupBy("end_date", "invoice_order")
         .agg(F.count(F.lit(1)).alias("end_date_count"))
-        .orderBy(F.col("end_date").asc(), F.col("end_date_count").desc())
+        .orderBy(F.col("end_date").asc(), F.col("end_date_count").desc(), F.col("invoice_order").asc())
     )
 
 

@@ -36,9 +36,16 @@ def materialized(spark):
     return w
 
 
+@pytest.fixture(scope="module")
+def plain(spark):
+    """The warehouse as the registered queries use it: nothing written."""
+    return Warehouse.from_testdata(spark, SF_SMALL)
+
+
+@pytest.mark.parametrize("kind", ["plain", "materialized"])
 @pytest.mark.parametrize("key", sorted(QUERIES))
-def test_no_cartesian_and_no_single_task_over_rows(materialized, key):
-    plan = _plan(QUERIES[key](materialized))
+def test_no_cartesian_and_no_single_task_over_rows(request, kind, key):
+    plan = _plan(QUERIES[key](request.getfixturevalue(kind)))
     assert "CartesianProduct" not in plan
     lines = plan.splitlines()
     for i, line in enumerate(lines):
@@ -69,3 +76,63 @@ def test_invoice_order_reuses_join_partitioning(spark):
     assert "SortMergeJoin" in plan and "Window" in plan
     # one exchange per join side; the window adds none
     assert len(re.findall(r"Exchange hashpartitioning\((contract_id|__c_id)", plan)) == 2
+
+
+def test_status_join_never_shuffles_the_purchases_on_status(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = _plan(Warehouse.from_testdata(spark, SF_SMALL).l1_product_purchase)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert not re.search(r"Exchange hashpartitioning\(package_status", plan)
+    assert re.search(r"Exchange hashpartitioning\((id_package_template|product_id)", plan)
+
+
+def test_reports_without_numbering_run_no_window(plain):
+    for key in ("l3_invoice", "check_counts_invoice", "top_spenders", "avg_invoice_amount", "corr_invoices_revenue"):
+        assert "Window" not in _plan(QUERIES[key](plain)), key
+
+
+def test_global_sorts_break_ties_by_key(plain):
+    for key, column in (("customers_churned", "contract_id"), ("check_invoice_old_duplicates", "id_invoice_old"), ("churned_equipment_other_types", "other_product")):
+        ranges = re.findall(r"rangepartitioning\(([^)]*)", _plan(QUERIES[key](plain)))
+        assert ranges and all(column in r for r in ranges), key
+
+
+HOT_KEYS = [
+    "churned_multi_product_top50", "continued_after_trial", "churn_same_day_vs_kept", "churn_with_other_products",
+    "trial_then_other_rows", "trial_then_other_revenue", "contract_duration_bins", "trial_customers",
+    "non_trial_customers", "customers_per_year",
+]
+
+
+@pytest.mark.parametrize("key", HOT_KEYS)
+def test_a_hot_contract_is_split(spark, key):
+    """Two thirds of all purchases in one contract: the join on the contract is split."""
+    from pyspark.sql import functions as F
+
+    from subledger.sources import testdata
+
+    t = testdata.read_tables(spark, SF_SMALL)
+    hot = F.when(F.col("l_linenumber") > 1, F.lit(1)).otherwise(F.col("l_orderkey"))
+    t["lineitem"] = t["lineitem"].crossJoin(spark.range(4)).withColumn("l_orderkey", hot).drop("id").repartition(6)
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        df = QUERIES[key](Warehouse(testdata.l0_from_tables(t)))
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert "skew=true" in plan, plan[:3000]
