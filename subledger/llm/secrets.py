@@ -157,6 +157,8 @@ def op5_blob_ledger_scan(spark, sf_dir: str) -> DataFrame:
     per_blob = per_blob.select(
         "blob", *[f"n_{k}" for k in kinds[:BASE]], F.sha2(_digest(kinds[:BASE]), 256).alias("base_sha256"), _digest(kinds).alias("spans")
     )
+    # from a table, so that the join is not bound to an aggregation's partitions and a hot blob can be split
+    per_blob = stage(per_blob, "secrets-per-blob")
     return versions.join(per_blob, "blob", "left").select(
         F.col("path").alias("doc_id"),
         *[F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in kinds[:BASE]],
