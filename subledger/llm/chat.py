@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import table
+from .common import stage, table
 
 #: Strings that the template, or a chat tokenizer, gives a meaning.
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
@@ -101,7 +101,8 @@ def format_windows(
     t = t.withColumn("cell", F.expr("start div room"))
     crosses = (F.col("start") > F.col("cell") * F.col("room")) & (F.col("start") + F.col("tokens") > (F.col("cell") + 1) * F.col("room"))
     t = t.withColumn("window", F.when(F.col("is_sys"), F.lit(0)).otherwise(2 * F.col("cell") + crosses.cast("long")))
-    t = t.select("conv_id", "pos", "role", "head", "body", "chars", "is_sys", "start", "cell", "window", "room")
+    # placed once: new turns, history and system turns are all taken from this table
+    t = stage(t.select("conv_id", "pos", "role", "head", "body", "chars", "is_sys", "start", "cell", "window"), "chat-turns")
 
     # where windows begin, by the cell of their first turn
     begins = t.groupBy("conv_id", "window").agg(F.min("start").alias("begin"), F.min("cell").alias("at_cell")).withColumnRenamed("conv_id", "_c")
