@@ -86,6 +86,8 @@ def mix_documents(docs: DataFrame, targets: dict | None = None, rounds: int = RO
     slim = stage(base, "mix-rows")
     keyed = slim.select("*", *[_value(F.col(d)).alias(f"k_{d}") for d in DIMENSIONS])
     cells = keyed.groupBy(*[F.col(f"k_{d}").alias(d) for d in DIMENSIONS]).agg(F.sum("tokens").alias("tokens"))
+    # summed by all tasks first, so that the one task that rakes reads a row per cell and no partial sums
+    cells = stage(cells, "mix-sums")
     raked = rake(cells, targets or ALPHA, rounds).withColumn("ratio", F.col("weight") / F.col("tokens"))
     raked = raked.withColumn("probability", F.least(F.lit(1.0), F.col("ratio") / F.max("ratio").over(W.partitionBy())))
     raked = stage(raked.select(*[F.col(d).alias(f"k_{d}") for d in DIMENSIONS], "probability"), "mix-cells")
