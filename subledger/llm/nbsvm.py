@@ -23,6 +23,7 @@ held out; an empty table gives an empty result; other input columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -127,8 +128,8 @@ def dual_descent(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost:
     for r in rows:
         x = ratio[r]
         n = np.sqrt(x @ x + floor)
-        values.append(x / n if n > 0 else x)
-    square = np.array([v @ v + 1 for v in values])  # the intercept is one more feature of value 1
+        values.append((x / n if n > 0 else x).astype(np.float32))
+    square = np.array([float(v @ v) + 1 for v in values])  # the intercept is one more feature of value 1
     rng = np.random.default_rng(7)
     for _ in range(epochs):
         moved = 0.0
@@ -206,7 +207,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         return Model(ratio * 0, ratio * 0, 0.0, 0.0, float(np.log(share1 / (1 - share1))))
     # rows in an order of their own content, so that the fit does not depend on partitions
     rows = [part[i].values.to_numpy() for part in got["features"].chunks for i in range(len(part))]
-    order = sorted(range(len(rows)), key=lambda i: (len(rows[i]), rows[i].tobytes(), y[i]))
+    order = sorted(range(len(rows)), key=lambda i: (len(rows[i]), zlib.crc32(rows[i]), y[i]))
     rows, y = [rows[i] for i in order], y[order]
     per_class = {v: len(y) / (2 * max(1, (y == v).sum())) for v in (0, 1)}
     # a floor under the squared length keeps a few words of a short text from counting as much as a long one
