@@ -192,7 +192,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     n = np.zeros((2, 1 << BITS))
     at = c["feature"].to_numpy()
     n[0, at], n[1, at] = c["n0"].to_numpy(), c["n1"].to_numpy()
-    share = (n + SMOOTH) / (n.sum(axis=1, keepdims=True) + SMOOTH * (1 << BITS))
+    # smoothing in proportion to the classes' totals: a feature never seen speaks for neither
+    total = np.maximum(n.sum(axis=1, keepdims=True), 1)
+    share = (n + 2 * SMOOTH * total / total.sum()) / total
     ratio = np.log(share[1] / share[0])
 
     def least(df: DataFrame, rows: int) -> DataFrame:
