@@ -62,8 +62,12 @@ def format_windows(
         raise ValueError("history must be within a quarter of the budget")
     text, role = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("text", "role"))
     head = F.concat(F.lit("<s>"), F.replace(escape(role), F.lit("\n"), F.lit("\\\n")), F.lit("\n"))
+    # a key that is never null: plain equality then keeps the partitioning from step to step
+    key = ["conv", "no_conv"]
+    conv = F.coalesce(F.col("conv_id"), F.lit(0).cast(conversations.schema["conv_id"].dataType))
     t = conversations.select(
-        "conv_id",
+        conv.alias("conv"),
+        F.col("conv_id").isNull().alias("no_conv"),
         "turn",
         role.alias("role"),
         head.alias("head"),
@@ -74,26 +78,25 @@ def format_windows(
     t = t.withColumn("tokens", F.expr(f"(chars + {chars_per_token - 1}) div {chars_per_token}"))
 
     order = ("turn", "role", "body")
-    inside = W.partitionBy("conv_id", "chunk").orderBy(*order)
+    inside = W.partitionBy(*key, "chunk").orderBy(*order)
     t = t.withColumn("pos", F.row_number().over(inside).cast("long") - 1)
     t = t.withColumn("start", F.sum("tokens").over(inside.rowsBetween(W.unboundedPreceding, 0)) - F.col("tokens"))
     # the leading turn of each chunk decides, in the first chunk, about the system turn
-    sums = t.groupBy("conv_id", "chunk").agg(
+    sums = t.groupBy(*key, "chunk").agg(
         F.count("*").alias("n"),
         F.sum("tokens").alias("sum"),
         F.max(F.when((F.col("pos") == 0) & (F.col("role") == "system"), F.col("tokens"))).alias("sys"),
     )
-    chunks = W.partitionBy("conv_id").orderBy("chunk")
+    chunks = W.partitionBy(*key).orderBy("chunk")
     before = chunks.rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select(
-        "conv_id",
+        *key,
         "chunk",
         F.coalesce(F.sum("n").over(before), F.lit(0)).alias("pos0"),
         F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("start0"),
         F.coalesce(F.first("sys").over(chunks.rowsBetween(W.unboundedPreceding, 0)), F.lit(0)).alias("sys"),
     )
-    sums = sums.withColumnRenamed("conv_id", "_c").withColumnRenamed("chunk", "_k")
-    t = t.join(sums, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("chunk") == F.col("_k")))
+    t = t.join(sums, [*key, "chunk"])
     t = t.withColumn("pos", F.col("pos") + F.col("pos0")).withColumn("is_sys", (F.col("pos") == 0) & (F.col("sys") > 0))
     # the system turn stands before the prefix sums of the others
     t = t.withColumn("start", F.when(F.col("is_sys"), F.lit(0)).otherwise(F.col("start") + F.col("start0") - F.col("sys")))
@@ -102,31 +105,32 @@ def format_windows(
     crosses = (F.col("start") > F.col("cell") * F.col("room")) & (F.col("start") + F.col("tokens") > (F.col("cell") + 1) * F.col("room"))
     t = t.withColumn("window", F.when(F.col("is_sys"), F.lit(0)).otherwise(2 * F.col("cell") + crosses.cast("long")))
     # placed once: new turns, history and system turns are all taken from this table
-    t = stage(t.select("conv_id", "pos", "role", "head", "body", "chars", "is_sys", "start", "cell", "window"), "chat-turns")
+    t = stage(t.select(*key, "pos", "role", "head", "body", "chars", "is_sys", "start", "cell", "window"), "chat-turns")
 
     # where windows begin, by the cell of their first turn
-    begins = t.groupBy("conv_id", "window").agg(F.min("start").alias("begin"), F.min("cell").alias("at_cell")).withColumnRenamed("conv_id", "_c")
-    earlier = t.filter(~F.col("is_sys")).withColumn("at", F.explode(F.array(F.col("cell"), F.col("cell") + 1)))
+    begins = t.groupBy(*key, "window").agg(F.min("start").alias("begin"), F.min("cell").alias("at_cell"))
     b = begins.withColumnRenamed("window", "_w")
+    columns = [*key, "window", "kind", "pos", "role", "head", "body", "chars"]
     near = (F.col("start") < F.col("begin")) & (F.col("start") >= F.col("begin") - history)
-    again = earlier.join(b, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("at") == F.col("at_cell")) & near)
-    again = again.select("conv_id", F.col("_w").alias("window"), F.lit(1).alias("kind"), "pos", "role", "head", "body", "chars")
-    system = t.filter("is_sys").drop("window").join(b.filter("_w > 0"), F.col("conv_id").eqNullSafe(F.col("_c")))
-    system = system.select("conv_id", F.col("_w").alias("window"), F.lit(0).alias("kind"), "pos", "role", "head", "body", "chars")
-    new = t.select("conv_id", "window", F.lit(2).alias("kind"), "pos", "role", "head", "body", "chars")
+    earlier = t.filter(~F.col("is_sys")).withColumn("at_cell", F.explode(F.array(F.col("cell"), F.col("cell") + 1))).drop("window")
+    again = earlier.join(b, [*key, "at_cell"]).filter(near).withColumn("kind", F.lit(1))
+    system = t.filter("is_sys").drop("window").join(b.filter("_w > 0"), key).withColumn("kind", F.lit(0))
+    new = t.withColumn("kind", F.lit(2)).select(*columns)
+    again, system = (x.withColumnRenamed("_w", "window").select(*columns) for x in (again, system))
 
     parts = new.unionByName(again).unionByName(system)
-    so_far = W.partitionBy("conv_id", "window").orderBy("kind", "pos").rowsBetween(W.unboundedPreceding, 0)
+    so_far = W.partitionBy(*key, "window").orderBy("kind", "pos").rowsBetween(W.unboundedPreceding, 0)
     parts = parts.withColumn("at", F.sum("chars").over(so_far) - F.col("chars") + F.length("head"))
     lossy = (F.col("kind") == 2) & (F.col("role") == "assistant")
     span = F.struct(F.col("at").alias("start"), (F.col("at") + F.length("body")).alias("end"))
-    out = parts.groupBy("conv_id", "window").agg(
+    out = parts.groupBy(*key, "window").agg(
         F.array_sort(F.collect_list(F.struct("kind", "pos", F.concat("head", "body", F.lit("</s>")).alias("s")))).alias("_p"),
         F.array_sort(F.collect_list(F.when(lossy, span))).alias("loss_spans"),
         F.sum((F.col("kind") < 2).cast("int")).alias("n_repeated"),
         F.sum((F.col("kind") == 2).cast("int")).alias("n_new"),
     )
-    return out.select("conv_id", "window", F.array_join("_p.s", "").alias("formatted"), "n_repeated", "n_new", "loss_spans")
+    conv_id = F.when(~F.col("no_conv"), F.col("conv")).alias("conv_id")
+    return out.select(conv_id, "window", F.array_join("_p.s", "").alias("formatted"), "n_repeated", "n_new", "loss_spans")
 
 
 def read_back(windows: DataFrame) -> DataFrame:
@@ -135,31 +139,31 @@ def read_back(windows: DataFrame) -> DataFrame:
     The two digests cover the whole conversation, so its text meets in one row
     here; the windows themselves never need that.
     """
-    blocks = F.filter(F.split("formatted", "</s>"), lambda b, i: (i >= F.col("n_repeated")) & (i < F.col("n_repeated") + F.col("n_new")))
     head = r"(?s)^<s>((?:[^\\\n]|\\.)*+)\n"
     role = lambda b: unescape(F.regexp_extract(b, head, 1))
     body = lambda b: unescape(F.regexp_replace(b, head + "(.*)$", "$2"))
-    turns = F.transform(blocks, lambda b: F.concat(role(b), F.lit("\n"), body(b), F.lit("\n")))
-    loss = F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["start"].cast("int") + 1, (s["end"] - s["start"]).cast("int"))))
-    w = windows.select(
-        "conv_id",
-        F.struct("window", F.array_join(turns, "").alias("turns"), F.array_join(loss, "").alias("loss")).alias("_s"),
-        "n_new",
-        F.length("formatted").alias("chars"),
-    )
-    g = w.groupBy("conv_id").agg(
-        F.array_sort(F.collect_list("_s")).alias("_s"),
+
+    def turns(w: Column) -> Column:
+        new = F.filter(F.split(w["formatted"], "</s>"), lambda b, i: (i >= w["n_repeated"]) & (i < w["n_repeated"] + w["n_new"]))
+        return F.array_join(F.transform(new, lambda b: F.concat(role(b), F.lit("\n"), body(b), F.lit("\n"))), "")
+
+    def loss(w: Column) -> Column:
+        part = lambda s: F.substring(w["formatted"], s["start"].cast("int") + 1, (s["end"] - s["start"]).cast("int"))
+        return F.array_join(F.transform(w["loss_spans"], lambda s: unescape(part(s))), "")
+
+    g = windows.groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(F.struct("window", "formatted", "n_repeated", "n_new", "loss_spans"))).alias("_w"),
         F.sum("n_new").cast("long").alias("n_turns"),
-        F.sum("chars").cast("long").alias("formatted_chars"),
+        F.sum(F.length("formatted")).cast("long").alias("formatted_chars"),
         F.count("*").alias("n_windows"),
     )
-    text = F.array_join("_s.loss", "")
+    g = g.withColumn("_loss", F.array_join(F.transform("_w", loss), ""))
     return g.select(
         "conv_id",
         "n_turns",
-        F.sha2(F.array_join("_s.turns", ""), 256).alias("turns_sha256"),
-        F.length(text).cast("long").alias("loss_chars"),
-        F.sha2(text, 256).alias("loss_sha256"),
+        F.sha2(F.array_join(F.transform("_w", turns), ""), 256).alias("turns_sha256"),
+        F.length("_loss").cast("long").alias("loss_chars"),
+        F.sha2("_loss", 256).alias("loss_sha256"),
         "formatted_chars",
         "n_windows",
     )
