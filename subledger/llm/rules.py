@@ -180,7 +180,8 @@ def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float
 
 
 def op3_risk_controlled_rules(spark, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    out = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.drop(*[f"cut_{r}" for r in RULES])
 
 
 def _oracle() -> str:
@@ -222,7 +223,7 @@ WITH d AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND len(list_filter([{broken}], lambda x: x IS NOT NULL)) = 0 AS kept,
-       array_to_string(list_filter([{broken}], lambda x: x IS NOT NULL), ',') AS rejected_by, {", ".join(f"cut_{r}" for r in RULES)}
+       array_to_string(list_filter([{broken}], lambda x: x IS NOT NULL), ',') AS rejected_by
 FROM f LEFT JOIN cuts USING (stratum)
 """
 
