@@ -51,7 +51,7 @@ K, WIDTH, PERCENT = 64, 5, 85
 #: Share of a sketch that two documents at the threshold have in common at least.
 #: The number in common among k values is binomial with rate >= 0.85 at least: P(<= 36 of 64) < 1e-7.
 SURE = 36 / 64
-HUB_ROUNDS = 2
+HUB_ROUNDS = 1
 
 _SKETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_key", pa.binary()), ("sketch", pa.list_(pa.int64()))])
 _SETS = pa.schema([("node", pa.int64()), ("items", pa.list_(pa.int64()))])
