@@ -19,10 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _staging(spark: SparkSession) -> str:
+    return f"{checkpoint_folder(spark)}/llm/{spark.sparkContext.applicationId}"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back (cuts the lineage)."""
     spark = df.sparkSession
-    path = f"{checkpoint_folder(spark)}/llm/{name}-{uuid.uuid4().hex}"
+    path = f"{_staging(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -37,14 +41,22 @@ def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
 
 
 def drop_staged(*frames: DataFrame) -> None:
-    """Delete staged tables that no later frame reads (only files :func:`stage` wrote)."""
+    """Delete staged tables that no later frame reads (only what :func:`stage` wrote)."""
     for df in frames:
-        spark = df.sparkSession
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         for f in df.inputFiles()[:1]:
-            folder = jvm.org.apache.hadoop.fs.Path(f).getParent()
-            if "/llm/" in folder.toString():
-                folder.getFileSystem(conf).delete(folder, True)
+            folder = f.rsplit("/", 1)[0]
+            if "/llm/" in folder:
+                _delete(df.sparkSession, folder)
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Delete every table that this application has staged; for use when all results are written."""
+    _delete(spark, _staging(spark))
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def unit_hash(seed: str, *cols: Column) -> Column:

@@ -90,3 +90,15 @@ def test_shard_edge_cases_and_files(spark):
     back = spark.read.parquet(f"{folder}/out").toPandas()
     want = assign_shards(docs, n_shards=3).toPandas().set_index("doc_id")
     assert len(back) == 300 and (back.set_index("doc_id")["shard"].sort_index() == want["shard"].sort_index()).all()
+
+
+def test_staged_tables_can_be_cleared(spark):
+    from subledger.llm.common import clear_staged, drop_staged, stage
+
+    a, b = stage(spark.range(3), "test-a"), stage(spark.range(4), "test-b")
+    drop_staged(a)
+    assert b.count() == 4
+    with pytest.raises(Exception, match="(?i)not.?exist|not.?found"):
+        spark.read.parquet(a.inputFiles()[0].rsplit("/", 1)[0]).count()
+    clear_staged(spark)
+    assert stage(spark.range(2), "test-c").count() == 2
