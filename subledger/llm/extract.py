@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import html as references
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -87,11 +88,24 @@ _WORD = re.compile(r"\w+")
 
 
 class _Element:
-    __slots__ = ("tag", "bad", "firm", "void")
+    __slots__ = ("tag", "bad", "firm", "void", "up", "known")
 
-    def __init__(self, tag: str, bad: bool, firm: bool):
-        #: void: excluded by a loose name, but found to hold the article
-        self.tag, self.bad, self.firm, self.void = tag, bad, firm, False
+    def __init__(self, tag: str, bad: bool, firm: bool, up: _Element | None):
+        #: void: excluded by a loose name, but found to hold the article; up: the excluded element around it
+        self.tag, self.bad, self.firm, self.void, self.up = tag, bad, firm, False, up
+        self.known: bool | None = None
+
+
+def _out(e: _Element | None) -> bool:
+    """Whether an excluded element around a block stands, asked once the page is read."""
+    seen = []
+    while e is not None and e.known is None and e.void:
+        seen.append(e)
+        e = e.up
+    answer = e is not None and (e.known if e.known is not None else True)
+    for x in seen:
+        x.known = answer
+    return answer
 
 
 def _excluded(attrs: str, in_article: bool) -> tuple[bool, bool]:
@@ -120,16 +134,19 @@ def _excluded(attrs: str, in_article: bool) -> tuple[bool, bool]:
 
 
 class _Block:
-    __slots__ = ("text", "linked", "heading", "item", "article", "owners", "label")
+    __slots__ = ("text", "linked", "heading", "item", "article", "owner", "label")
 
-    def __init__(self, text: str, linked: int, heading: bool, item: bool, article: bool, owners: list[_Element]):
-        self.text, self.linked, self.heading, self.item, self.article, self.owners = text, linked, heading, item, article, owners
+    def __init__(self, text: str, linked: int, heading: bool, item: bool, article: bool, owner: _Element | None):
+        self.text, self.linked, self.heading, self.item, self.article, self.owner = text, linked, heading, item, article, owner
         self.label: bool | None = None
 
 
 def _blocks(page: str) -> list[_Block]:
     out: list[_Block] = []
     stack: list[_Element] = []
+    #: open elements by tag, so that no end tag searches the stack in vain
+    open_: Counter[str] = Counter()
+    bad_now: _Element | None = None
     parts: list[str] = []
     linked, in_link, article = 0, 0, 0
     heading = False
@@ -138,13 +155,17 @@ def _blocks(page: str) -> list[_Block]:
         nonlocal linked, heading
         text = " ".join("".join(parts).split())
         if text:
-            out.append(_Block(text, linked, heading, any(e.tag == "li" for e in stack), article > 0, [e for e in stack if e.bad]))
+            out.append(_Block(text, linked, heading, open_["li"] > 0, article > 0, bad_now))
         parts.clear()
         linked, heading = 0, False
 
     def pop_to(i: int) -> None:
-        nonlocal article
-        article -= sum(e.tag in ("article", "main") and not e.bad for e in stack[i:])
+        nonlocal article, bad_now
+        for e in stack[i:]:
+            open_[e.tag] -= 1
+            article -= e.tag in ("article", "main") and not e.bad
+        for e in reversed(stack[i:]):
+            bad_now = e.up if e.bad else bad_now
         del stack[i:]
 
     for m in _TOKEN.finditer(page):
@@ -166,7 +187,7 @@ def _blocks(page: str) -> list[_Block]:
             flush()
             in_link = 0 if tag != "a" and block and not m["end"] else in_link
         if m["end"]:
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if open_[tag] else ():
                 if stack[i].tag == tag:
                     pop_to(i)
                     break
@@ -177,7 +198,7 @@ def _blocks(page: str) -> list[_Block]:
             continue
         if block and stack and stack[-1].tag == "p":
             pop_to(len(stack) - 1)
-        for i in range(len(stack) - 1, -1, -1) if tag in _ENDS else ():
+        for i in range(len(stack) - 1, -1, -1) if any(open_[x] for x in _ENDS.get(tag, ())) else ():
             if stack[i].tag in _ENDS[tag]:
                 pop_to(i)
                 break
@@ -187,11 +208,15 @@ def _blocks(page: str) -> list[_Block]:
         by_tag = tag in _BAD_TAGS or (tag == "header" and not article)
         bad = named or by_tag
         if block or named:
-            stack.append(_Element(tag, bad, firm or (by_tag and tag != "form")))
+            stack.append(_Element(tag, bad, firm or (by_tag and tag != "form"), bad_now))
+            open_[tag] += 1
+            bad_now = stack[-1] if bad else bad_now
         if tag in ("article", "main") and not bad:
             article += 1
-            for e in stack:
-                e.void = e.void or (e.bad and not e.firm and article == 1)
+            e = bad_now if article == 1 else None
+            while e is not None:
+                e.void = e.void or not e.firm
+                e = e.up
         if _HEADING.match(tag):
             heading = True
     flush()
@@ -199,7 +224,7 @@ def _blocks(page: str) -> list[_Block]:
 
 
 def _first_pass(b: _Block, marked: bool) -> bool | None:
-    if any(not e.void for e in b.owners) or (marked and not b.article):
+    if _out(b.owner) or (marked and not b.article):
         return False
     size = len(b.text)
     if b.linked > LINKS * len(b.text.replace(" ", "")):
@@ -220,10 +245,10 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     blocks = _blocks(page)
-    marked = any(b.article and all(e.void for e in b.owners) for b in blocks)
+    marked = any(b.article and not _out(b.owner) for b in blocks)
     for b in blocks:
         b.label = _first_pass(b, marked)
-    scope = [b for b in blocks if not marked or (b.article and all(e.void for e in b.owners))]
+    scope = [b for b in blocks if not marked or (b.article and not _out(b.owner))]
     decided = [b.label for b in scope]
     n = len(scope)
     before, after = [-1] * n, [n] * n

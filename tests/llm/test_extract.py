@@ -32,6 +32,13 @@ def test_broken_pages():
     assert len(main_text("<article>" + f"<p>{LONG}" * 5000)) == 5000 * len(LONG) + 2 * 4999
 
 
+def test_hostile_nesting_is_linear():
+    n = 30_000
+    deep = "<div class=menu>" * n + "x" + "</span></p></td>" * n + "<li>" * n + "<article>" + f"<p>{LONG}"
+    assert main_text(deep) == ""
+    assert main_text("<div><form>" * n + f"<article><p>{LONG}</article>" + "</i>" * n) == LONG
+
+
 def test_table(spark):
     rows = [(1, "u", f"<article><p>{LONG}é</article>"), (1, "u", f"<article><p>{LONG}é</article>"), (2, None, None), (None, "v", "")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' AS text", "1 AS n_chars")
