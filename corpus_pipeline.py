@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from subledger.llm.common import stage, table
 from subledger.llm.decontam import keep_uncontaminated
-from subledger.llm.mix import mix_documents
+from subledger.llm.mix import KEEP, mix_documents
 from subledger.llm.nbsvm import keep_good
 from subledger.llm.neardup import link_documents
 from subledger.llm.shard import assign_shards
@@ -52,8 +52,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the raked mixture samples."""
-    return _keep(docs, mix_documents(docs).filter("kept"))
+    """Documents that the raked mixture samples, ``KEEP`` of all tokens expected."""
+    return _keep(docs, mix_documents(docs, keep=KEEP).filter("kept"))
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,13 @@ that meet all three.  Every document of a cell is then kept with probability
 probability 1, so expected token totals are exactly proportional to the targets
 and no row is ever repeated or forced in.
 
+With that scale the cell of largest ratio alone sets the rate of the corpus, so
+one stray row of a value of its own drops most documents.  ``keep`` (a share of
+the tokens) sets the rate instead: a cell whose probability would exceed 1 is
+kept whole and the others are raked to what is left of the targets, so that the
+expected tokens are ``keep`` of all.  The pipeline uses it with ``KEEP``; the
+query has the scale that its SQL defines.
+
 Only the cell table is raked.  Its rows are (sources x languages x topics) at
 most, far below the documents, and come from a partial aggregation.
 
@@ -37,6 +44,8 @@ from .common import stage, table, unit_hash, word_count
 DIMENSIONS = ("source", "lang", "topic")
 ALPHA = {"source": 0.9, "lang": 0.9, "topic": 0.95}
 ROUNDS = 12
+#: Share of the tokens that the pipeline keeps.
+KEEP = 0.65
 SEED = "mix-1"
 
 
@@ -52,8 +61,11 @@ def _value(c: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("null"))
 
 
-def rake(cells: DataFrame, targets: dict, rounds: int = ROUNDS) -> DataFrame:
-    """Add ``weight`` to the cells (columns DIMENSIONS and ``tokens``); weights sum to 1."""
+def rake(cells: DataFrame, targets: dict, rounds: int = ROUNDS, keep: float | None = None) -> DataFrame:
+    """Add ``weight`` to the cells (columns DIMENSIONS and ``tokens``); weights sum to 1.
+
+    With ``keep``, no weight exceeds the cell's tokens over ``keep`` of all tokens.
+    """
     # one partition: the windows below then need no exchange; the cells are few (see above)
     out = cells.coalesce(1)
     total = F.sum("tokens").over(W.partitionBy())
@@ -74,11 +86,25 @@ def rake(cells: DataFrame, targets: dict, rounds: int = ROUNDS) -> DataFrame:
     for _ in range(rounds):
         for d in DIMENSIONS:
             now = F.sum("weight").over(W.partitionBy(d))
-            out = out.withColumn("weight", F.when(now > 0, F.col("weight") * F.col(f"t_{d}") / now).otherwise(0.0))
+            weight = F.when(now > 0, F.col("weight") * F.col(f"t_{d}") / now).otherwise(0.0)
+            out = out.withColumn("weight", weight if keep is None else F.least(weight, F.col("tokens") / (total * F.lit(float(keep)))))
     return out
 
 
-def mix_documents(docs: DataFrame, targets: dict | None = None, rounds: int = ROUNDS, seed: str = SEED, topic: str | None = None) -> DataFrame:
+def fill(raked: DataFrame, keep: float) -> DataFrame:
+    """Add ``probability`` = least(1, scale * ratio), its scale such that ``keep`` of all tokens are expected."""
+    # from the least ratio up: a cell is whole if the scale that is left once all above it are whole makes it so
+    up = W.partitionBy().orderBy("ratio", *DIMENSIONS).rowsBetween(W.unboundedPreceding, W.currentRow)
+    whole = W.partitionBy()
+    left = F.lit(float(keep)) * F.sum("tokens").over(whole) - F.sum("tokens").over(whole) + F.sum("tokens").over(up)
+    out = raked.withColumn("_whole", (F.col("weight") > 0) & (left * F.col("ratio") >= F.sum("weight").over(up)))
+    left = F.lit(float(keep)) * F.sum("tokens").over(whole) - F.sum(F.when(F.col("_whole"), F.col("tokens")).otherwise(0)).over(whole)
+    rest = F.sum(F.when(F.col("_whole"), 0.0).otherwise(F.col("weight"))).over(whole)
+    scaled = F.when(rest > 0, F.least(F.lit(1.0), left * F.col("ratio") / rest)).otherwise(0.0)
+    return out.withColumn("probability", F.when(F.col("_whole"), 1.0).otherwise(scaled))
+
+
+def mix_documents(docs: DataFrame, targets: dict | None = None, rounds: int = ROUNDS, seed: str = SEED, topic: str | None = None, keep: float | None = None) -> DataFrame:
     """One row per document: doc_id, source, lang, topic, tokens, probability, kept."""
     words = word_count(F.col("text"))
     form = F.col(topic) if topic else form_topic(F.col("text"), F.col("_words"))
@@ -88,8 +114,11 @@ def mix_documents(docs: DataFrame, targets: dict | None = None, rounds: int = RO
     cells = keyed.groupBy(*[F.col(f"k_{d}").alias(d) for d in DIMENSIONS]).agg(F.sum("tokens").alias("tokens"))
     # summed by all tasks first, so that the one task that rakes reads a row per cell and no partial sums
     cells = stage(cells, "mix-sums")
-    raked = rake(cells, targets or ALPHA, rounds).withColumn("ratio", F.col("weight") / F.col("tokens"))
-    raked = raked.withColumn("probability", F.least(F.lit(1.0), F.col("ratio") / F.max("ratio").over(W.partitionBy())))
+    raked = rake(cells, targets or ALPHA, rounds, keep).withColumn("ratio", F.col("weight") / F.col("tokens"))
+    if keep is None:
+        raked = raked.withColumn("probability", F.least(F.lit(1.0), F.col("ratio") / F.max("ratio").over(W.partitionBy())))
+    else:
+        raked = fill(raked, keep)
     raked = stage(raked.select(*[F.col(d).alias(f"k_{d}") for d in DIMENSIONS], "probability"), "mix-cells")
     out = keyed.join(raked, [f"k_{d}" for d in DIMENSIONS])
     return out.select(

@@ -37,6 +37,28 @@ def test_sample_follows_probabilities(spark):
     assert raised  # the smaller language is kept more often
 
 
+def test_a_stray_cell_does_not_scale_the_others(spark):
+    import corpus_pipeline
+
+    docs = spark.range(6000).select(
+        F.col("id").alias("doc_id"), F.expr("repeat('w ', int(60 + id % 90))").alias("text"),
+        F.expr("concat('s', int(sqrt(id % 16)))").alias("source"), F.expr("element_at(array('en', 'en', 'fr', 'de'), int(id % 4) + 1)").alias("lang"),
+    )
+    stray = spark.createDataFrame([(-1, "w " * 59, "s0", "zz"), (-2, "w " * 59, "new", "yy")], docs.schema)
+    clean, got = (mix_documents(d, keep=0.65).toPandas() for d in (docs, docs.union(stray)))
+    for x in (clean, got):
+        assert (x["probability"] * x["tokens"]).sum() == pytest.approx(0.65 * x["tokens"].sum(), rel=1e-4)
+    assert (got[got["doc_id"] < 0]["probability"] == 1).all()
+    both = clean.merge(got, on="doc_id")
+    assert (both["probability_x"] - both["probability_y"]).abs().max() < 0.01
+    # the stage: most documents stay whatever single rows come in
+    assert corpus_pipeline.mixing(spark, docs.union(stray), "").count() > 0.6 * 6000
+    # all that the targets name is less than the share: it is kept whole, the rest dropped
+    named = mix_documents(docs, {"source": {"s3": 1}, "lang": 1, "topic": 1}, keep=0.65).toPandas()
+    assert set(named[named["source"] == "s3"]["probability"]) == {1.0} and set(named[named["source"] != "s3"]["probability"]) == {0.0}
+    assert mix_documents(docs.limit(0), keep=0.65).collect() == []
+
+
 def test_mix_edge_cases(spark):
     rows = [(1, None, None, None), (1, None, None, None), (None, "", "s", "en"), (3, "a b", "null", "en"), (4, "x " * 5000, "s", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
