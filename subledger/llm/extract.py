@@ -10,7 +10,9 @@ becomes one space.  Pass 1 classifies each block by itself:
   short paragraph;
 * in the marked article (``article`` or ``main``) a block of some length is good;
 * on pages without a marked article, length and stop-word density decide: long
-  running text is good, long text without stop words bad, the rest open.
+  running text is good, the rest open.  The stop words are English, German, French
+  and Spanish.  Long text in another script than Latin, and all long text of a page
+  on which the stop words find less than a quarter of it, is good by its length.
 
 Pass 2 gives open (short) blocks the label that their nearest decided neighbours
 share.  Where those differ, a heading takes the label of what follows and any
@@ -85,6 +87,10 @@ _TOKEN = re.compile(
 _NAME = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 _WORD = re.compile(r"\w+")
+_LETTER = re.compile(r"[^\W\d_]")
+_LATIN = re.compile(r"[A-Za-z\u00c0-\u024f\u1e00-\u1eff]")
+#: Characters of two columns (Chinese, Japanese, Korean), of which fewer make a long text.
+_WIDE = re.compile(r"[\u1100-\u115f\u2e80-\ua4cf\uac00-\ud7a3\uf900-\ufaff\ufe30-\ufe6f\uff00-\uff60\uffe0-\uffe6\U00020000-\U0003fffd]")
 
 
 class _Element:
@@ -223,6 +229,10 @@ def _blocks(page: str) -> list[_Block]:
     return out
 
 
+def _columns(text: str) -> int:
+    return len(text) if text.isascii() else len(text) + len(_WIDE.findall(text))
+
+
 def _first_pass(b: _Block, marked: bool) -> bool | None:
     if _out(b.owner) or (marked and not b.article):
         return False
@@ -231,13 +241,24 @@ def _first_pass(b: _Block, marked: bool) -> bool | None:
         return False if b.item or not marked or size > LONG else None
     if marked:
         return True if size >= SHORT and not b.heading else None
-    if b.heading or size < SHORT:
+    if b.heading or _columns(b.text) < SHORT:
         return None if not b.linked or b.heading else False
     found = [w.lower() for w in _WORD.findall(b.text)]
     density = sum(w in STOP_WORDS for w in found) / max(1, len(found))
-    if density >= DENSE or (density >= SPARSE and size >= LONG):
-        return True
-    return None if density >= SPARSE / 2 else False
+    return True if density >= DENSE or (density >= SPARSE and size >= LONG) else None
+
+
+def _by_length(blocks: list[_Block]) -> None:
+    """On a page without a marked article, label the long open blocks that the stop words cannot judge."""
+    long = [b for b in blocks if b.label is not False and not b.heading and _columns(b.text) >= SHORT]
+    other = [b for b in long if b.label is None and 2 * len(_LATIN.findall(b.text)) < len(_LETTER.findall(b.text))]
+    for b in other:
+        b.label = True
+    foreign = set(map(id, other))
+    judged = [b for b in long if id(b) not in foreign]
+    if 4 * sum(len(b.text) for b in judged if b.label) < sum(len(b.text) for b in judged):
+        for b in judged:
+            b.label = True
 
 
 def main_text(page: str | None) -> str:
@@ -248,6 +269,8 @@ def main_text(page: str | None) -> str:
     marked = any(b.article and not _out(b.owner) for b in blocks)
     for b in blocks:
         b.label = _first_pass(b, marked)
+    if not marked:
+        _by_length(blocks)
     scope = [b for b in blocks if not marked or (b.article and not _out(b.owner))]
     decided = [b.label for b in scope]
     n = len(scope)

@@ -21,6 +21,24 @@ def test_page_without_marked_article():
     assert main_text(page).split("\n\n") == ["Head", f"{LONG} {LONG}", "Short.", f"{LONG} {LONG}"]
 
 
+def test_unmarked_page_in_an_unlisted_language():
+    russian = "Старый дом стоял на краю деревни, и в саду росли высокие деревья, которые помнили ещё прежних хозяев этого места."
+    polish = "Stary dom stał przy drodze, obok rosły wysokie drzewa, które pamiętały jeszcze dawnych właścicieli tego miejsca."
+    chinese = "老房子坐落在村庄的边缘，花园里长满了高大的树木，这些树木已经在那里生长了很多年，村里的人都记得它们。"
+    menu = '<ul class="menu"><li><a href=1>Menu</a></li></ul>'
+    for text in (russian, polish, chinese):
+        page = f"{menu}<div><h1>{text[:9]}</h1><p>{text}</p><p>{text[:20].strip()}</p><p>{text}</p></div><div class=footer>{text}</div>"
+        assert main_text(page).split("\n\n") == [text[:9].strip(), text, text[:20].strip(), text]
+        # one English notice does not make the stop words fit the page
+        assert main_text(f"{menu}<div>" + f"<p>{text}</p>" * 8 + f"</div><p>{LONG}</p>").count(text) == 8
+
+
+def test_long_text_without_stop_words_takes_its_neighbours_label():
+    code = "double total = sum(row.amount * row.price); printf(total); return total / rows.length; double mean = total;"
+    page = f"<div><p>{LONG}</p><pre>{code}</pre><p>{LONG}</p></div><div class=ad>x</div><pre>{code}</pre><div class=ad>x</div>"
+    assert main_text(page).split("\n\n") == [LONG, code, LONG]
+
+
 def test_wrappers_of_the_article_are_not_excluded():
     assert main_text(f'<form id=f><div class="notice"><main><p>{LONG}</p></main></div></form>') == LONG
 
