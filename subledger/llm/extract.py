@@ -13,6 +13,8 @@ becomes one space.  Pass 1 classifies each block by itself:
   running text is good, the rest open.  The stop words are English, German, French
   and Spanish.  Long text in another script than Latin, and all long text of a page
   on which the stop words find less than a quarter of it, is good by its length.
+  If no block of such a page is good, as in a dialogue of short lines, all open
+  blocks are.
 
 Pass 2 gives open (short) blocks the label that their nearest decided neighbours
 share.  Where those differ, a heading takes the label of what follows and any
@@ -242,7 +244,7 @@ def _first_pass(b: _Block, marked: bool) -> bool | None:
     if marked:
         return True if size >= SHORT and not b.heading else None
     if b.heading or _columns(b.text) < SHORT:
-        return None if not b.linked or b.heading else False
+        return None
     found = [w.lower() for w in _WORD.findall(b.text)]
     density = sum(w in STOP_WORDS for w in found) / max(1, len(found))
     return True if density >= DENSE or (density >= SPARSE and size >= LONG) else None
@@ -271,6 +273,9 @@ def main_text(page: str | None) -> str:
         b.label = _first_pass(b, marked)
     if not marked:
         _by_length(blocks)
+        if not any(b.label for b in blocks):
+            for b in blocks:
+                b.label = b.label is None
     scope = [b for b in blocks if not marked or (b.article and not _out(b.owner))]
     decided = [b.label for b in scope]
     n = len(scope)

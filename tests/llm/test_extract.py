@@ -39,6 +39,19 @@ def test_long_text_without_stop_words_takes_its_neighbours_label():
     assert main_text(page).split("\n\n") == [LONG, code, LONG]
 
 
+def test_short_blocks_of_an_unmarked_page():
+    read = "Read <a href=1>the full report</a> published on Monday."
+    page = f"<div><p>{LONG}</p><p>{read}</p><p>{LONG}</p></div><div><p><a href=1>all links here</a></p></div>"
+    assert main_text(page).split("\n\n") == [LONG, "Read the full report published on Monday.", LONG]
+    lines = ["Who is there?", "Nobody.", "Then come in, nobody."]
+    poem = "<p>".join(lines)
+    assert main_text(f"<p>{poem}").split("\n\n") == lines
+    menu = '<ul class="menu"><li><a href=1>Menu</a></li></ul>'
+    assert main_text(f"{menu}<div><p>{poem}</p></div><footer>{lines[0]}</footer>").split("\n\n") == lines
+    # nothing but menus and links stays empty
+    assert main_text(f"{menu}<p><a href=1>all links here</a></p><footer>{lines[0]}</footer>") == ""
+
+
 def test_wrappers_of_the_article_are_not_excluded():
     assert main_text(f'<form id=f><div class="notice"><main><p>{LONG}</p></main></div></form>') == LONG
 
