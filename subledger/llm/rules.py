@@ -9,6 +9,14 @@ over every test made).  The strictest admissible cutoff of each stratum and rule
 is used; a stratum without one leaves the rule off.  So with probability
 ``1 - delta`` at most ``alpha`` of the good documents of every stratum are lost.
 
+With labels shared among many tests these levels need some 1,600 good labels a
+stratum, so few strata have a rule.  :func:`judge` therefore tests one ladder per
+stratum: its step ``i`` has the i-th cutoff of every rule, a test takes the joint
+rejection of all rules at the full ``alpha`` and level ``delta / strata``, from
+the loosest step on, and the last step before the first failure is used (fixed
+sequence, same guarantee).  217 good labels then do for four strata.  The query
+keeps the cutoffs that its SQL defines (``ladder=False``).
+
 Features (integers, per document):
 
 * ``symbols``: symbol characters per 1000 words
@@ -158,11 +166,26 @@ def choose_cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float = DEL
     return passed.groupBy("stratum").agg(*[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES])
 
 
-def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+def choose_ladder(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """As :func:`choose_cutoffs`, with one step of the ladder for all rules of a stratum."""
+    good = labelled.filter((F.col("quality") == 1) & ~F.col("base_failed"))
+    n_steps = min(len(c) for c in CUTOFFS.values())
+    lost = [F.greatest(*[F.col(r) > CUTOFFS[r][i] for r in RULES]).cast("long") for i in range(n_steps)]
+    tests = good.groupBy("stratum").agg(F.count("*").alias("n"), F.array(*[F.sum(x) for x in lost]).alias("_k"))
+    tests = tests.withColumn("strata", F.count("*").over(W.partitionBy())).select("stratum", "n", "strata", F.posexplode("_k").alias("step", "k"))
+    # a stricter step loses every document that a looser one loses, so the steps that pass have no gap
+    passed = tests.filter(
+        (F.col("k") < F.col("n") * F.lit(alpha)) & (binomial_tail(F.col("n"), F.col("k"), alpha) <= F.lit(delta) / F.col("strata"))
+    )
+    step = passed.groupBy("stratum").agg(F.min("step").alias("step"))
+    return step.select("stratum", *[F.get(F.array(*[F.lit(c).cast("long") for c in CUTOFFS[r]]), F.col("step")).alias(f"cut_{r}") for r in RULES])
+
+
+def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, ladder: bool = True) -> DataFrame:
     """One row per document: counts, base_failed, kept, rejected_by and the cutoffs used."""
     f = stage(features(docs), "rules-features")
     marks = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    cutoffs = stage(choose_cutoffs(f.join(marks, "doc_id"), alpha, delta), "rules-cutoffs")
+    cutoffs = stage((choose_ladder if ladder else choose_cutoffs)(f.join(marks, "doc_id"), alpha, delta), "rules-cutoffs")
     out = f.join(cutoffs, "stratum", "left")
     broken = F.array_compact(F.array(*[F.when(F.col(r) > F.col(f"cut_{r}"), F.lit(r)) for r in RULES]))
     return out.withColumn("rejected_by", broken).select(
@@ -180,7 +203,7 @@ def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float
 
 
 def op3_risk_controlled_rules(spark, sf_dir: str) -> DataFrame:
-    out = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    out = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ladder=False)
     return out.drop(*[f"cut_{r}" for r in RULES])
 
 

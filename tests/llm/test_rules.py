@@ -39,6 +39,23 @@ def test_cutoffs_bound_false_rejection(spark):
     assert got[20_001]["base_failed"] and not got[20_001]["kept"] and got[20_001]["n_words"] == 0
 
 
+def test_few_labels_give_cutoffs_in_every_stratum(spark):
+    langs = ("en", "fr", "de", "es")
+    good = [(i, _text(60) + (" ###" if i < 4 else ""), langs[i % 4]) for i in range(4 * 300)]
+    bad = [(10_000 + i, _text(60) + " $$$ %%%" * 20, langs[i % 4]) for i in range(40)]
+    few = [(20_000 + i, _text(60), "xx") for i in range(100)] + [(21_000, _text(60) + " $$$ %%%" * 20, "xx")]
+    docs = spark.createDataFrame(good + bad + few, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i, *_ in good + few[:100]] + [(i, 0) for i, *_ in bad], "doc_id long, quality int")
+    got = {r["doc_id"]: r for r in judge(docs, labels).collect()}
+    assert not any(got[i]["kept"] for i, *_ in bad)
+    for lang in langs:
+        mine = [got[i] for i, _, v in good if v == lang]
+        assert sum(not r["kept"] for r in mine) <= 0.02 * len(mine)
+        assert all(r["cut_symbols"] is not None for r in mine)
+    # too few labels for any step: the rules stay off
+    assert got[21_000]["kept"] and got[21_000]["cut_symbols"] is None
+
+
 def test_counts_and_empty_tables(spark):
     t = "a b c a b c x\n\na b c a b c x\n \n#%é|<"
     docs = spark.createDataFrame([(1, t, "en"), (1, t, "en"), (2, "", "en"), (3, " \t", None)], "doc_id long, text string, lang string")
