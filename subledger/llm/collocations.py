@@ -11,11 +11,13 @@ are per language (null: ``und``).
    bit that two phrases share only lets one more candidate through, so every
    phrase that is frequent is a candidate (Apriori).
 2. The candidates' words are read off the texts once, and candidates and their
-   words are dealt by hash into blocks of at most about ``PHRASES`` phrases.  A
-   block becomes a double-array trie, built in a task: a word is two symbols of
-   ``DIGIT`` bits, the next state of s at c is base[s] + c, if check there is s.
-3. Each block's trie is broadcast alone (its size is bounded by ``PHRASES``) and
-   destroyed after its pass.  A task advances the states of all word positions
+   words are dealt into blocks of about half of ``PHRASES`` phrases, by their
+   first word; only the phrases of a first word that has many are dealt
+   singly.  A block becomes a double-array trie, built in a task: a word is two
+   symbols of ``DIGIT`` bits, the next state of s at c is base[s] + c, if check
+   there is s.
+3. The tries of ``TOGETHER`` blocks are broadcast (``PHRASES`` bounds each) and
+   destroyed after their pass.  A task advances the states of all word positions
    of a run of texts at once, symbol by symbol, counts the states of whole
    phrases, and the counts of all tasks are summed.  Candidates under ``LEAST``
    end here.
@@ -50,11 +52,12 @@ LEAST, LONGEST, TOP = 10, 3, 2000
 #: A phrase goes if a longer one that holds it has this share (percent) of its occurrences.
 INSIDE = 50
 BITMAP = 27
-PHRASES = 1 << 21
+#: Phrases of a trie at most (about), and tries of one pass over the texts.
+PHRASES, TOGETHER = 1 << 18, 8
 DIGIT = 12
 SALTS = 64
 #: Hashes that a task holds before it adds them up, and distinct ones before it sends them.
-HELD = 1 << 22
+HELD = 1 << 21
 
 #: Bytes that end a piece, and bytes of words.
 ENDS = np.zeros(256, dtype=bool)
@@ -345,55 +348,74 @@ def _build(rows: pa.Table) -> pa.Table:
 _TRIE_SQL = "block int, node int, lang string, phrase string, arrays array<binary>"
 
 
-def _advance(shared, totals: bool):
-    """Count the states that word positions reach: (node, lang, n); words of each language under node -1."""
+class _Counter:
+    """Counts of the states of one trie."""
+
+    def __init__(self, arrays: list[bytes]):
+        kinds = (np.uint64, np.int32, np.int32, np.int32)
+        self.vocabulary, self.rank, self.base, self.check = (np.frombuffer(b, dtype=t) for b, t in zip(arrays, kinds))
+        self.sieve = np.zeros(1 << 22, dtype=bool)
+        self.sieve[self.vocabulary >> np.uint64(42)] = True
+        self.counts = np.zeros(len(self.check), dtype=np.int64)
+        self.held: list[np.ndarray] = []
+        self.size = 0
+
+    def advance(self, h: np.ndarray, joined: np.ndarray) -> None:
+        """Move a state from every word on, through the two symbols of each word, as far as the trie goes."""
+        code = np.full(len(h), -1, dtype=np.int64)
+        at = np.flatnonzero(self.sieve[h >> np.uint64(42)])
+        near = np.minimum(np.searchsorted(self.vocabulary, h[at]), len(self.vocabulary) - 1)
+        hit = self.vocabulary[near] == h[at]
+        at = at[hit]
+        code[at] = self.rank[near[hit]]
+        state = np.zeros(len(at), dtype=np.int64)
+        for k in range(LONGEST):
+            if k:
+                on = joined[at + k - 1]
+                at, state = at[on], state[on]
+                on = code[at + k] >= 0
+                at, state = at[on], state[on]
+            for shift in (DIGIT, 0):
+                state = DoubleArray.step(self.base, self.check, state, code[at + k] >> shift & ((1 << DIGIT) - 1))
+                on = state >= 0
+                at, state = at[on], state[on]
+            self.held.append(state)
+            self.size += len(state)
+        if self.size > HELD:
+            self.sum()
+
+    def sum(self) -> np.ndarray:
+        if self.held:
+            self.counts += np.bincount(np.concatenate(self.held), minlength=len(self.counts))
+            self.held, self.size = [], 0
+        return self.counts
+
+
+def _advance(shared: list, totals: bool):
+    """Count the states that word positions reach: (block, node, lang, n); words of each language under node -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, rank, base, check = (np.frombuffer(b, dtype=t) for b, t in zip(shared.value, (np.uint64, np.int32, np.int32, np.int32)))
-        sieve = np.zeros(1 << 24, dtype=bool)
-        sieve[vocabulary >> np.uint64(40)] = True
-        counts = np.zeros(len(check), dtype=np.int64)
-        held: list[np.ndarray] = []
-        size, n = 0, {}
-        low = (1 << DIGIT) - 1
+        counters = {b: _Counter(arrays.value) for b, arrays in shared}
+        n: dict[str, int] = {}
         for batch in batches:
             langs = batch.column("lang").to_pylist() if totals else []
             for _, row, _, _, h, joined in _tokens(batch):
                 if totals:
                     for r, m in zip(*np.unique(row, return_counts=True)):
                         n[langs[r]] = n.get(langs[r], 0) + int(m)
-                code = np.full(len(h), -1, dtype=np.int64)
-                at = np.flatnonzero(sieve[h >> np.uint64(40)])
-                near = np.minimum(np.searchsorted(vocabulary, h[at]), len(vocabulary) - 1)
-                hit = vocabulary[near] == h[at]
-                at = at[hit]  # first words of what is in the trie so far
-                code[at] = rank[near[hit]]
-                state = np.zeros(len(at), dtype=np.int64)
-                for k in range(LONGEST):
-                    if k:
-                        on = joined[at + k - 1]
-                        at, state = at[on], state[on]
-                        on = code[at + k] >= 0
-                        at, state = at[on], state[on]
-                    for shift in (DIGIT, 0):
-                        state = DoubleArray.step(base, check, state, code[at + k] >> shift & low)
-                        on = state >= 0
-                        at, state = at[on], state[on]
-                    held.append(state)
-                    size += len(state)
-                if size > HELD:
-                    counts += np.bincount(np.concatenate(held), minlength=len(counts))
-                    held, size = [], 0
-        if held:
-            counts += np.bincount(np.concatenate(held), minlength=len(counts))
-        full = np.flatnonzero(counts)
-        yield pa.record_batch([pa.array(full, pa.int32()), pa.nulls(len(full), pa.string()), pa.array(counts[full])], names=["node", "lang", "n"])
-        yield pa.record_batch([pa.array([-1] * len(n), pa.int32()), pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["node", "lang", "n"])
+                for c in counters.values():
+                    c.advance(h, joined)
+        names = ["block", "node", "lang", "n"]
+        for b, c in counters.items():
+            full = np.flatnonzero(c.sum())
+            yield pa.record_batch([pa.array(np.full(len(full), b, dtype=np.int32)), pa.array(full, pa.int32()), pa.nulls(len(full), pa.string()), pa.array(c.counts[full])], names=names)
+        none = pa.array([-1] * len(n), pa.int32())
+        yield pa.record_batch([none, none, pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=names)
 
     return run
 
 
-def phrase_counts(docs: DataFrame, least: int = LEAST, bitmap: int = BITMAP, block: int = PHRASES) -> tuple[DataFrame, DataFrame]:
+def phrase_counts(docs: DataFrame, least: int = LEAST, bitmap: int = BITMAP, block: int = PHRASES, together: int = TOGETHER) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, n_words, f) of every phrase of 2 or 3 words with f >= ``least`` and of all their words, and (lang, n)."""
     spark = docs.sparkSession
     sc = spark.sparkContext
@@ -406,23 +428,23 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, bitmap: int = BITMAP, blo
         b.destroy()
     every = found.select("lang", "phrase").union(found.select("lang", F.explode(F.split("phrase", " ")).alias("phrase"))).distinct()
     every = stage(every, "colloc-phrases")
-    total = every.count()
-    blocks = max(1, -(-total * 21 // (20 * block)))
-    dealt = every.withColumn("block", F.pmod(F.xxhash64("lang", "phrase"), F.lit(blocks)).cast("int"))
-    tries = stage(dealt.groupBy("block").applyInArrow(_build, _TRIE_SQL), "colloc-tries")
-    counts = None
-    for b in range(blocks if total else 0):
-        one = tries.filter(F.col("block") == b)
-        arrays = one.filter("node = -1").select("arrays").first()
-        if arrays is None:
-            continue
-        trie = sc.broadcast([bytes(a) for a in arrays[0]])
-        sums = map_arrow(texts, _advance(trie, counts is None), "node int, lang string, n bigint").groupBy("node", "lang").agg(F.sum("n").alias("f"))
-        sums = stage(sums.withColumn("block", F.lit(b)), "colloc-counts")
-        trie.destroy()
-        counts = sums if counts is None else counts.unionByName(sums)
-    if counts is None:
-        counts = spark.createDataFrame([], "node int, lang string, f bigint, block int")
+    blocks = max(1, -(-2 * every.count() // block))
+    first = F.substring_index("phrase", " ", 1)
+    many = every.groupBy("lang", first.alias("first")).count().filter(F.col("count") > block // 16).select("lang", "first", F.lit(True).alias("many"))
+    dealt = every.withColumn("first", first).join(many, ["lang", "first"], "left")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("lang", F.when(F.col("many"), F.col("phrase")).otherwise(F.col("first"))), F.lit(blocks)).cast("int"))
+    tries = stage(dealt.select("block", "lang", "phrase").groupBy("block").applyInArrow(_build, _TRIE_SQL), "colloc-tries")
+    present = sorted(r["block"] for r in tries.filter("node = -1").select("block").collect())
+    counts = spark.createDataFrame([], "block int, node int, lang string, f bigint")
+    for at in range(0, len(present), together):
+        now = []
+        for b in present[at : at + together]:
+            arrays = tries.filter((F.col("block") == b) & (F.col("node") == -1)).select("arrays").first()[0]
+            now.append((b, sc.broadcast([bytes(a) for a in arrays])))
+        sums = map_arrow(texts, _advance(now, at == 0), "block int, node int, lang string, n bigint")
+        counts = counts.unionByName(stage(sums.groupBy("block", "node", "lang").agg(F.sum("n").alias("f")), "colloc-counts"))
+        for _, trie in now:
+            trie.destroy()
     named = tries.filter("node >= 0").select("block", "node", "lang", "phrase")
     named = named.join(counts.filter("node >= 0").select("block", "node", "f"), ["block", "node"])
     named = named.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("n_words"), "f")

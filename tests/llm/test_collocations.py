@@ -52,7 +52,7 @@ def rows(df):
     return sorted(tuple(r[c] for c in ("lang", "rank", "phrase", "a", "l", "r", "n", "score")) for r in df.collect())
 
 
-@pytest.mark.parametrize("kw", [{}, {"block": 40, "bitmap": 12}, {"top": 7, "salts": 3}])
+@pytest.mark.parametrize("kw", [{}, {"block": 40, "bitmap": 12, "together": 2}, {"top": 7, "salts": 3}])
 def test_matches_plain_counting(spark, kw):
     docs = fixture()
     df = spark.createDataFrame(docs, "lang string, text string").repartition(4).selectExpr("*", "1 AS node", "2 AS `a.b`", "3 AS block", "4 AS rank")
