@@ -9,9 +9,11 @@ are per language (null: ``und``).
    the hash range; a slice adds its counts up and marks the frequent ones in its
    part of a bitmap of 2^``BITMAP`` bits, the one thing that is broadcast.  A
    bit that two phrases share only lets one more candidate through, so every
-   phrase that is frequent is a candidate (Apriori).
-2. The candidates' words are read off the texts once, and candidates and their
-   words are dealt into blocks of about half of ``PHRASES`` phrases, by their
+   phrase that is frequent is a candidate (Apriori).  A slice also picks, for each
+   frequent phrase, one class of texts in which it was seen (a 16-bit hash of the
+   text), and marks the two in a second bitmap.
+2. The candidates' words are read off the texts of their class, so that few tasks
+   send the same phrase, and candidates and their words are dealt into blocks of about half of ``PHRASES`` phrases, by their
    first word; only the phrases of a first word that has many are dealt
    singly.  A block becomes a double-array trie, built in a task: a word is two
    symbols of ``DIGIT`` bits, the next state of s at c is base[s] + c, if check
@@ -55,7 +57,9 @@ BITMAP = 27
 #: Phrases of a trie at most (about), and tries of one pass over the texts.
 PHRASES, TOGETHER = 1 << 18, 8
 DIGIT = 12
-SALTS = 64
+SALTS = 16
+#: States whose counts travel as one row.
+CHUNK = 1 << 16
 #: Hashes that a task holds before it adds them up, and distinct ones before it sends them.
 HELD = 1 << 21
 
@@ -88,6 +92,20 @@ def _tokens(batch: pa.RecordBatch, text: str = "text") -> Iterator[tuple]:
         yield data, row + i, start, end, h, joined
 
 
+def _classes(row: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """A 16-bit class of the text that each word is in, from the text's first and last word and its length."""
+    first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+    size = np.diff(np.r_[first, len(row)])
+    of = mix(h[first] + mix(h[first + size - 1]) + size.astype(np.uint64)) >> np.uint64(48)
+    return np.repeat(of.astype(np.uint16), size)
+
+
+def _owner(h: np.ndarray, classes: np.ndarray, slice_bits: int) -> np.ndarray:
+    """A hash of phrase and class that begins like the phrase's, so that both fall into one slice."""
+    top = np.uint64(64 - slice_bits)
+    return (h >> top << top) | (mix(h ^ mix(classes.astype(np.uint64) + np.uint64(1))) >> np.uint64(slice_bits))
+
+
 class Bitmap:
     """Membership of 64-bit hashes by their first bits."""
 
@@ -118,93 +136,104 @@ def _candidates(h: np.ndarray, joined: np.ndarray, maps: list[Bitmap]) -> Iterat
         yield k, at, run[at]
 
 
-def _add(held: list[np.ndarray], h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Counts, no more than 255, of hashes known so far and newly held."""
-    values, counts = np.unique(np.concatenate(held), return_counts=True) if held else (h[:0], n[:0])
-    return _merge([h, values], [n, counts])
+def _merge(hashes: list[np.ndarray], counts: list[np.ndarray], classes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes in order, their summed counts (255 stands for more) and one class of each."""
+    h = np.concatenate(hashes)
+    order = np.argsort(h, kind="stable")
+    h = h[order]
+    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]][: len(h)])
+    n = np.concatenate(counts)[order].astype(np.int64)
+    n = np.add.reduceat(n, first) if len(h) else n
+    return h[first], np.minimum(n, 255).astype(np.uint8), np.concatenate(classes)[order[first]]
 
 
-def _merge(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    h, n = np.concatenate(hashes), np.concatenate(counts).astype(np.int64)
-    order = np.argsort(h, kind="stable")
-    h, n = h[order], n[order]
-    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, dtype=np.int64)
-    return h[first], np.minimum(np.add.reduceat(n, first), 255).astype(np.uint8) if len(h) else n.astype(np.uint8)
+_COUNTED = "slice int, hashes binary, counts binary, classes binary"
 
 
 def _count_hashes(shared: list, slice_bits: int):
-    """Texts to (slice, hashes, counts) of the phrases that are one word longer than the bitmaps."""
+    """Texts to (slice, hashes, counts, classes) of the phrases that are one word longer than the bitmaps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maps = [Bitmap(b.value) for b in shared]
-        held: list[np.ndarray] = []
-        size, h, n = 0, np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint8)
+        known = (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint8), np.zeros(0, dtype=np.uint16))
+        held: list[list[np.ndarray]] = [[x] for x in known]
+        size = 0
 
-        def send():
-            edges = np.searchsorted(h >> np.uint64(64 - slice_bits), np.arange((1 << slice_bits) + 1))
+        def send(parts):
+            edges = np.searchsorted(parts[0] >> np.uint64(64 - slice_bits), np.arange((1 << slice_bits) + 1))
             full = np.flatnonzero(np.diff(edges))
-            if len(full):
-                blobs = [(h[edges[s] : edges[s + 1]].tobytes(), n[edges[s] : edges[s + 1]].tobytes()) for s in full]
-                yield pa.record_batch([pa.array(full, pa.int32()), pa.array([b[0] for b in blobs], pa.binary()), pa.array([b[1] for b in blobs], pa.binary())], names=["slice", "hashes", "counts"])
+            blobs = [pa.array([x[edges[s] : edges[s + 1]].tobytes() for s in full], pa.binary()) for x in parts]
+            return pa.record_batch([pa.array(full, pa.int32()), *blobs], names=["slice", "hashes", "counts", "classes"])
 
         for batch in batches:
-            for _, _, _, _, word, joined in _tokens(batch):
-                for k, _, found in _candidates(word, joined, maps):
+            for _, row, _, _, word, joined in _tokens(batch):
+                of = _classes(row, word)
+                for k, at, found in _candidates(word, joined, maps):
                     if k == len(maps) + 1:
-                        held.append(found)
-                        size += len(found)
+                        for x, more in zip(held, (found, np.ones(len(at), dtype=np.uint8), of[at])):
+                            x.append(more)
+                        size += len(at)
                 if size > HELD:
-                    h, n = _add(held, h, n)
-                    held, size = [], 0
-                    if len(h) > HELD:
-                        yield from send()
-                        h, n = h[:0], n[:0]
-        h, n = _add(held, h, n)
-        yield from send()
+                    merged = _merge(*held)
+                    if len(merged[0]) > HELD:
+                        yield send(merged)
+                        merged = known
+                    held, size = [[x] for x in merged], 0
+        yield send(_merge(*held))
 
     return run
 
 
 def _mark(least: int, slice_bits: int, bitmap: int):
-    """(slice, hashes, counts) sorted by slice, to the slice's part of the bitmap of frequent hashes."""
+    """Counted hashes, sorted by slice, to the slice's part of the bitmaps of frequent phrases and of their owners."""
     width = bitmap - slice_bits
 
-    def bits(s: int, h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    def packed(h: np.ndarray) -> bytes:
         part = np.zeros(1 << width, dtype=bool)
-        part[((h[n >= least] >> np.uint64(64 - bitmap)) & np.uint64((1 << width) - 1)).astype(np.int64)] = True
-        return pa.record_batch([pa.array([s], pa.int32()), pa.array([np.packbits(part).tobytes()], pa.binary())], names=["slice", "bits"])
+        part[((h >> np.uint64(64 - bitmap)) & np.uint64((1 << width) - 1)).astype(np.int64)] = True
+        return np.packbits(part).tobytes()
+
+    def bits(s: int, held: list) -> pa.RecordBatch:
+        h, n, of = _merge(*held)
+        on = n >= least
+        both = [packed(h[on]), packed(_owner(h[on], of[on], slice_bits))]
+        return pa.record_batch([pa.array([s], pa.int32()), *[pa.array([b], pa.binary()) for b in both]], names=["slice", "bits", "owners"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, hs, ns, size = None, [], [], 0
+        current, held, size = None, [], 0
         for batch in batches:
-            for s, hashes, counts in zip(*(batch.column(c) for c in ("slice", "hashes", "counts"))):
+            for s, *blobs in zip(*(batch.column(c) for c in ("slice", "hashes", "counts", "classes"))):
                 if s.as_py() != current:
-                    if hs:
-                        yield bits(current, *_merge(hs, ns))
-                    current, hs, ns, size = s.as_py(), [], [], 0
-                hs.append(np.frombuffer(hashes.as_buffer(), dtype=np.uint64))
-                ns.append(np.frombuffer(counts.as_buffer(), dtype=np.uint8))
-                size += len(ns[-1])
+                    if held:
+                        yield bits(current, held)
+                    current, held, size = s.as_py(), [[], [], []], 0
+                for x, blob, kind in zip(held, blobs, (np.uint64, np.uint8, np.uint16)):
+                    x.append(np.frombuffer(blob.as_buffer(), dtype=kind))
+                size += len(held[0][-1])
                 if size > 2 * HELD:
-                    h, n = _merge(hs, ns)
-                    hs, ns, size = [h], [n], 0
-        if hs:
-            yield bits(current, *_merge(hs, ns))
+                    held, size = [[x] for x in _merge(*held)], 0
+        if held:
+            yield bits(current, held)
 
     return run
 
 
-def _bitmap(texts: DataFrame, shared: list, least: int, bitmap: int) -> np.ndarray:
-    """The packed bitmap of frequent phrases of one more word than ``shared`` has bitmaps."""
+def _slice_bits(texts: DataFrame, bitmap: int) -> int:
     tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    slice_bits = min(max(8, (tasks - 1).bit_length()), bitmap - 3)
-    counted = map_arrow(texts, _count_hashes(shared, slice_bits), "slice int, hashes binary, counts binary")
-    marked = map_arrow(counted.repartition("slice").sortWithinPartitions("slice"), _mark(least, slice_bits, bitmap), "slice int, bits binary")
-    out = np.zeros(1 << (bitmap - 3), dtype=np.uint8)
+    return min(max(8, (tasks - 1).bit_length()), bitmap - 3)
+
+
+def _bitmaps(texts: DataFrame, shared: list, least: int, bitmap: int) -> tuple[np.ndarray, np.ndarray]:
+    """The packed bitmaps of frequent phrases of one more word than ``shared`` has bitmaps, and of their owners."""
+    slice_bits = _slice_bits(texts, bitmap)
+    counted = map_arrow(texts, _count_hashes(shared, slice_bits), _COUNTED)
+    marked = map_arrow(counted.repartition("slice").sortWithinPartitions("slice"), _mark(least, slice_bits, bitmap), "slice int, bits binary, owners binary")
+    out = np.zeros((2, 1 << (bitmap - 3)), dtype=np.uint8)
     width = 1 << (bitmap - slice_bits - 3)
     for r in marked.toLocalIterator():
-        out[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
-    return out
+        for row, bits in zip(out, (r["bits"], r["owners"])):
+            row[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(bytes(bits), dtype=np.uint8)
+    return out[0], out[1]
 
 
 def _phrase_texts(data: np.ndarray, start: np.ndarray, end: np.ndarray, at: np.ndarray, k: int) -> pa.Array:
@@ -221,19 +250,23 @@ def _phrase_texts(data: np.ndarray, start: np.ndarray, end: np.ndarray, at: np.n
     return pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(out)).cast(pa.string())
 
 
-def _read_phrases(shared: list):
-    """Texts to the (lang, phrase) of all candidates in them, once a task."""
+def _read_phrases(shared: list, owners, slice_bits: int):
+    """Texts to the (lang, phrase) of the candidates that texts of their class own, once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maps = [Bitmap(b.value) for b in shared]
+        maps, owned = [Bitmap(b.value) for b in shared], Bitmap(owners.value)
         seen = {k: np.zeros(0, dtype=np.uint64) for k in range(2, LONGEST + 1)}
         for batch in batches:
             langs = batch.column("lang")
             for data, row, start, end, h, joined in _tokens(batch):
+                of = _classes(row, h)
                 for k, at, found in _candidates(h, joined, maps):
-                    if k == 1 or not len(at):
+                    if k == 1:
                         continue
-                    values, first = np.unique(found, return_index=True)
+                    mine = np.flatnonzero(owned.has(_owner(found, of[at], slice_bits)))
+                    if not len(mine):
+                        continue
+                    at, (values, first) = at[mine], np.unique(found[mine], return_index=True)
                     near = np.searchsorted(seen[k], values)
                     new = np.ones(len(values), dtype=bool)
                     known = near < len(seen[k])
@@ -349,34 +382,41 @@ _TRIE_SQL = "block int, node int, lang string, phrase string, arrays array<binar
 
 
 class _Counter:
-    """Counts of the states of one trie."""
-
-    def __init__(self, arrays: list[bytes]):
-        kinds = (np.uint64, np.int32, np.int32, np.int32)
-        self.vocabulary, self.rank, self.base, self.check = (np.frombuffer(b, dtype=t) for b, t in zip(arrays, kinds))
-        self.sieve = np.zeros(1 << 22, dtype=bool)
-        self.sieve[self.vocabulary >> np.uint64(42)] = True
-        self.counts = np.zeros(len(self.check), dtype=np.int64)
+    """Counts of the states of one trie; words come as places in a vocabulary that holds this trie's."""
+
+    def __init__(self, every: np.ndarray, vocabulary: np.ndarray, rank: np.ndarray, base: np.ndarray, check: np.ndarray):
+        self.base, self.check = base, check
+        self.code = np.full(len(every), -1, dtype=np.int32)
+        self.code[np.searchsorted(every, vocabulary)] = rank
+        self.first = np.full(len(every), -1, dtype=np.int32)
+        known = np.flatnonzero(self.code >= 0)
+        self.first[known] = self._word(np.zeros(len(known), dtype=np.int64), self.code[known])
+        self.begins = self.first >= 0
+        self.counts = np.zeros(len(check), dtype=np.int64)
         self.held: list[np.ndarray] = []
         self.size = 0
 
-    def advance(self, h: np.ndarray, joined: np.ndarray) -> None:
-        """Move a state from every word on, through the two symbols of each word, as far as the trie goes."""
-        code = np.full(len(h), -1, dtype=np.int64)
-        at = np.flatnonzero(self.sieve[h >> np.uint64(42)])
-        near = np.minimum(np.searchsorted(self.vocabulary, h[at]), len(self.vocabulary) - 1)
-        hit = self.vocabulary[near] == h[at]
-        at = at[hit]
-        code[at] = self.rank[near[hit]]
-        state = np.zeros(len(at), dtype=np.int64)
+    def _word(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The state a word later, through its two symbols; -1 where there is none."""
+        for shift in (DIGIT, 0):
+            on = np.flatnonzero(state >= 0)
+            to = np.full(len(state), -1, dtype=np.int64)
+            to[on] = DoubleArray.step(self.base, self.check, state[on], code[on] >> shift & ((1 << DIGIT) - 1))
+            state = to
+        return state
+
+    def advance(self, word: np.ndarray, at: np.ndarray, joined: np.ndarray) -> None:
+        """Move a state from every known word on, level by level, as far as the trie goes."""
+        at = at[self.begins[word[at]]]
+        state = self.first[word[at]].astype(np.int64)
         for k in range(LONGEST):
             if k:
                 on = joined[at + k - 1]
                 at, state = at[on], state[on]
-                on = code[at + k] >= 0
-                at, state = at[on], state[on]
-            for shift in (DIGIT, 0):
-                state = DoubleArray.step(self.base, self.check, state, code[at + k] >> shift & ((1 << DIGIT) - 1))
+                w = word[at + k]
+                code = np.where(w >= 0, self.code[w], -1)
+                on = code >= 0
+                at, state = at[on], self._word(state[on], code[on])
                 on = state >= 0
                 at, state = at[on], state[on]
             self.held.append(state)
@@ -391,11 +431,19 @@ class _Counter:
         return self.counts
 
 
+_SHARD = "block int, chunk int, nodes binary, counts binary, lang string, n bigint"
+
+
 def _advance(shared: list, totals: bool):
-    """Count the states that word positions reach: (block, node, lang, n); words of each language under node -1."""
+    """Count the states that word positions reach, in chunks of CHUNK states, and the words of each language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = {b: _Counter(arrays.value) for b, arrays in shared}
+        kinds = (np.uint64, np.int32, np.int32, np.int32)
+        arrays = {b: [np.frombuffer(x, dtype=t) for x, t in zip(trie.value, kinds)] for b, trie in shared}
+        every = np.unique(np.concatenate([a[0] for a in arrays.values()]))
+        sieve = np.zeros(1 << 24, dtype=bool)
+        sieve[every >> np.uint64(40)] = True
+        counters = {b: _Counter(every, *a) for b, a in arrays.items()}
         n: dict[str, int] = {}
         for batch in batches:
             langs = batch.column("lang").to_pylist() if totals else []
@@ -403,28 +451,68 @@ def _advance(shared: list, totals: bool):
                 if totals:
                     for r, m in zip(*np.unique(row, return_counts=True)):
                         n[langs[r]] = n.get(langs[r], 0) + int(m)
+                at = np.flatnonzero(sieve[h >> np.uint64(40)])
+                near = np.minimum(np.searchsorted(every, h[at]), len(every) - 1)
+                hit = every[near] == h[at]
+                at = at[hit]
+                word = np.full(len(h), -1, dtype=np.int64)
+                word[at] = near[hit]
                 for c in counters.values():
-                    c.advance(h, joined)
-        names = ["block", "node", "lang", "n"]
+                    c.advance(word, at, joined)
         for b, c in counters.items():
-            full = np.flatnonzero(c.sum())
-            yield pa.record_batch([pa.array(np.full(len(full), b, dtype=np.int32)), pa.array(full, pa.int32()), pa.nulls(len(full), pa.string()), pa.array(c.counts[full])], names=names)
-        none = pa.array([-1] * len(n), pa.int32())
-        yield pa.record_batch([none, none, pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=names)
+            c.sum()
+            for chunk, a in enumerate(range(0, len(c.counts), CHUNK)):
+                some = c.counts[a : a + CHUNK]
+                full = np.flatnonzero(some)
+                if len(full):
+                    yield _shard(b, chunk, full.astype(np.uint16).tobytes(), some[full].tobytes(), None, None)
+        for lang, m in n.items():
+            yield _shard(-1, 0, None, None, lang, m)
 
     return run
 
 
+def _shard(*values) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.string(), pa.int64())
+    return pa.record_batch([pa.array([v], t) for v, t in zip(values, kinds)], names=["block", "chunk", "nodes", "counts", "lang", "n"])
+
+
+def _sum_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by block and chunk to (block, node, f)."""
+    current, total = None, np.zeros(CHUNK, dtype=np.int64)
+
+    def out():
+        full = np.flatnonzero(total)
+        return pa.record_batch([pa.array(np.full(len(full), current[0], dtype=np.int32)), pa.array((full + current[1] * CHUNK).astype(np.int32)), pa.array(total[full])], names=["block", "node", "f"])
+
+    for batch in batches:
+        for block, chunk, nodes, counts in zip(*(batch.column(c) for c in ("block", "chunk", "nodes", "counts"))):
+            if current != (block.as_py(), chunk.as_py()):
+                if current:
+                    yield out()
+                current, total = (block.as_py(), chunk.as_py()), np.zeros(CHUNK, dtype=np.int64)
+            total[np.frombuffer(nodes.as_buffer(), dtype=np.uint16)] += np.frombuffer(counts.as_buffer(), dtype=np.int64)
+    if current:
+        yield out()
+
+
 def phrase_counts(docs: DataFrame, least: int = LEAST, bitmap: int = BITMAP, block: int = PHRASES, together: int = TOGETHER) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, n_words, f) of every phrase of 2 or 3 words with f >= ``least`` and of all their words, and (lang, n)."""
     spark = docs.sparkSession
     sc = spark.sparkContext
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
     shared: list = []
-    for _ in range(LONGEST):
-        shared.append(sc.broadcast(_bitmap(texts, shared, least, bitmap)))
-    found = stage(map_arrow(texts, _read_phrases(shared), "lang string, phrase string").distinct(), "colloc-candidates")
-    for b in shared:
+    owned = np.zeros(1 << (bitmap - 3), dtype=np.uint8)
+    for k in range(1, LONGEST + 1):
+        frequent, of = _bitmaps(texts, shared, least, bitmap)
+        if k > 1:
+            owned |= of
+        if k < LONGEST:
+            shared.append(sc.broadcast(frequent))
+    owners = sc.broadcast(owned)
+    read = _read_phrases(shared, owners, _slice_bits(texts, bitmap))
+    found = stage(map_arrow(texts, read, "lang string, phrase string").distinct(), "colloc-candidates")
+    for b in (*shared, owners):
         b.destroy()
     every = found.select("lang", "phrase").union(found.select("lang", F.explode(F.split("phrase", " ")).alias("phrase"))).distinct()
     every = stage(every, "colloc-phrases")
@@ -435,20 +523,23 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, bitmap: int = BITMAP, blo
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("lang", F.when(F.col("many"), F.col("phrase")).otherwise(F.col("first"))), F.lit(blocks)).cast("int"))
     tries = stage(dealt.select("block", "lang", "phrase").groupBy("block").applyInArrow(_build, _TRIE_SQL), "colloc-tries")
     present = sorted(r["block"] for r in tries.filter("node = -1").select("block").collect())
-    counts = spark.createDataFrame([], "block int, node int, lang string, f bigint")
+    counts = spark.createDataFrame([], "block int, node int, f bigint")
+    totals = spark.createDataFrame([], "lang string, n bigint")
     for at in range(0, len(present), together):
         now = []
         for b in present[at : at + together]:
             arrays = tries.filter((F.col("block") == b) & (F.col("node") == -1)).select("arrays").first()[0]
             now.append((b, sc.broadcast([bytes(a) for a in arrays])))
-        sums = map_arrow(texts, _advance(now, at == 0), "block int, node int, lang string, n bigint")
-        counts = counts.unionByName(stage(sums.groupBy("block", "node", "lang").agg(F.sum("n").alias("f")), "colloc-counts"))
+        shards = stage(map_arrow(texts, _advance(now, at == 0), _SHARD), "colloc-shards")
+        if at == 0:
+            totals = shards.filter("block < 0").groupBy("lang").agg(F.sum("n").alias("n"))
+        near = shards.filter("block >= 0").select("block", "chunk", "nodes", "counts").repartition("block", "chunk").sortWithinPartitions("block", "chunk")
+        counts = counts.unionByName(map_arrow(near, _sum_shards, "block int, node int, f bigint"))
         for _, trie in now:
             trie.destroy()
-    named = tries.filter("node >= 0").select("block", "node", "lang", "phrase")
-    named = named.join(counts.filter("node >= 0").select("block", "node", "f"), ["block", "node"])
+    named = tries.filter("node >= 0").select("block", "node", "lang", "phrase").join(counts, ["block", "node"])
     named = named.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("n_words"), "f")
-    return stage(named.filter((F.col("n_words") == 1) | (F.col("f") >= least)), "colloc-named"), counts.filter("node = -1").select("lang", F.col("f").alias("n"))
+    return stage(named.filter((F.col("n_words") == 1) | (F.col("f") >= least)), "colloc-named"), totals
 
 
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, inside: int = INSIDE, salts: int = SALTS, **kw) -> DataFrame:
