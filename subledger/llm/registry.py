@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, collocations, decontam, extract, merkle, mix, nbsvm, neardup, rules, secrets, shard, suffix
+from . import chat, collocations, decontam, extract, licences, merkle, mix, nbsvm, neardup, rules, secrets, shard, suffix
 
 QUERIES = {
     "op1_bottomk_neardup": neardup.op1_bottomk_neardup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_raked_mixture": mix.op9_raked_mixture,
     "op10_stratified_shards": shard.op10_stratified_shards,
     "op11_trie_collocations": collocations.op11_trie_collocations,
+    "op12_licence_templates": licences.op12_licence_templates,
     "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 ORACLE_SQL = {**rules.ORACLE, **secrets.ORACLE, **chat.ORACLE, **decontam.ORACLE, **mix.ORACLE, **collocations.ORACLE, **merkle.ORACLE}
