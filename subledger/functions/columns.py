@@ -6,6 +6,7 @@ All of them compile to JVM expressions that stay inside whole-stage codegen.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -76,9 +77,16 @@ def ntz_of_instant(instant: Column) -> Column:
 
 
 def utc_ntz_of_text(text: Column | str, strict: bool = True) -> Column:
-    """UTC wall-clock time of a date/time text; a bad text is an error, or NULL if not ``strict``."""
+    """UTC wall-clock time of a date/time text; a bad text is an error, or NULL if not ``strict``.
+
+    A plain ten-character date is that midnight; only other forms pass the patterns for times and zones.
+    """
+    plain = F.trim(_col(text))
+    is_plain = (F.length(plain) == 10) & (F.substring(plain, 5, 1) == "-") & (F.substring(plain, 8, 1) == "-")
     t = utc_instant_text(text)
-    return ntz_of_instant(t.cast("timestamp") if strict else t.try_cast("timestamp"))
+    if strict:
+        return F.when(is_plain, plain.cast("timestamp_ntz")).otherwise(ntz_of_instant(t.cast("timestamp")))
+    return F.when(is_plain, plain.try_cast("timestamp_ntz")).otherwise(ntz_of_instant(t.try_cast("timestamp")))
 
 
 def business_date_of_text(text: Column | str, tz: str = BUSINESS_TZ) -> Column:
@@ -130,12 +138,25 @@ def rounded(c: Column | str, digits: int | None = RESULT_DIGITS) -> Column:
     return _col(c) if digits is None else F.round(_col(c), digits)
 
 
+#: Digits after the point that a term of an exact sum keeps.
+SUM_DIGITS = 8
+
+
 def exact_sum(c: Column | str) -> Column:
-    """Sum of doubles that no order of addition changes: as decimals of 8 digits, then a double.
+    """Sum of doubles that no order of addition changes, as a double.
 
-    Sums compare, rank and are stored as they are; nothing is rounded before a report's last select.
+    Each term is held as two longs, its whole part and its fraction in units of
+    10^-8, which are added as integers; only the two totals meet as decimals.  So a
+    term counts as rounded to 8 digits, and nothing else is rounded before a
+    report's last select.  A term that is not finite, or of 9 * 10^15 or more, is an
+    error; so are totals beyond 64 bits.
     """
-    return F.sum(_col(c).cast("decimal(28,8)")).cast("double")
+    x = _col(c).cast("double")
+    bad = F.raise_error(F.concat(F.lit("exact_sum: cannot add "), x.cast("string"))).cast("bigint")
+    whole = F.when(x.isNull(), F.lit(None)).when(F.abs(x) < F.lit(9e15), F.floor(x)).otherwise(bad)
+    part = F.rint((x - F.floor(x)) * F.lit(10.0**SUM_DIGITS)).cast("bigint")
+    unit = F.lit(Decimal(1).scaleb(-SUM_DIGITS)).cast(f"decimal({SUM_DIGITS + 1},{SUM_DIGITS})")
+    return (F.sum(whole).cast("decimal(20,0)") + F.sum(part).cast("decimal(20,0)") * unit).cast("double")
 
 
 def safe_corr(x: Column | str, y: Column | str) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from subledger.constants import RESULT_DIGITS, SEGMENT_LABELS, SEGMENT_PERCENTILES
 from subledger.functions import exact_sum, rounded
-from subledger.operators.quantiles import quantiles
+from subledger.operators.quantiles import quantile_values
 
 
 def avg_revenue_per_customer(l3_invoice: DataFrame, digits: int | None = RESULT_DIGITS) -> DataFrame:
@@ -63,24 +63,22 @@ def revenue_segments(
 ) -> DataFrame:
     """Contracts in segments cut at global (interpolated) revenue percentiles.
 
-    The cut points come from the distributed exact quantile operator as a
-    single row, broadcast to every partition of the per-contract table.
-    Contracts are compared unrounded.  The per-contract table is checkpointed
-    (reliable, shared folder) because both the cut points and the tagging read it.
+    The cut points are selected exactly by the quantile operator and stand as
+    numbers in the plan that tags the contracts.  Contracts are compared unrounded.
+    The per-contract table is checkpointed (reliable, shared folder) because both
+    the selection's passes and the tagging read it; nothing is sorted.
     """
     if len(labels) != len(percentiles) + 1:
         raise ValueError("need one more label than percentiles")
     # One row per paying contract, read twice below (cut points, tagging):
     # written once to the checkpoint folder so the invoice table is scanned once.
     per = revenue_per_paying_contract(l2_invoice, l2_product_purchase).checkpoint(eager=True)
-    names = [f"__t{i}" for i in range(len(percentiles))]
-    cuts = quantiles(per, "total_revenue", percentiles, names, method="cont")
+    cuts = quantile_values(per, "total_revenue", percentiles, method="cont", reread=True)
     seg = None
-    for name, label in zip(names, labels[:-1]):
-        cond = F.col("total_revenue") <= F.col(name)
+    for cut, label in zip(cuts, labels[:-1]):
+        cond = F.col("total_revenue") <= F.lit(cut)
         seg = F.when(cond, F.lit(label)) if seg is None else seg.when(cond, F.lit(label))
-    seg = seg.otherwise(F.lit(labels[-1]))
-    tagged = per.crossJoin(F.broadcast(cuts)).select("contract_id", "total_revenue", "total_purchases", seg.alias("revenue_segment"))
+    tagged = per.withColumn("revenue_segment", seg.otherwise(F.lit(labels[-1])))
     # One row per contract already, so count(contract_id) = count(distinct contract_id).
     return (
         tagged.groupBy("revenue_segment")

@@ -1,22 +1,30 @@
 """The layered warehouse: L0 sources in, lazily built L1/L2/L3 frames out.
 
 ``Warehouse`` only wires layer functions together; nothing runs until a
-report is collected or written.  ``materialize`` writes the tables that the
-source warehouse keeps as tables (L2, the L3 base tables and the two L3 report
-tables) as a new version in a folder of shared storage and reads them back.
-Reports built afterwards start from those files, which cuts the lineage and
-makes a lost executor cost a file re-read instead of a re-join.
+report is collected or written.  L0 sources and L1 views are built whenever they
+are asked for, so they list the source files of that moment.  ``materialize``
+writes the tables that the source warehouse keeps as tables (L2, the L3 base
+tables and the two L3 report tables) as a new version in a folder of shared
+storage and reads them back.  Reports built afterwards start from those files,
+which cuts the lineage and makes a lost executor cost a file re-read instead of a
+re-join.
+
+``publish`` gives sources, views and tables names in a catalog database.  A name
+of a table always stands for one complete version: it moves to the next one in a
+single change of the catalog after all tables of that version are written, and a
+build that fails moves none.
 """
 
 from __future__ import annotations
 
+import re
 import time
 import uuid
-from functools import cached_property
+from collections.abc import MutableMapping
 
 from pyspark.sql import DataFrame, SparkSession
 
-from subledger.plans import layers
+from subledger.plans import layers, views
 from subledger.session import checkpoint_folder, configure
 from subledger.sources import csv as csv_source
 from subledger.sources import testdata
@@ -39,8 +47,9 @@ COMPLETE = "_complete"
 
 
 class Warehouse:
-    def __init__(self, l0: dict[str, DataFrame]):
+    def __init__(self, l0: MutableMapping[str, DataFrame], spark: SparkSession | None = None):
         self.l0 = l0
+        self.spark = spark or l0["invoice"].sparkSession
         self._tables: dict[str, DataFrame] = {}
         self._written = False
         configure(self.spark)
@@ -52,31 +61,29 @@ class Warehouse:
         return cls(testdata.l0_from_testdata(spark, sf_dir))
 
     @classmethod
-    def from_csv(cls, spark: SparkSession, folder: str, files: dict[str, str] | None = None) -> Warehouse:
-        return cls(csv_source.read_l0(spark, folder, files))
-
-    @property
-    def spark(self) -> SparkSession:
-        return self.l0["invoice"].sparkSession
+    def from_csv(
+        cls, spark: SparkSession, folder: str, files: dict[str, str] | None = None, multi_line: dict[str, bool] | None = None
+    ) -> Warehouse:
+        return cls(csv_source.read_l0(spark, folder, files, multi_line), spark)
 
     # ---------------------------------------------------------------- L1 views
-    @cached_property
+    @property
     def l1_contract(self) -> DataFrame:
         return layers.l1_contract(self.l0["contract"])
 
-    @cached_property
+    @property
     def l1_product(self) -> DataFrame:
         return layers.l1_product(self.l0["all_products"])
 
-    @cached_property
+    @property
     def l1_product_status(self) -> DataFrame:
         return layers.l1_product_status(self.l0["status"])
 
-    @cached_property
+    @property
     def l1_product_purchase(self) -> DataFrame:
         return layers.l1_product_purchase(self.l0["product_purchase"], self.l1_product_status, self.l1_product)
 
-    @cached_property
+    @property
     def l1_invoice(self) -> DataFrame:
         return layers.l1_invoice(self.l0["invoice"])
 
@@ -153,15 +160,51 @@ class Warehouse:
         """
         folder = (folder or f"{checkpoint_folder(self.spark)}/warehouse-{uuid.uuid4().hex[:12]}").rstrip("/")
         version = f"{folder}/v{time.time_ns():020d}"
+        before = self._tables, self._written
         self._tables, self._written = {}, False
-        for name in tables:
-            getattr(self, name).write.parquet(f"{version}/{name}")
-            self._tables[name] = self.spark.read.parquet(f"{version}/{name}")
-            self._written = True
-        fs, path = _hadoop(self.spark, f"{version}/{COMPLETE}")
-        fs.create(path, False).close()
+        try:
+            for name in tables:
+                getattr(self, name).write.parquet(f"{version}/{name}")
+                self._tables[name] = self.spark.read.parquet(f"{version}/{name}")
+                self._written = True
+            fs, path = _hadoop(self.spark, f"{version}/{COMPLETE}")
+            fs.create(path, False).close()
+        except BaseException:
+            # reports go on with what they had, not with a mixture
+            self._tables, self._written = before
+            raise
+        return version
+
+    def publish(self, db: str, folder: str | None = None, tables=MATERIALIZED) -> str:
+        """Build a new version and let the names of database ``db`` stand for it; returns the version's folder.
+
+        Tables become ``db.l2_invoice`` and so on; with CSV sources the views
+        ``db.l0_*`` and ``db.l1_*`` are made too, over the files themselves.  Any
+        session of the catalog reads them.  Each name moves by itself, so a driver
+        that dies while they move leaves complete tables of two versions;
+        :meth:`published` tells, and publishing again (or :meth:`point`) mends it.
+        """
+        self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {views.quoted(db)}")
+        if isinstance(self.l0, csv_source.CsvSources):
+            views.create_views(self.spark, self.l0, db)
+        version = self.materialize(folder, tables)
+        self.point(db, version)
         return version
 
+    def point(self, db: str, version: str) -> list[str]:
+        """Let the table names of ``db`` stand for a complete version, an earlier one too; returns the names."""
+        fs, mark = _hadoop(self.spark, f"{version}/{COMPLETE}")
+        if not fs.exists(mark):
+            raise FileNotFoundError(f"{version} is not a complete version")
+        names = [s.getPath().getName() for s in fs.listStatus(mark.getParent()) if s.isDirectory()]
+        for name in names:
+            views.point_table(self.spark, db, name, f"{version}/{name}")
+        return names
+
+    def published(self, db: str) -> dict[str, str]:
+        """The version that each table name of ``db`` stands for."""
+        return {name: path.rsplit("/", 1)[0] for name, path in views.pointed_at(self.spark, db).items()}
+
     def use(self, folder: str) -> str:
         """Read the tables of the latest complete version below ``folder``; returns its folder."""
         done = self._versions(folder)
@@ -177,10 +220,19 @@ class Warehouse:
         fs, pattern = _hadoop(self.spark, f"{folder}/v*/{COMPLETE}")
         return sorted(f"{folder}/{s.getPath().getParent().getName()}" for s in fs.globStatus(pattern) or [])
 
-    def drop_versions(self, folder: str, keep: int = 1) -> list[str]:
-        """Delete the oldest complete versions below ``folder``, all but the last ``keep``; returns them."""
+    def drop_versions(self, folder: str, keep: int = 1, db: str | None = None) -> list[str]:
+        """Delete old versions below ``folder``; returns them.
+
+        Kept are the last ``keep`` complete ones, those that a name of ``db`` stands
+        for, and unfinished ones younger than the last complete one, which may
+        still be being written.
+        """
         done = self._versions(folder)
-        old = done[: max(0, len(done) - max(1, keep))]
+        in_use = {_plain(v) for v in self.published(db).values()} if db else set()
+        fs, pattern = _hadoop(self.spark, f"{folder.rstrip('/')}/v*")
+        every = sorted(f"{folder.rstrip('/')}/{s.getPath().getName()}" for s in fs.globStatus(pattern) or [])
+        kept = set(done[-max(1, keep) :])
+        old = [v for v in every if done and v < done[-1] and v not in kept and _plain(v) not in in_use]
         for v in old:
             fs, path = _hadoop(self.spark, v)
             fs.delete(path, True)
@@ -194,6 +246,10 @@ class Warehouse:
         return [f"{prefix}{n}" for n in names]
 
 
+def _plain(path: str) -> str:
+    return re.sub(r"^file:/+", "/", path).rstrip("/")
+
+
 def _hadoop(spark: SparkSession, path: str):
     """(file system, path) of ``path`` in whatever storage it names."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

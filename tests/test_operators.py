@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from subledger.functions import business_date, duration_bin, exact_sum, net_of_vat, safe_corr, utc_ntz_of_text
 from subledger.operators.intervals import intervals_hit_by_other_points
 from subledger.operators.quality import count_compare, dedupe_by_key, duplicate_keys
-from subledger.operators.quantiles import quantiles
+from subledger.operators.quantiles import quantiles, values_at_ranks
 from subledger.operators.running import row_position, running_sum
 
 
@@ -78,9 +78,9 @@ def test_quantiles_disc_and_cont(spark):
     vals = [float(x) if x is not None else None for x in vals]
     df = spark.createDataFrame([(x,) for x in vals], "x double")
     probs = [0.0, 0.25, 0.5, 0.75, 1.0]
-    d = quantiles(df, "x", probs, ["a", "b", "c", "d", "e"], method="disc", num_partitions=4).first()
+    d = quantiles(df, "x", probs, ["a", "b", "c", "d", "e"], method="disc").first()
     assert list(d) == [_nearest_rank(vals, p) for p in probs]
-    c = quantiles(df, "x", [0.25, 0.5, 0.75], ["a", "b", "c"], method="cont", num_partitions=3).first()
+    c = quantiles(df, "x", [0.25, 0.5, 0.75], ["a", "b", "c"], method="cont", reread=True).first()
     for got, p in zip(c, [0.25, 0.5, 0.75]):
         assert abs(got - _interp(vals, p)) < 1e-9
 
@@ -90,6 +90,61 @@ def test_quantiles_empty_input_gives_null(spark):
     assert list(quantiles(df, "x", [0.5], ["m"]).first()) == [None]
 
 
+@pytest.mark.parametrize("kind,buckets,listed", [("double", 4, 3), ("bigint", 3, 1), ("decimal(25,3)", 7, 2), ("double", 2048, 10_000)])
+def test_values_at_every_rank(spark, kind, buckets, listed):
+    rnd = random.Random(5)
+    vals = [rnd.choice([0, 1, 1, 7, rnd.randint(-5, 5), rnd.randint(0, 10**15), 2**62 + rnd.randint(0, 3)]) for _ in range(150)]
+    if kind == "double":
+        vals = [float(v) + rnd.choice([0.0, 0.25, 1e-9]) for v in vals]
+    df = spark.createDataFrame([(str(v),) for v in vals], "s string").select(F.col("s").cast(kind).alias("x")).coalesce(3)
+    want = sorted(r.x for r in df.collect())
+    some = [1, 2, 40, 75, 76, 110, 149, 150]
+    assert values_at_ranks(df, some, buckets, listed) == {r: want[r - 1] for r in some}
+    with pytest.raises(ValueError):
+        values_at_ranks(df, [151])
+
+
+def test_ranks_with_infinities_and_nan(spark):
+    inf = float("inf")
+    df = spark.createDataFrame([(v,) for v in [inf, 3.0, -inf, float("nan"), 1.0, -1.7e308, 1.7e308, 2.0]], "x double")
+    got = values_at_ranks(df, list(range(1, 9)), buckets=3, listed=1)
+    assert [got[r] for r in range(1, 8)] == [-inf, -1.7e308, 1.0, 2.0, 3.0, 1.7e308, inf] and got[8] != got[8]
+
+
+def test_selection_sorts_and_shuffles_no_values(spark):
+    """Between the scan and the result there is only the aggregation of a pass."""
+    df = spark.range(100_000).select((F.col("id") * 7919 % 100_003).cast("double").alias("x"))
+    assert quantiles(df, "x", [0.0, 0.5, 0.999], ["a", "b", "c"]).first() == quantiles(df, "x", [0.0, 0.5, 0.999], ["a", "b", "c"], reread=True).first()
+    plan = quantiles(df, "x", [0.5], ["a"])._jdf.queryExecution().toString()
+    assert "Sort" not in plan and "Exchange" not in plan
+
+
+@pytest.mark.parametrize("accuracy", [20, 1000])
+def test_approximate_quantiles_within_their_rank_error(spark, accuracy):
+    rnd = random.Random(9)
+    vals = sorted(rnd.choice([rnd.lognormvariate(0, 3), float(rnd.randint(0, 9))]) for _ in range(5000))
+    df = spark.createDataFrame([(v,) for v in rnd.sample(vals, len(vals))] + [(None,)] * 50, "x double").repartition(9)
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
+    got = quantiles(df, "x", probs, list("abcdefg"), method="approx", accuracy=accuracy).first()
+    for p, v in zip(probs, got):
+        ranks = [i for i, x in enumerate(vals, 1) if x == v]
+        assert ranks[0] - len(vals) / accuracy - 1 <= max(1, p * len(vals)) <= ranks[-1] + len(vals) / accuracy + 1
+    assert list(quantiles(df.where("x IS NULL"), "x", [0.5], ["m"], method="approx").first()) == [None]
+
+
+def test_exact_sum_equals_a_decimal_sum(spark):
+    rnd = random.Random(4)
+    vals = [rnd.choice([rnd.randint(-10**6, 10**6) / 100 / 1.2, rnd.random() * 10 ** rnd.randint(-9, 12), -rnd.random(), None]) for _ in range(3000)]
+    df = spark.createDataFrame([(i % 7, v) for i, v in enumerate(vals)], "g int, x double").repartition(5)
+    old = F.sum(F.col("x").cast("decimal(28,8)")).cast("double").alias("old")
+    for r in df.groupBy("g").agg(exact_sum("x").alias("new"), old).collect():
+        assert r.new == r.old
+    assert df.where("x IS NULL").agg(exact_sum("x")).first()[0] is None
+    for bad in (float("nan"), float("inf"), 1e16):
+        with pytest.raises(Exception, match="cannot add"):
+            spark.createDataFrame([(bad,)], "x double").agg(exact_sum("x")).collect()
+
+
 def test_dedupe_and_duplicates(spark):
     df = spark.createDataFrame(
         [(1, "b", None), (1, "a", 3), (1, "a", None), (None, "x", 1), (None, "y", 1), (2, "z", 0)], "k int, s string, n int"
