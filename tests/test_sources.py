@@ -234,7 +234,7 @@ def test_published_names_in_a_second_session(spark):
 
     # a build that fails moves no name and leaves the object on what it had
     with open(f"{folder}/broken.csv", "w") as f:
-        f.write(f"{CONTRACT}\n1,2,not a date,,,,,,,,,A\n")
+        f.write(f"{CONTRACT}\n1,2,2023-01-31 22:30:00,,2023-01-31 22:30:00,,,,,maybe,0,A\n")
     bad = Warehouse.from_csv(spark, folder, {**csv_source.L0_FILES, "contract": "broken.csv"})
     bad.point(db, second)
     now = count(other, "l2_invoice")
