@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from subledger.session import checkpoint_folder
 
@@ -31,7 +32,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+def named(df: DataFrame, *without: str) -> list[Column]:
+    """The columns of ``df``, whatever characters their names have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c not in without]
+
+
+def map_arrow(df: DataFrame, run, schema: str | StructType) -> DataFrame:
     """``df.mapInArrow`` whose Python workers look for this package where the driver found it."""
     env = df.sparkSession.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]

@@ -34,9 +34,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bytetext import ALNUM, LOWER, pieces, sequence_hash, word_hashes, words
-from .common import map_arrow, table
+from .common import map_arrow, named, table
 
 WINDOW, SEED = 13, 4
 #: A document is contaminated if COVERAGE * hit words >= words.
@@ -267,23 +268,12 @@ def match_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     out = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("text").cast("string").alias("text"),
-        F.struct(*[c for c in docs.columns if c != "text"]).alias("row"),
+        F.struct(*named(docs, "text")).alias("row"),
         F.array().cast(_HITS).alias("word_hits"),
         F.array().cast("array<string>").alias("items"),
     )
-    sql = ", ".join(
-        f"{name} {kind}"
-        for name, kind in (
-            ("doc_id", "bigint"),
-            ("text", "string"),
-            ("row", out.schema["row"].dataType.simpleString()),
-            ("n_words", "bigint"),
-            ("n_hit", "bigint"),
-            ("items", "array<string>"),
-            ("word_hits", _HITS),
-            ("spans", "array<struct<start:bigint,end:bigint,words:bigint>>"),
-        )
-    )
+    added = f"n_words bigint, n_hit bigint, items array<string>, word_hits {_HITS}, spans array<struct<start:bigint,end:bigint,words:bigint>>"
+    schema = T.StructType([*(out.schema[c] for c in ("doc_id", "text", "row")), *T.StructType.fromDDL(added).fields])
     keyed = cut.withColumn("block", F.pmod(F.xxhash64("item_id", "hashes"), F.lit(n_blocks)))
     for b in range(n_blocks):
         rows = [(r["item_id"], r["hashes"]) for r in keyed.filter(F.col("block") == b).collect()]
@@ -291,14 +281,14 @@ def match_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
             continue
         digest = hashlib.sha256(repr((window, sorted(rows))).encode()).hexdigest()
         shared = spark.sparkContext.broadcast([(n, np.asarray(h, dtype=np.int64)) for n, h in sorted(rows)]) if rows else None
-        out = map_arrow(out, _match(shared, digest, window), sql)
+        out = map_arrow(out, _match(shared, digest, window), schema)
     return out
 
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, coverage: int = COVERAGE) -> DataFrame:
     """The documents within the coverage limit, with all their columns."""
     clean = match_documents(docs, benchmark).filter(~is_contaminated(coverage))
-    return clean.select("row.*", "text").select(docs.columns)
+    return clean.select("row.*", "text").select(named(docs))
 
 
 def is_contaminated(coverage: int = COVERAGE):

@@ -108,7 +108,7 @@ def mix_documents(docs: DataFrame, targets: dict | None = None, rounds: int = RO
     """One row per document: doc_id, source, lang, topic, tokens, probability, kept."""
     words = word_count(F.col("text"))
     form = F.col(topic) if topic else form_topic(F.col("text"), F.col("_words"))
-    base = docs.withColumn("_words", words).select("doc_id", "source", "lang", form.alias("topic"), (F.col("_words") + 1).alias("tokens"))
+    base = docs.select("doc_id", "source", "lang", "text", *([topic] if topic else [])).withColumn("_words", words).select("doc_id", "source", "lang", form.alias("topic"), (F.col("_words") + 1).alias("tokens"))
     slim = stage(base, "mix-rows")
     keyed = slim.select("*", *[_value(F.col(d)).alias(f"k_{d}") for d in DIMENSIONS])
     cells = keyed.groupBy(*[F.col(f"k_{d}").alias(d) for d in DIMENSIONS]).agg(F.sum("tokens").alias("tokens"))

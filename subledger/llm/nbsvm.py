@@ -30,9 +30,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bytetext import LOWER, SPACED, mix, pieces, sequence_hash, word_hashes, words
-from .common import map_arrow, stage, table
+from .common import map_arrow, named, stage, table
 
 BITS = 18
 FIT_ROWS, CURVE_ROWS = 4000, 8000
@@ -235,8 +236,7 @@ def score_texts(rows: DataFrame, model: Model, margin: bool = False, keep_text:
             s = m.margins(texts) if margin else m.scores(texts)
             yield pa.record_batch([*(batch.column(f.name) for f in kept), pa.array(s)], names=[*(f.name for f in kept), "score"])
 
-    sql = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "score double"])
-    return map_arrow(rows, run, sql)
+    return map_arrow(rows, run, T.StructType([*kept, T.StructField("score", T.DoubleType())]))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -249,10 +249,10 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents of score ``threshold`` or more, with all their columns."""
-    rest = F.struct(*[c for c in docs.columns if c != "text"]).alias("row")
+    rest = F.struct(*named(docs, "text")).alias("row")
     rows = docs.select(rest, F.col("text").cast("string").alias("text"))
     good = score_texts(rows, train(docs, labels), keep_text=True).filter(F.col("score") >= threshold)
-    return good.select("row.*", "text").select(docs.columns)
+    return good.select("row.*", "text").select(named(docs))
 
 
 def op4_nbsvm_quality(spark, sf_dir: str) -> DataFrame:

@@ -85,3 +85,18 @@ def test_pipeline_of_an_empty_table(spark):
     for _, apply in corpus_pipeline.STAGES:
         docs = stage(apply(spark, docs, SF), "test-empty")
         assert docs.count() == 0
+
+
+def test_pipeline_with_odd_column_names(spark):
+    """Extra columns of any name, also those that the operators use, pass every stage but the last unchanged."""
+    docs = table(spark, SF, "documents")
+    odd = ["my col", "a-b", "a.b", "_id", "row", "kept", "_words", "ids", "b`c", "score"]
+    for i, name in enumerate(odd):
+        docs = docs.withColumn(name, docs["doc_id"] * 10 + i)
+    for name, apply in corpus_pipeline.STAGES:
+        docs = stage(apply(spark, docs, SF), "test-odd")
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert docs.columns == [*table(spark, SF, "documents").columns, *odd], name
+            for r in docs.collect():
+                assert [r[len(r) - len(odd) + i] for i in range(len(odd))] == [r["doc_id"] * 10 + i for i in range(len(odd))]
+        assert docs.count() > 0
