@@ -27,8 +27,8 @@ from subledger.llm.shard import assign_shards
 
 def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The documents whose id is in ``ids`` (null equals null)."""
-    ids = ids.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(ids.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(docs.columns)
+    ids = ids.select("doc_id").distinct().hint("shuffle_hash").alias("ids")
+    return docs.alias("docs").join(ids, F.col("docs.doc_id").eqNullSafe(F.col("ids.doc_id")), "left_semi")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
