@@ -19,10 +19,14 @@
    their difference D from the hub's set.  |A xor B| = |D(A) xor D(B)|, so a linked
    pair whose members are not both linked to the hub must share a known number of
    elements of D.  Lists of the rarest elements of D, cut by that number and by
-   position, hold such pairs and almost no others: variants of one text with
-   edits of their own share nothing rare.  These lists meet hubs again, and the
-   last round compares every pair left in them, so no link between components is
-   lost, while a large group of unlinked variants is never expanded into pairs.
+   position, hold such pairs.  The bound splits into one number a row (``over``:
+   the element's place less the member's share of the allowed difference): a
+   linked pair that first meets in a list has a sum of at most 0 there.  A row
+   that not even the list's least row can meet leaves the list before any join,
+   so a group of variants of one text, each with more edits of its own than a
+   link allows, has empty lists, whatever its size.  The rows left meet the
+   list's least row first, and the last round compares every pair across
+   components that the bound allows, so no link between components is lost.
    Members of one component are never compared.
 
 Set elements are 64-bit hashes of shingles; the verification compares them as
@@ -48,9 +52,8 @@ from .common import drop_staged, map_arrow, stage, table
 from .components import components
 
 K, WIDTH, PERCENT = 64, 5, 85
-#: Share of a sketch that two documents at the threshold have in common at least.
-#: The number in common among k values is binomial with rate >= 0.85 at least: P(<= 36 of 64) < 1e-7.
-SURE = 36 / 64
+#: Chance that a pair at the threshold shares fewer retained values than the search asks for.
+MISS = 1e-7
 HUB_ROUNDS = 1
 
 _SKETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_key", pa.binary()), ("sketch", pa.list_(pa.int64()))])
@@ -95,6 +98,20 @@ def _sql(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {kind[str(f.type)]}" for f in schema)
 
 
+def sure_share(k: int, percent: int) -> float:
+    """Share of a sketch that two documents at the threshold have in common but for a chance under ``MISS``.
+
+    The number in common among ``k`` values is binomial with the similarity as its rate.
+    """
+    t, below, at = percent / 100, 0.0, 0
+    while at < k:
+        below += math.comb(k, at) * t**at * (1 - t) ** (k - at)
+        if below >= MISS:
+            break
+        at += 1
+    return at / k
+
+
 def _need(m: Column, sure: float) -> Column:
     return F.greatest(F.lit(1), F.floor(m * F.lit(sure)).cast("int"))
 
@@ -156,8 +173,9 @@ def _close(n1: str, n2: str, percent: int) -> Column:
     return 100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)
 
 
-def link_documents(docs: DataFrame, k: int = K, width: int = WIDTH, percent: int = PERCENT, sure: float = SURE, rounds: int = HUB_ROUNDS) -> DataFrame:
+def link_documents(docs: DataFrame, k: int = K, width: int = WIDTH, percent: int = PERCENT, rounds: int = HUB_ROUNDS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
+    sure = sure_share(k, percent)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketched = stage(map_arrow(text, _sketches(width, k), _sql(_SKETCH)), "neardup-sketches")
     real = sketched.filter("n > 0 and doc_id is not null")
@@ -186,9 +204,9 @@ def link_documents(docs: DataFrame, k: int = K, width: int = WIDTH, percent: int
     for r in range(rounds + 1):
         now = _labelled(listed, comp)
         per = now.groupBy("hub", "value").agg(
-            F.min(F.struct(F.xxhash64(F.lit(r), "node").alias("o"), *_MEMBER)).alias("x"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
+            F.min(F.struct("over", F.xxhash64("node").alias("o"), *_MEMBER)).alias("x"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
         )
-        open_ = stage(now.join(per.filter("lo <> hi"), ["hub", "value"]).select("hub", "value", *_MEMBER, "x"), "neardup-open")
+        open_ = stage(now.join(per.filter("lo <> hi"), ["hub", "value"]).select("hub", "value", *_MEMBER, "over", "x"), "neardup-open")
         if open_.isEmpty():
             break
         if r < rounds:
@@ -217,7 +235,7 @@ _MEMBER = ("node", "n", "d", "at", "comp")
 
 
 def _difference_lists(members: DataFrame, sets: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
-    """(hub, value, node, n, d, at): the rarest elements in which members of a hub differ from it.
+    """(hub, value, node, n, d, at, over): the rarest elements in which members of a hub differ from it.
 
     Only hubs whose members are in several components are looked at.  Elements
     that one member has alone come first in the order; they need no list but
@@ -237,24 +255,41 @@ def _difference_lists(members: DataFrame, sets: DataFrame, comp: DataFrame, perc
     places = F.least(F.col("d"), F.floor(F.col("n") * F.lit((100 - percent) / percent + 1e-9)).cast("int") + 1)
     alone = F.col("d") - F.size("s")
     listed = mine.withColumn("alone", alone).select("hub", "node", "n", "d", "alone", F.posexplode(F.slice("s", F.lit(1), F.greatest(F.lit(0), places - alone))))
-    return listed.select("hub", F.col("col.value").alias("value"), "node", "n", "d", (F.col("alone") + F.col("pos")).alias("at"))
+    listed = listed.select("hub", F.col("col.value").alias("value"), "node", "n", "d", (F.col("alone") + F.col("pos")).alias("at"))
+    listed = listed.withColumn("over", F.col("at") - F.col("n") * F.lit(_allowed(percent)))
+    # rows that not even the least one of their list can meet; a list is joined with one row of its own
+    least = listed.groupBy("hub", "value").agg(F.min("over").alias("least")).filter("least <= 1e-6")
+    return listed.join(least, ["hub", "value"]).filter("over + least <= 1e-6").drop("least")
+
+
+def _allowed(percent: int) -> float:
+    """Elements in which two linked sets may differ, as a share of the sum of their sizes."""
+    return (100 - percent) / (100 + percent)
 
 
 def _may_link(x: str, y: str, percent: int) -> Column:
     """Whether two members of different components can be linked, if this is the first element that they share."""
     nx, ny, dx, dy = F.col(f"{x}n"), F.col(f"{y}n"), F.col(f"{x}d"), F.col(f"{y}d")
-    common = (dx + dy - (nx + ny) * F.lit((100 - percent) / (100 + percent))) / 2
+    common = (dx + dy - (nx + ny) * F.lit(_allowed(percent))) / 2
     left = F.least(dx - F.col(f"{x}at"), dy - F.col(f"{y}at"))
     return (F.col(f"{x}comp") != F.col(f"{y}comp")) & _close(f"{x}n", f"{y}n", percent) & (left >= common - F.lit(1e-6))
 
 
 def _across(open_: DataFrame, percent: int) -> DataFrame:
-    """All pairs of one list that may be linked: each member outside the list's largest component, against all."""
+    """All pairs of one list that may be linked: members outside the list's largest component, against all.
+
+    ``over`` of one of the two is at most 0, so members above meet only those that are not.
+    """
     size = open_.groupBy("hub", "value", "comp").agg(F.count("*").alias("c"))
     main = size.groupBy("hub", "value").agg(F.max(F.struct("c", "comp"))["comp"].alias("main"))
-    few = open_.join(main, ["hub", "value"]).filter("comp <> main").select("hub", "value", F.struct(*_MEMBER).alias("x"))
-    met = few.join(open_.select("hub", "value", *_MEMBER), ["hub", "value"]).filter(_may_link("x.", "", percent))
-    return met.select("node", F.col("x.node").alias("other"))
+    few = open_.join(main, ["hub", "value"]).filter("comp <> main")
+    low = F.col("over") <= F.lit(1e-6)
+
+    def met(a: DataFrame, b: DataFrame) -> DataFrame:
+        pairs = a.select("hub", "value", F.struct(*_MEMBER).alias("x")).join(b.select("hub", "value", *_MEMBER), ["hub", "value"])
+        return pairs.filter(_may_link("x.", "", percent)).select("node", F.col("x.node").alias("other"))
+
+    return met(few.filter(low), open_).unionByName(met(few.filter(~low), open_.filter(low)))
 
 
 def op1_bottomk_neardup(spark, sf_dir: str) -> DataFrame:

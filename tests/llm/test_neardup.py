@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from subledger.llm.components import components
-from subledger.llm.neardup import link_documents
+from subledger.llm import neardup
+from subledger.llm.neardup import link_documents, sure_share
 
 from .brute import components as brute
 
@@ -54,6 +55,49 @@ def test_components_match_brute_force(spark, rounds):
     assert got == want
 
 
+def _template(n, own):
+    """Documents of one text and words of their own, as pages of one template are."""
+    rng = random.Random(n)
+    shared = _text(rng, 200)
+    return [(i, f"{shared} " + " ".join(f"o{rng.randrange(10**9)}" for _ in range(own(i)))) for i in range(n)]
+
+
+def _met(spark, docs, monkeypatch):
+    """Rows that the lists of differences join with one another, the hubs aside, and the result."""
+    rows = []
+    lists = neardup._difference_lists
+
+    def counted(*args):
+        out = lists(*args)
+        rows.append(out.groupBy("hub", "value").count().agg(F.sum(F.col("count") * F.col("count"))).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(neardup, "_difference_lists", counted)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    return sum(rows), {r[0]: r[2] for r in link_documents(df).collect()}
+
+
+def test_unlinked_variants_of_one_text_are_not_compared_in_pairs(spark, monkeypatch):
+    for n in (100, 200, 400):
+        pairs, got = _met(spark, _template(n, lambda i: 25), monkeypatch)
+        monkeypatch.undo()
+        assert pairs <= n
+        assert got == {i: i for i in range(n)}
+
+
+def test_variants_on_both_sides_of_the_threshold(spark):
+    docs = _template(150, lambda i: 8 + i % 25)
+    want = {i: c for i, (_, c) in brute(docs).items()}
+    assert len(set(want.values())) > 20
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    assert {r[0]: r[2] for r in link_documents(df).collect()} == want
+
+
+def test_share_follows_sketch_size_and_threshold():
+    assert sure_share(64, 85) == 37 / 64
+    assert sure_share(64, 60) < 20 / 64 and sure_share(16, 85) < 6 / 16
+
+
 def test_nulls_repeated_rows_and_empty_table(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, None), (3, ""), (4, "A b c d e f")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
