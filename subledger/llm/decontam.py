@@ -9,9 +9,12 @@ whole.  Spans are removed when a document's matches pass the length limit, and
 the document is contaminated when its hit words pass the coverage limit.
 
 The documents are read once per block of items, row by row, without a shuffle.
-Items are cut into pieces that overlap by a window, and pieces into blocks of at
-most ``BLOCK_WORDS`` words; only a block (never all items at once) passes the
-driver and is broadcast, so that broadcast has a fixed size bound.
+Items are cut into pieces that overlap by a window, and pieces into blocks of
+about ``BLOCK_WORDS`` words; a block passes the driver and is broadcast.  With
+several blocks each is a pass of its own: it writes the hits of the texts that it
+meets, then its broadcast is destroyed and the next block is collected, so a task
+holds one automaton and the driver one block, however many items there are.  The
+hits, a row per hit text, are merged and joined back by the text's digest.
 
 To keep the walk off words that cannot match, it runs only over stretches where
 each run of ``SEED`` words (fewer if an item is shorter) occurs in some item;
@@ -29,15 +32,16 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytetext import ALNUM, LOWER, pieces, sequence_hash, word_hashes, words
-from .common import map_arrow, named, table
+from .common import map_arrow, named, stage, table
 
 WINDOW, SEED = 13, 4
 #: A document is contaminated if COVERAGE * hit words >= words.
@@ -217,40 +221,74 @@ _SPAN_TYPE = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("w
 _HIT_TYPE = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
 
+def _scan(texts, auto) -> Iterator[tuple]:
+    """Per piece of texts: its first and last row, offsets, words, and the matches {row: (runs of words, items)}."""
+    for i, j, raw, offsets in pieces(texts):
+        data = LOWER[raw]
+        row, start, end = words(data, offsets, ALNUM)
+        bounds = np.searchsorted(row, np.arange(j - i + 1))
+        found: dict[int, tuple[list, set]] = {}
+        if auto is not None and len(start) >= auto.seed:
+            for r, ranges, names in auto.search(word_hashes(data, start, end), row):
+                base = int(bounds[r])
+                runs, ids = found.setdefault(i + int(r), ([], set()))
+                runs += [(int(a) - base, int(b) - base) for a, b in ranges]
+                ids.update(names)
+        yield i, j, offsets, start, end, bounds, found
+
+
+def _runs(hits) -> list[tuple[int, int]]:
+    return [(x["a"], x["b"]) for x in hits or ()]
+
+
+def _block_hits(items, key: str, window: int):
+    """(text_key, word_hits, items) of the texts that one block of items hits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        auto = _automaton(key, items, window)
+        for batch in batches:
+            out = {}
+            for *_, found in _scan(batch.column("text"), auto):
+                out |= found
+            rows = sorted(out)
+            yield pa.record_batch(
+                [
+                    batch.column("text_key").take(pa.array(rows, pa.int64())),
+                    pa.array([[{"a": a, "b": b} for a, b in _merge(out[r][0])] for r in rows], _HIT_TYPE),
+                    pa.array([sorted(out[r][1]) for r in rows], pa.list_(pa.string())),
+                ],
+                names=["text_key", "word_hits", "items"],
+            )
+
+    return run
+
+
 def _match(items, key: str, window: int):
-    """Add one block's matches to the columns n_words, hits (byte ranges of hit runs), n_hit and items."""
+    """Add n_words, n_hit, items and spans: the block's own matches and those found before (word_hits, items)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = _automaton(key, items, window) if items is not None else None
         for batch in batches:
             n_words = np.zeros(batch.num_rows, dtype=np.int64)
-            hits: list = batch.column("word_hits").to_pylist()
-            names: list = batch.column("items").to_pylist()
-            spans: list = [[]] * batch.num_rows
             n_hit = np.zeros(batch.num_rows, dtype=np.int64)
-            for i, j, raw, offsets in pieces(batch.column("text")):
-                data = LOWER[raw]
-                row, start, end = words(data, offsets, ALNUM)
-                bounds = np.searchsorted(row, np.arange(j - i + 1))
+            hits = [_runs(x) for x in batch.column("word_hits").to_pylist()]
+            names = [x or [] for x in batch.column("items").to_pylist()]
+            spans: list = [[]] * batch.num_rows
+            for i, j, offsets, start, end, bounds, found in _scan(batch.column("text"), auto):
                 n_words[i:j] = np.diff(bounds)
-                touched = {r for r in range(i, j) if hits[r]}
-                if auto is not None and len(start) >= auto.seed:
-                    for r, ranges, found in auto.search(word_hashes(data, start, end), row):
-                        base = int(bounds[r])
-                        hits[i + r] = _merge([(x["a"], x["b"]) if isinstance(x, dict) else x for x in hits[i + r]] + [(a - base, b - base) for a, b in ranges])
-                        names[i + r] = sorted({*names[i + r], *found})
-                        touched.add(i + r)
-                for r in touched:
-                    runs = [(x["a"], x["b"]) if isinstance(x, dict) else x for x in hits[r]]
-                    n_hit[r] = sum(b - a for a, b in runs)
-                    base, o = int(bounds[r - i]), int(offsets[r - i])
-                    spans[r] = [(int(start[base + a]) - o, int(end[base + b - 1]) - o, b - a) for a, b in runs]
-                    hits[r] = runs
+                for r, (runs, ids) in found.items():
+                    hits[r] = hits[r] + runs
+                    names[r] = sorted({*names[r], *ids})
+                for r in range(i, j):
+                    if hits[r]:
+                        runs = _merge(hits[r])
+                        n_hit[r] = sum(b - a for a, b in runs)
+                        base, o = int(bounds[r - i]), int(offsets[r - i])
+                        spans[r] = [(int(start[base + a]) - o, int(end[base + b - 1]) - o, b - a) for a, b in runs]
             added = {
                 "n_words": pa.array(n_words),
                 "n_hit": pa.array(n_hit),
                 "items": pa.array(names, pa.list_(pa.string())),
-                "word_hits": pa.array([[{"a": x[0], "b": x[1]} if not isinstance(x, dict) else x for x in h] for h in hits], _HIT_TYPE),
                 "spans": pa.array([[{"start": s, "end": e, "words": n} for s, e, n in x] for x in spans], _SPAN_TYPE),
             }
             yield pa.record_batch([*(batch.column(c) for c in ("doc_id", "text", "row")), *added.values()], names=["doc_id", "text", "row", *added])
@@ -258,62 +296,92 @@ def _match(items, key: str, window: int):
     return run
 
 
+def _collected(block: DataFrame, window: int):
+    """One block of items, broadcast, and its digest."""
+    rows = sorted((r["item_id"], r["hashes"]) for r in block.collect())
+    if not rows:
+        return None, ""
+    digest = hashlib.sha256(repr((window, rows)).encode()).hexdigest()
+    return block.sparkSession.sparkContext.broadcast([(n, np.asarray(h, dtype=np.int64)) for n, h in rows]), digest
+
+
+def _staged_hits(docs: DataFrame, keyed: DataFrame, n_blocks: int, window: int) -> DataFrame:
+    """(text_key, word_hits, items) over all blocks: one pass a block, its hits written before the next is collected."""
+    texts = docs.select(F.sha2("text", 256).alias("text_key"), "text")
+    parts = []
+    for b in range(n_blocks):
+        shared, digest = _collected(keyed.filter(F.col("block") == b), window)
+        if shared is None:
+            continue
+        hits = map_arrow(texts, _block_hits(shared, digest, window), f"text_key string, word_hits {_HITS}, items array<string>")
+        parts.append(stage(hits.dropDuplicates(["text_key"]), "decontam-hits"))
+        shared.destroy()
+    every = reduce(DataFrame.unionByName, parts)
+    # one row a block and text, so a group holds no more than the runs of one text
+    return every.groupBy("text_key").agg(
+        F.flatten(F.collect_list("word_hits")).alias("word_hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")
+    )
+
+
 def match_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, piece_words: int = PIECE_WORDS) -> DataFrame:
     """doc_id, text, row (the other columns), n_words, n_hit, items, spans (byte ranges of maximal hit runs, and their words)."""
-    spark = docs.sparkSession
     cut = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     cut = map_arrow(cut, _cut_items(window, min(piece_words, block_words)), "item_id string, n bigint, hashes array<bigint>").distinct()
+    cut = stage(cut, "decontam-items")
     total = cut.agg(F.sum("n")).first()[0] or 0
     n_blocks = max(1, -(-2 * total // block_words)) if total > block_words else 1
     out = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("text").cast("string").alias("text"),
         F.struct(*named(docs, "text")).alias("row"),
-        F.array().cast(_HITS).alias("word_hits"),
-        F.array().cast("array<string>").alias("items"),
     )
-    added = f"n_words bigint, n_hit bigint, items array<string>, word_hits {_HITS}, spans array<struct<start:bigint,end:bigint,words:bigint>>"
+    shared, digest = None, ""
+    if n_blocks == 1:
+        shared, digest = _collected(cut, window)
+        out = out.withColumns({"word_hits": F.array().cast(_HITS), "items": F.array().cast("array<string>")})
+    else:
+        keyed = cut.withColumn("block", F.pmod(F.xxhash64("item_id", "hashes"), F.lit(n_blocks)))
+        hits = stage(_staged_hits(out, keyed, n_blocks, window), "decontam-all-hits")
+        out = out.withColumn("text_key", F.sha2("text", 256)).join(hits, "text_key", "left").drop("text_key")
+    added = "n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:bigint,end:bigint,words:bigint>>"
     schema = T.StructType([*(out.schema[c] for c in ("doc_id", "text", "row")), *T.StructType.fromDDL(added).fields])
-    keyed = cut.withColumn("block", F.pmod(F.xxhash64("item_id", "hashes"), F.lit(n_blocks)))
-    for b in range(n_blocks):
-        rows = [(r["item_id"], r["hashes"]) for r in keyed.filter(F.col("block") == b).collect()]
-        if not rows and n_blocks > 1:
-            continue
-        digest = hashlib.sha256(repr((window, sorted(rows))).encode()).hexdigest()
-        shared = spark.sparkContext.broadcast([(n, np.asarray(h, dtype=np.int64)) for n, h in sorted(rows)]) if rows else None
-        out = map_arrow(out, _match(shared, digest, window), schema)
-    return out
+    return map_arrow(out, _match(shared, digest, window), schema)
 
 
-def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, coverage: int = COVERAGE) -> DataFrame:
-    """The documents within the coverage limit, with all their columns."""
+def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, coverage: int = COVERAGE, longest: int = WINDOW, length: str | None = None) -> DataFrame:
+    """The documents within the coverage limit, with all their columns; hit runs of ``longest`` words or more are cut.
+
+    ``length`` names a column of code points, which is counted anew where a text is cut.
+    """
     clean = match_documents(docs, benchmark).filter(~is_contaminated(coverage))
-    return clean.select("row.*", "text").select(named(docs))
+    cut = F.exists("spans", lambda s: s["words"] >= longest)
+
+    def column(c: str) -> Column:
+        if c == "text":
+            return _without(longest)
+        if c == length:
+            return F.when(cut, F.length(_without(longest))).otherwise(F.col("row")[c]).cast(docs.schema[c].dataType)
+        return F.col("row")[c]
+
+    return clean.select(*[column(c).alias(c) for c in docs.columns])
 
 
 def is_contaminated(coverage: int = COVERAGE):
     return (F.col("n_hit") > 0) & (coverage * F.col("n_hit") >= F.col("n_words"))
 
 
+def _without(longest: int) -> Column:
+    """``text`` without the byte ranges ``spans`` of ``longest`` words or more."""
+    raw, long = F.encode("text", "UTF-8"), F.filter("spans", lambda s: s["words"] >= longest)
+    start = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(long, i - 1)["end"]).cast("int")
+    end = lambda i: F.coalesce(F.get(long, i)["start"], F.octet_length("text")).cast("int")
+    pieces_ = F.transform(F.sequence(F.lit(0), F.size(long)), lambda i: F.decode(F.substring(raw, start(i) + 1, end(i) - start(i)), "UTF-8"))
+    return F.when(F.size(long) > 0, F.array_join(pieces_, "")).otherwise(F.col("text"))
+
+
 def remove_spans(matched: DataFrame, longest: int = WINDOW, coverage: int = COVERAGE) -> DataFrame:
     """Texts without the hit runs of ``longest`` words or more; contaminated documents go whole."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if spans and any(s["words"] >= longest for s in spans):
-                    raw, at, kept = text.encode(), 0, []
-                    for s in spans:
-                        if s["words"] >= longest:
-                            kept.append(raw[at : s["start"]])
-                            at = s["end"]
-                    text = b"".join([*kept, raw[at:]]).decode()
-                out.append(text)
-            yield pa.record_batch([batch.column(0), pa.array(out, pa.string())], names=["doc_id", "text"])
-
-    clean = matched.filter(~is_contaminated(coverage)).select("doc_id", "text", "spans")
-    return map_arrow(clean, run, "doc_id bigint, text string")
+    return matched.filter(~is_contaminated(coverage)).select("doc_id", _without(longest).alias("text"))
 
 
 def op8_suffix_automaton_decontamination(spark, sf_dir: str) -> DataFrame:

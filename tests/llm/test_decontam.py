@@ -41,9 +41,31 @@ def test_spans_are_cut_and_columns_pass(spark):
     b = spark.createDataFrame([("a", words)], "item_id string, text string")
     got = {r["doc_id"]: r["text"] for r in remove_spans(match_documents(d, b)).collect()}
     assert got == {1: "Keep this. ! And this " + "pad " * 300, 3: "clean", None: None}
-    kept = keep_uncontaminated(d, b)
-    assert kept.columns == d.columns
-    assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[0], rows[2], rows[3]], key=str)
+    for blocks in ({}, {"length": "n_chars"}):
+        kept = keep_uncontaminated(d.withColumn("n_chars", F.length("text")), b, **blocks)
+        assert kept.columns == [*d.columns, "n_chars"]
+        n = len(got[1]) if blocks else len(rows[0][1])
+        want = [(1, got[1], "en", n), (3, "clean", None, 5), (None, None, "x", None)]
+        assert sorted(map(tuple, kept.collect()), key=str) == sorted(want, key=str)
+
+
+def test_cut_spans_keep_other_bytes(spark):
+    item = " ".join(f"ü{i}" for i in range(14))
+    text = f"é {item} \U0001f600 {'x ' * 600}{item}"
+    d = spark.createDataFrame([(1, text), (1, text)], "doc_id long, text string")
+    b = spark.createDataFrame([("a", item)], "item_id string, text string")
+    want = f"é  \U0001f600 {'x ' * 600}"
+    for block in (200_000, 5):
+        m = match_documents(d, b, block_words=block)
+        assert [r["text"] for r in remove_spans(m).collect()] == [want] * 2
+
+
+def test_one_worker_a_task_whatever_the_blocks(spark):
+    docs, items = fixture()
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    m = match_documents(d, spark.createDataFrame(items, "item_id long, text string"), block_words=80, piece_words=40)
+    plan = m._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
 
 
 def test_empty_tables(spark):
