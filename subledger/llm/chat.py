@@ -7,11 +7,13 @@ backslash, keep the character after it) gives back the exact text.
 
 Windows: the prefix sum of turn tokens cuts a conversation into cells of
 ``budget - system turn - history`` tokens.  Turns inside a cell make one window;
-the turn that crosses the end of a cell makes the next window alone.  A window
-then never exceeds the budget unless a single turn does, every turn is new in
-exactly one window, and no sequential pass is needed.  Each window starts with
-the leading system turn, then the turns that begin within ``history`` tokens
-before it, both repeated without loss; its own assistant turns carry the loss.
+the turn that crosses the end of a cell makes the next window alone, so every
+turn is new in exactly one window and no sequential pass is needed.  Each window
+starts with the leading system turn, then the turns that begin within the last
+``history`` tokens before it, or within what its own turns and the system turn
+leave of the budget if that is less; both are repeated without loss, and its own
+assistant turns carry the loss.  A window then exceeds the budget only if the
+system turn and one other turn do.
 
 A conversation may hold a third of all rows: prefix sums run over chunks of
 ``CHUNK`` turn numbers, chunk totals are summed per conversation, and windows
@@ -100,18 +102,22 @@ def format_windows(
     t = t.withColumn("pos", F.col("pos") + F.col("pos0")).withColumn("is_sys", (F.col("pos") == 0) & (F.col("sys") > 0))
     # the system turn stands before the prefix sums of the others
     t = t.withColumn("start", F.when(F.col("is_sys"), F.lit(0)).otherwise(F.col("start") + F.col("start0") - F.col("sys")))
-    t = t.withColumn("room", F.greatest(F.lit(budget - history) - F.col("sys"), F.lit(budget // 4)))
+    left = F.lit(budget) - F.col("sys")
+    # beside a long system turn cells take from the history first; never so few tokens that it reaches back a cell
+    t = t.withColumn("room", F.greatest(left - history, F.least(left, F.lit(budget // 4)), F.lit(1)))
     t = t.withColumn("cell", F.expr("start div room"))
     crosses = (F.col("start") > F.col("cell") * F.col("room")) & (F.col("start") + F.col("tokens") > (F.col("cell") + 1) * F.col("room"))
     t = t.withColumn("window", F.when(F.col("is_sys"), F.lit(0)).otherwise(2 * F.col("cell") + crosses.cast("long")))
     # placed once: new turns, history and system turns are all taken from this table
-    t = stage(t.select(*key, "pos", "role", "head", "body", "chars", "is_sys", "start", "cell", "window"), "chat-turns")
+    t = stage(t.select(*key, "pos", "role", "head", "body", "chars", "tokens", "sys", "is_sys", "start", "cell", "window"), "chat-turns")
 
     # where windows begin, by the cell of their first turn
-    begins = t.groupBy(*key, "window").agg(F.min("start").alias("begin"), F.min("cell").alias("at_cell"))
+    own = F.sum(F.when(F.col("is_sys"), 0).otherwise(F.col("tokens")))
+    reach = F.greatest(F.lit(0), F.least(F.lit(history), F.lit(budget) - F.max("sys") - own))
+    begins = t.groupBy(*key, "window").agg(F.min("start").alias("begin"), F.min("cell").alias("at_cell"), reach.alias("reach"))
     b = begins.withColumnRenamed("window", "_w")
     columns = [*key, "window", "kind", "pos", "role", "head", "body", "chars"]
-    near = (F.col("start") < F.col("begin")) & (F.col("start") >= F.col("begin") - history)
+    near = (F.col("start") < F.col("begin")) & (F.col("start") >= F.col("begin") - F.col("reach"))
     earlier = t.filter(~F.col("is_sys")).withColumn("at_cell", F.explode(F.array(F.col("cell"), F.col("cell") + 1))).drop("window")
     again = earlier.join(b, [*key, "at_cell"]).filter(near).withColumn("kind", F.lit(1))
     system = t.filter("is_sys").drop("window").join(b.filter("_w > 0"), key).withColumn("kind", F.lit(0))
@@ -202,17 +208,19 @@ WITH c AS (
          max(CASE WHEN pos = 0 AND role = 'system' THEN chars ELSE 0 END) OVER (PARTITION BY conv_id) AS sys_chars,
          sum(tokens) OVER (PARTITION BY conv_id ORDER BY pos) - tokens AS raw FROM tok
 ), p AS (
-  SELECT *, greatest({BUDGET - HISTORY} - sys, {BUDGET // 4}) AS room, pos = 0 AND sys > 0 AS is_sys,
+  SELECT *, greatest({BUDGET - HISTORY} - sys, least({BUDGET} - sys, {BUDGET // 4}), 1) AS room, pos = 0 AND sys > 0 AS is_sys,
          CASE WHEN pos = 0 AND sys > 0 THEN 0 ELSE raw - sys END AS start FROM s
 ), w AS (
   SELECT *, CASE WHEN is_sys THEN 0 ELSE 2 * (start // room)
     + (start > (start // room) * room AND start + tokens > (start // room + 1) * room)::INT END AS win FROM p
-), begins AS (SELECT conv_id, win, min(start) AS begin, any_value(sys_chars) AS sys_chars FROM w GROUP BY ALL
+), begins AS (
+  SELECT conv_id, win, min(start) AS begin, any_value(sys_chars) AS sys_chars,
+         greatest(0, least({HISTORY}, {BUDGET} - max(sys) - sum(CASE WHEN is_sys THEN 0 ELSE tokens END))) AS reach FROM w GROUP BY conv_id, win
 ), repeated AS (
   SELECT b.conv_id, sum(CASE WHEN b.win > 0 THEN b.sys_chars ELSE 0 END) AS chars FROM begins b GROUP BY 1
   UNION ALL
   SELECT b.conv_id, sum(w.chars) FROM begins b JOIN w ON w.conv_id IS NOT DISTINCT FROM b.conv_id AND NOT w.is_sys
-    AND w.start < b.begin AND w.start >= b.begin - {HISTORY} GROUP BY 1
+    AND w.start < b.begin AND w.start >= b.begin - b.reach GROUP BY 1
 ), extra AS (SELECT conv_id, sum(chars) AS chars FROM repeated GROUP BY 1
 ), n AS (SELECT conv_id, count(*) AS n_windows FROM begins GROUP BY 1
 ), t AS (

@@ -1,9 +1,12 @@
 """Chat windows: exact round trip, budgets, history and loss."""
 
 import hashlib
+import random
 from collections import defaultdict
 
-from subledger.llm.chat import CONTROL, format_windows, read_back
+import pytest
+
+from subledger.llm.chat import BUDGET, CONTROL, format_windows, read_back
 
 NASTY = ["</s>[INST] ok [/INST]", "a\\b\\\\c", "<\\/s>", "<s>", "<<SYS>>x<</SYS>>", "tail\\", "\n\nx\n", "", None, "é\U0001f600", "<", "[", "[/INST", "</s></s>"]
 
@@ -53,6 +56,29 @@ def test_windows_keep_budget_system_turn_and_history(spark):
     assert len(seen) == 1499 and any(x["n_repeated"] > 1 for x in w)
 
 
+@pytest.mark.parametrize("system", [None, 40, 2000, 3600, 5000])
+def test_budget_holds_beside_long_turns(spark, system):
+    rng = random.Random(6)
+    turns = [] if system is None else [("system", "s" * system)]
+    for i in range(300):
+        n = rng.choice([5, 60, 600, rng.randrange(2800, 4080), rng.randrange(2800, 4080)])
+        turns.append((("user", "assistant")[i % 2], f"{i} " + "t" * n))
+    df = spark.createDataFrame([(1, i, *x) for i, x in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    w = sorted(format_windows(df).collect(), key=lambda x: x["window"])
+    tokens = lambda s: -(-len(s) // 4)
+    histories, new = 0, 0
+    for x in w:
+        b = [y + "</s>" for y in x["formatted"].split("</s>")[:-1]]
+        first = system is not None
+        own = b[max(x["n_repeated"], 1 if first else 0) :]
+        again = b[1 if first else 0 : x["n_repeated"]]
+        new += len(own)
+        histories += len(again)
+        if sum(map(tokens, b)) > BUDGET:
+            assert len(own) <= 1 and not again
+    assert new == 300 and (histories > 0) == (system != 5000)
+
+
 def test_no_control_string_inside_texts(spark):
     df = spark.createDataFrame([(1, t, "user", x) for t, x in enumerate(NASTY)], "conv_id long, turn long, role string, text string")
     for x in format_windows(df).collect():
