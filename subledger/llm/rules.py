@@ -15,7 +15,7 @@ stratum: its step ``i`` has the i-th cutoff of every rule, a test takes the join
 rejection of all rules at the full ``alpha`` and level ``delta / strata``, from
 the loosest step on, and the last step before the first failure is used (fixed
 sequence, same guarantee).  217 good labels then do for four strata.  The query
-keeps the cutoffs that its SQL defines (``ladder=False``).
+does the same; ``ladder=False`` gives every rule a cutoff of its own instead.
 
 Features (integers, per document):
 
@@ -203,16 +203,16 @@ def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float
 
 
 def op3_risk_controlled_rules(spark, sf_dir: str) -> DataFrame:
-    out = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ladder=False)
+    out = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.drop(*[f"cut_{r}" for r in RULES])
 
 
 def _oracle() -> str:
-    grid = ", ".join(f"('{r}', {c})" for r in RULES for c in CUTOFFS[r])
-    value = "CASE g.rule " + " ".join(f"WHEN '{r}' THEN f.{r}" for r in RULES) + " END"
-    cuts = ", ".join(f"(min(cutoff) FILTER (rule = '{r}'))::BIGINT AS cut_{r}" for r in RULES)
+    steps = range(min(len(c) for c in CUTOFFS.values()))
+    ladder = ", ".join("(" + ", ".join(map(str, [i, *[CUTOFFS[r][i] for r in RULES]])) + ")" for i in steps)
+    names = ", ".join(f"cut_{r}" for r in RULES)
+    lost = " OR ".join(f"f.{r} > g.cut_{r}" for r in RULES)
     broken = ", ".join(f"CASE WHEN {r} > cut_{r} THEN '{r}' END" for r in RULES)
-    rate = ALPHA / len(RULES)
     return rf"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t,
@@ -235,14 +235,16 @@ WITH d AS (
          coalesce('=' || lang, 'null') AS stratum
   FROM f0
 ), marks AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id
+), ladder AS (SELECT * FROM (VALUES {ladder}) AS g(step, {names})
 ), tests AS (
-  SELECT stratum, rule, cutoff, count(*) AS n, count(*) FILTER ({value} > cutoff) AS k
-  FROM f JOIN marks USING (doc_id), (VALUES {grid}) AS g(rule, cutoff) WHERE quality = 1 AND NOT base_failed GROUP BY ALL
-), cuts AS (
-  SELECT stratum, {cuts} FROM (
-    SELECT *, (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({rate}) + (n - i) * ln(1 - {rate})))
-               FROM unnest(range(0, k + 1)) AS u(i)) AS p, count(*) OVER () AS made FROM tests)
-  WHERE k < n * {rate} AND p <= {DELTA} / made GROUP BY stratum
+  SELECT stratum, step, count(*) AS n, count(*) FILTER ({lost}) AS k
+  FROM f JOIN marks USING (doc_id), ladder AS g WHERE quality = 1 AND NOT base_failed GROUP BY ALL
+), steps AS (
+  SELECT stratum, min(step) AS step FROM (
+    SELECT *, (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA}) + (n - i) * ln(1 - {ALPHA})))
+               FROM unnest(range(0, k + 1)) AS u(i)) AS p FROM tests)
+  WHERE k < n * {ALPHA} AND p <= {DELTA} / (SELECT count(DISTINCT stratum) FROM tests) GROUP BY stratum
+), cuts AS (SELECT stratum, {names} FROM steps JOIN ladder USING (step)
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND len(list_filter([{broken}], lambda x: x IS NOT NULL)) = 0 AS kept,
