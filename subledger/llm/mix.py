@@ -12,8 +12,8 @@ With that scale the cell of largest ratio alone sets the rate of the corpus, so
 one stray row of a value of its own drops most documents.  ``keep`` (a share of
 the tokens) sets the rate instead: a cell whose probability would exceed 1 is
 kept whole and the others are raked to what is left of the targets, so that the
-expected tokens are ``keep`` of all.  The pipeline uses it with ``KEEP``; the
-query has the scale that its SQL defines.
+expected tokens are ``keep`` of all.  The query and the pipeline use it with
+``KEEP``; None gives the scale above.
 
 Only the cell table is raked.  Its rows are (sources x languages x topics) at
 most, far below the documents, and come from a partial aggregation.
@@ -29,8 +29,10 @@ words a line on average) or ``prose``.  Pass ``topic`` to use another column.
 
 Defined results: a document's tokens are its words plus one (the end mark), so
 null and empty texts have one token; null source or language is a value of its
-own; repeated ids share one decision; an empty table gives an empty result;
-other input columns are ignored.
+own; the draw hashes the id and the text, so rows of one id (or of none) with
+different texts are drawn apart and equal rows share a draw; very long texts are
+read whole; probabilities have no ties to break; an empty table gives an empty
+result; other input columns are ignored (:func:`sample_documents` keeps them).
 """
 
 from __future__ import annotations
@@ -39,12 +41,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import stage, table, unit_hash, word_count
+from .common import named, stage, table, unit_hash, word_count
 
 DIMENSIONS = ("source", "lang", "topic")
 ALPHA = {"source": 0.9, "lang": 0.9, "topic": 0.95}
 ROUNDS = 12
-#: Share of the tokens that the pipeline keeps.
+#: Share of the tokens that the query and the pipeline keep.
 KEEP = 0.65
 SEED = "mix-1"
 
@@ -104,34 +106,50 @@ def fill(raked: DataFrame, keep: float) -> DataFrame:
     return out.withColumn("probability", F.when(F.col("_whole"), 1.0).otherwise(scaled))
 
 
-def mix_documents(docs: DataFrame, targets: dict | None = None, rounds: int = ROUNDS, seed: str = SEED, topic: str | None = None, keep: float | None = None) -> DataFrame:
-    """One row per document: doc_id, source, lang, topic, tokens, probability, kept."""
-    words = word_count(F.col("text"))
-    form = F.col(topic) if topic else form_topic(F.col("text"), F.col("_words"))
-    base = docs.select("doc_id", "source", "lang", "text", *([topic] if topic else [])).withColumn("_words", words).select("doc_id", "source", "lang", form.alias("topic"), (F.col("_words") + 1).alias("tokens"))
-    slim = stage(base, "mix-rows")
-    keyed = slim.select("*", *[_value(F.col(d)).alias(f"k_{d}") for d in DIMENSIONS])
-    cells = keyed.groupBy(*[F.col(f"k_{d}").alias(d) for d in DIMENSIONS]).agg(F.sum("tokens").alias("tokens"))
+def _described(docs: DataFrame, topic: str | None, seed: str) -> dict[str, Column]:
+    """The topic, tokens and draw of a row, from its own columns."""
+    form = F.col(topic) if topic else form_topic(F.col("text"), word_count(F.col("text")))
+    return {"topic": form, "tokens": word_count(F.col("text")) + 1, "draw": unit_hash(seed, F.col("doc_id"), F.md5(F.coalesce(F.col("text"), F.lit(""))))}
+
+
+def cell_probabilities(rows: DataFrame, targets: dict | None = None, rounds: int = ROUNDS, keep: float | None = KEEP) -> DataFrame:
+    """k_source, k_lang, k_topic and the probability of each cell; ``rows`` has the dimensions and ``tokens``."""
+    keyed = rows.select("tokens", *[_value(F.col(d)).alias(d) for d in DIMENSIONS])
     # summed by all tasks first, so that the one task that rakes reads a row per cell and no partial sums
-    cells = stage(cells, "mix-sums")
+    cells = stage(keyed.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "mix-sums")
     raked = rake(cells, targets or ALPHA, rounds, keep).withColumn("ratio", F.col("weight") / F.col("tokens"))
     if keep is None:
         raked = raked.withColumn("probability", F.least(F.lit(1.0), F.col("ratio") / F.max("ratio").over(W.partitionBy())))
     else:
         raked = fill(raked, keep)
-    raked = stage(raked.select(*[F.col(d).alias(f"k_{d}") for d in DIMENSIONS], "probability"), "mix-cells")
-    out = keyed.join(raked, [f"k_{d}" for d in DIMENSIONS])
+    return stage(raked.select(*[F.col(d).alias(f"k_{d}") for d in DIMENSIONS], "probability"), "mix-cells")
+
+
+def mix_documents(docs: DataFrame, targets: dict | None = None, rounds: int = ROUNDS, seed: str = SEED, topic: str | None = None, keep: float | None = KEEP) -> DataFrame:
+    """One row per document: doc_id, source, lang, topic, tokens, probability (6 digits), kept (by the probability itself)."""
+    d = _described(docs, topic, seed)
+    slim = stage(docs.select("doc_id", "source", "lang", *[c.alias(n) for n, c in d.items()]), "mix-rows")
+    keyed = slim.select("*", *[_value(F.col(x)).alias(f"k_{x}") for x in DIMENSIONS])
+    out = keyed.join(cell_probabilities(slim, targets, rounds, keep), [f"k_{x}" for x in DIMENSIONS])
     return out.select(
-        "doc_id",
-        "source",
-        "lang",
-        "topic",
-        "tokens",
-        F.round("probability", 6).alias("probability"),
-        (unit_hash(seed, F.col("doc_id")) < F.round("probability", 6)).alias("kept"),
+        "doc_id", "source", "lang", "topic", "tokens", F.round("probability", 6).alias("probability"), (F.col("draw") < F.col("probability")).alias("kept")
     )
 
 
+def sample_documents(docs: DataFrame, targets: dict | None = None, rounds: int = ROUNDS, seed: str = SEED, topic: str | None = None, keep: float | None = KEEP) -> DataFrame:
+    """The documents that :func:`mix_documents` keeps, with all their columns, decided where they are read.
+
+    Only the cell table is joined; texts are not shuffled while the planner's
+    measured size of the cells lets them be broadcast.
+    """
+    d = _described(docs, topic, seed)
+    cells = cell_probabilities(docs.select("source", "lang", d["topic"].alias("topic"), d["tokens"].alias("tokens")), targets, rounds, keep)
+    at = {"source": F.col("source"), "lang": F.col("lang"), "topic": d["topic"]}
+    rows = docs.select(F.struct(*named(docs)).alias("row"), d["draw"].alias("draw"), *[_value(c).alias(f"k_{x}") for x, c in at.items()])
+    kept = rows.join(cells, [f"k_{x}" for x in DIMENSIONS]).filter("draw < probability")
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+
+
 def op9_raked_mixture(spark, sf_dir: str) -> DataFrame:
     return mix_documents(table(spark, sf_dir, "documents"))
 
@@ -141,7 +159,7 @@ def _oracle() -> str:
     for i in range(ROUNDS):
         for d in DIMENSIONS:
             prev = f"w{len(steps)}"
-            steps.append(f"w{len(steps) + 1} AS (SELECT * EXCLUDE (weight), weight * t_{d} / sum(weight) OVER (PARTITION BY {d}) AS weight FROM {prev})")
+            steps.append(f"w{len(steps) + 1} AS (SELECT * EXCLUDE (weight), least(weight * t_{d} / sum(weight) OVER (PARTITION BY {d}), tokens / ((SELECT sum(tokens) FROM cells)::DOUBLE * {KEEP})) AS weight FROM {prev})")
     tgt = []
     for d in DIMENSIONS:
         tgt.append(
@@ -162,9 +180,13 @@ WITH docs AS (
 {", ".join(tgt)},
 w0 AS (SELECT *, tokens::DOUBLE / (SELECT sum(tokens) FROM cells) AS weight FROM cells {joins}),
 {", ".join(steps)},
-p AS (SELECT source, lang, topic, round((weight / tokens) / max(weight / tokens) OVER (), 6) AS probability FROM w{len(steps)})
-SELECT doc_id, source0 AS source, lang0 AS lang, substr(topic, 2) AS topic, tokens::BIGINT AS tokens, probability,
-       ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT::DOUBLE / 4294967296.0 < probability AS kept
+r AS (SELECT *, weight / tokens AS ratio, (SELECT sum(tokens) FROM cells)::DOUBLE AS total FROM w{len(steps)}),
+u AS (SELECT *, weight > 0 AND ({KEEP} * total - total + sum(tokens) OVER up) * ratio >= sum(weight) OVER up AS whole FROM r
+      WINDOW up AS (ORDER BY ratio, source, lang, topic ROWS UNBOUNDED PRECEDING)),
+v AS (SELECT *, {KEEP} * total - coalesce(sum(tokens) FILTER (whole) OVER (), 0) AS left_tokens, coalesce(sum(weight) FILTER (NOT whole) OVER (), 0) AS rest FROM u),
+p AS (SELECT source, lang, topic, CASE WHEN whole THEN 1.0::DOUBLE WHEN rest > 0 THEN least(1.0::DOUBLE, left_tokens * ratio / rest) ELSE 0.0 END AS probability FROM v)
+SELECT doc_id, source0 AS source, lang0 AS lang, substr(topic, 2) AS topic, tokens::BIGINT AS tokens, round(probability, 6) AS probability,
+       ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(text)), 1, 8))::BIGINT::DOUBLE / 4294967296.0 < probability AS kept
 FROM d JOIN p USING (source, lang, topic)
 """
 

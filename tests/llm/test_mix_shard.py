@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from subledger.llm.mix import DIMENSIONS, mix_documents, rake
+from subledger.llm.mix import DIMENSIONS, mix_documents, rake, sample_documents
 from subledger.llm.shard import assign_shards, write_shards
 
 
@@ -24,13 +24,18 @@ def test_raking_meets_all_marginals(spark):
     assert got.groupby("topic")["weight"].sum().to_dict() == pytest.approx((share / share.sum()).to_dict(), abs=1e-6)
 
 
-def test_sample_follows_probabilities(spark):
+@pytest.mark.parametrize("keep", [None, 0.65])
+def test_sample_follows_probabilities(spark, keep):
     df = spark.range(20_000).select(
         F.col("id").alias("doc_id"), F.expr("repeat('w ', int(20 + id % 90))").alias("text"),
         F.expr("if(id % 3 = 0, 'hot', concat('s', id % 7))").alias("source"), F.expr("if(id % 5 = 0, null, 'en')").alias("lang"), F.lit(1).alias("weight"),
     )
-    got = mix_documents(df).toPandas()
-    assert len(got) == 20_000 and got["probability"].between(0, 1).all() and got["probability"].max() == 1
+    got = mix_documents(df, keep=keep).toPandas()
+    assert len(got) == 20_000 and got["probability"].between(0, 1).all()
+    if keep is None:
+        assert got["probability"].max() == 1
+    else:
+        assert (got["probability"] * got["tokens"]).sum() == pytest.approx(keep * got["tokens"].sum(), rel=1e-4)
     for _, g in got.groupby(["source", "topic"]):
         assert abs(g["kept"].mean() - g["probability"].mean()) < 5 * (0.25 / len(g)) ** 0.5 + 1e-9
     raised = got[got["lang"].isna()]["probability"].mean() > got[got["lang"].notna()]["probability"].mean()
@@ -59,6 +64,21 @@ def test_a_stray_cell_does_not_scale_the_others(spark):
     assert mix_documents(docs.limit(0), keep=0.65).collect() == []
 
 
+def test_sampled_rows_are_those_kept_and_draw_by_row(spark):
+    df = spark.range(4000).select(
+        F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.expr("concat('t', id, repeat(' w', int(id % 90)))").alias("text"),
+        F.expr("concat('s', id % 5)").alias("source"), F.lit("en").alias("lang"), F.col("id").alias("a.b"), F.lit(1).alias("draw"), F.lit(2).alias("topic"),
+    )
+    mixed = mix_documents(df, keep=0.5).toPandas()
+    got = sample_documents(df, keep=0.5)
+    assert got.columns == df.columns
+    rows = got.toPandas()
+    assert len(rows) == mixed["kept"].sum() and set(rows["doc_id"].dropna()) == set(mixed[mixed["kept"]]["doc_id"].dropna())
+    # rows without an id are drawn one by one
+    assert 0.4 < mixed[mixed["doc_id"].isna()]["kept"].mean() < 0.6
+    assert sample_documents(df.limit(0)).collect() == []
+
+
 def test_mix_edge_cases(spark):
     rows = [(1, None, None, None), (1, None, None, None), (None, "", "s", "en"), (3, "a b", "null", "en"), (4, "x " * 5000, "s", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
