@@ -2,14 +2,16 @@
 
 1. quality classifier: documents that it rejects go
 2. near-duplicates: one document of each group stays, the one of least id
-3. benchmark decontamination: contaminated documents go
+3. benchmark decontamination: contaminated documents go; from the others, matches of a window or more are cut
 4. mixing sources: documents are sampled to the raked weights
 5. sharding: every document left gets its shard and slot
 
-Every stage but the last returns the columns of documents.  Stages 1 and 3 decide
-row by row.  Stages 2 and 4 join their decisions back by ``doc_id`` (null equals
-null), so rows that share an id share the decision; of equal rows stage 2 keeps
-one.  An empty table passes through all stages as an empty table.
+Every stage but the last returns the columns of documents.  Stages 1, 3 and 4
+decide row by row; stage 3 counts ``n_chars`` anew where it cuts a text.  Stage 2
+joins its decision back by ``doc_id`` (null equals null), so rows that share an id
+share the decision, and of rows of equal id and text it keeps one.  Extra columns
+of any name pass all stages but the last.  Very long texts are read whole.  An
+empty table passes through all stages as an empty table.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 
 from subledger.llm.common import stage, table
 from subledger.llm.decontam import keep_uncontaminated
-from subledger.llm.mix import KEEP, mix_documents
+from subledger.llm.mix import KEEP, sample_documents
 from subledger.llm.nbsvm import keep_good
 from subledger.llm.neardup import link_documents
 from subledger.llm.shard import assign_shards
@@ -47,13 +49,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the benchmark does not contaminate."""
-    return keep_uncontaminated(docs, table(spark, sf_dir, "benchmark"))
+    """Documents that the benchmark does not contaminate, without matches of a window or more."""
+    length = "n_chars" if "n_chars" in docs.columns else None
+    return keep_uncontaminated(docs, table(spark, sf_dir, "benchmark"), length=length)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the raked mixture samples, ``KEEP`` of all tokens expected."""
-    return _keep(docs, mix_documents(docs, keep=KEEP).filter("kept"))
+    return sample_documents(docs, keep=KEEP)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
