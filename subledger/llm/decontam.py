@@ -355,12 +355,13 @@ def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, coverage: int = C
     """
     clean = match_documents(docs, benchmark).filter(~is_contaminated(coverage))
     cut = F.exists("spans", lambda s: s["words"] >= longest)
+    clean = clean.select("row", _without(longest).alias("text"), cut.alias("cut"))
 
     def column(c: str) -> Column:
         if c == "text":
-            return _without(longest)
+            return F.col("text")
         if c == length:
-            return F.when(cut, F.length(_without(longest))).otherwise(F.col("row")[c]).cast(docs.schema[c].dataType)
+            return F.when(F.col("cut"), F.length("text")).otherwise(F.col("row")[c]).cast(docs.schema[c].dataType)
         return F.col("row")[c]
 
     return clean.select(*[column(c).alias(c) for c in docs.columns])
