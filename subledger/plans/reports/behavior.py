@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from subledger.constants import EQUIPMENT_TYPE, RESULT_DIGITS, TOP_SPENDERS, TRIAL_TYPE
 from subledger.functions import exact_sum, rounded, safe_corr
+from subledger.operators.idsets import distinct_ids
 from subledger.operators.quantiles import quantiles
 
 QUARTILE_PROBS = (0.0, 0.25, 0.5, 0.75, 1.0)
@@ -154,9 +155,5 @@ def avg_days_to_equipment(
 
 
 def customers_per_year(l3_pp_product_contract: DataFrame) -> DataFrame:
-    return (
-        l3_pp_product_contract.where(F.col("contract_valid_from") < F.col("contract_valid_to"))
-        .groupBy(F.year("contract_valid_from").alias("year"))
-        .agg(F.count_distinct("contract_id").alias("customers"))
-        .orderBy("year")
-    )
+    rows = l3_pp_product_contract.where(F.col("contract_valid_from") < F.col("contract_valid_to"))
+    return distinct_ids(rows, "contract_id", "customers", by=F.year("contract_valid_from").alias("year")).orderBy("year")

@@ -29,6 +29,7 @@ from subledger.constants import (
     TRIAL_TYPE,
 )
 from subledger.functions import duration_bin, exact_sum, rounded
+from subledger.operators.idsets import count_ids, distinct_ids, id_sets
 from subledger.operators.intervals import intervals_hit_by_other_points
 from subledger.operators.quantiles import quantiles
 
@@ -52,13 +53,10 @@ def contract_duration_bins(
     The bin label replaces the day count under the same name, and the
     grouping is by the label (computed first under another name).
     """
-    return (
-        l3_pp_product_contract.where(F.col("contract_valid_to").isNotNull())
-        .select("contract_id", duration_bin("contract_duration", bounds, labels).alias("__bin"))
-        .groupBy(F.col("__bin").alias("contract_duration"))
-        .agg(F.count_distinct("contract_id").alias("cnt"))
-        .orderBy("contract_duration")
-    )
+    rows = l3_pp_product_contract.where(F.col("contract_valid_to").isNotNull())
+    rows = rows.select("contract_id", duration_bin("contract_duration", bounds, labels).alias("__bin"))
+    per = distinct_ids(rows, "contract_id", "cnt", by=F.col("__bin"))
+    return per.withColumnRenamed("__bin", "contract_duration").orderBy("contract_duration")
 
 
 def contract_duration_bins_v1(l3_pp_product_contract: DataFrame) -> DataFrame:
@@ -90,9 +88,7 @@ def churned_multi_product_top(
 
 
 def unique_contracts(l1_contract: DataFrame) -> DataFrame:
-    return l1_contract.where(F.col("contract_valid_from").isNotNull()).agg(
-        F.count_distinct("contract_id").alias("unique_contracts")
-    )
+    return distinct_ids(l1_contract.where(F.col("contract_valid_from").isNotNull()), "contract_id", "unique_contracts")
 
 
 def _started_contract_purchases(l2_product_purchase: DataFrame, l2_contract: DataFrame, type_cond) -> DataFrame:
@@ -104,13 +100,13 @@ def _started_contract_purchases(l2_product_purchase: DataFrame, l2_contract: Dat
 def trial_customers(l2_product_purchase: DataFrame, l2_contract: DataFrame, trial_type: str = TRIAL_TYPE) -> DataFrame:
     """Distinct started contracts with a started trial purchase."""
     pp = _started_contract_purchases(l2_product_purchase, l2_contract, F.col("product_type") == trial_type)
-    return pp.agg(F.count_distinct("contract_id").alias("trial_customers"))
+    return distinct_ids(pp, "contract_id", "trial_customers")
 
 
 def non_trial_customers(l2_product_purchase: DataFrame, l2_contract: DataFrame, trial_type: str = TRIAL_TYPE) -> DataFrame:
     """Distinct started contracts with any started non-trial purchase (not "never had a trial")."""
     pp = _started_contract_purchases(l2_product_purchase, l2_contract, F.col("product_type") != trial_type)
-    return pp.agg(F.count_distinct("contract_id").alias("non_trial_customers"))
+    return distinct_ids(pp, "contract_id", "non_trial_customers")
 
 
 def continued_after_trial(l3_pp_product_contract: DataFrame, trial_type: str = TRIAL_TYPE) -> DataFrame:
@@ -140,14 +136,15 @@ def _ended_rows(l3_pp_product_contract: DataFrame) -> DataFrame:
 
 def churn_same_day_vs_kept(l3_pp_product_contract: DataFrame) -> DataFrame:
     """Contracts with a product ending on / before the contract's end day."""
-    per = _ended_rows(l3_pp_product_contract).groupBy("contract_id").agg(
-        _any(F.col("product_valid_to") == F.col("contract_valid_to")).alias("same"),
-        _any(F.col("product_valid_to") < F.col("contract_valid_to")).alias("before"),
-    )
-    return per.agg(
-        F.count_if("same").alias("churned_on_same_day_count"),
-        F.count_if("before").alias("kept_subscription_count"),
+    sets = id_sets(
+        _ended_rows(l3_pp_product_contract),
+        "contract_id",
+        {
+            "same": F.col("product_valid_to") == F.col("contract_valid_to"),
+            "before": F.col("product_valid_to") < F.col("contract_valid_to"),
+        },
     )
+    return count_ids(sets, {"churned_on_same_day_count": "same", "kept_subscription_count": "before"})
 
 
 def churn_with_other_products(l3_pp_product_contract: DataFrame) -> DataFrame:
@@ -271,18 +268,22 @@ def lost_after_discontinuation(l3_pp_product_contract: DataFrame, day: dt.date =
         .withColumn("__disc", F.lit(True))
     )
     marked = rows.join(discontinued, rows["product_id"] == discontinued["__dp"], "left")
-    per = marked.groupBy("contract_id").agg(
-        _any(F.col("__disc")).alias("subscribed"),
-        _any((F.col("contract_valid_to") > F.lit(day)) | F.col("contract_valid_to").isNull()).alias("continuing"),
+    sets = id_sets(
+        marked,
+        "contract_id",
+        {
+            "subscribed": F.col("__disc"),
+            "continuing": (F.col("contract_valid_to") > F.lit(day)) | F.col("contract_valid_to").isNull(),
+        },
     )
-    return per.agg(F.count_if(F.col("subscribed") & ~F.col("continuing")).alias("customer_count"))
+    return count_ids(sets, {"customer_count": F.col("subscribed").bitwiseAND(F.bitwise_not("continuing"))})
 
 
 def products_ended_with_contract(l3_pp_product_contract: DataFrame, day: dt.date = DISCONTINUATION_DATE) -> DataFrame:
     rows = l3_pp_product_contract.where(
         (F.col("contract_valid_to") == F.col("product_valid_to")) & (F.col("product_valid_to") == F.lit(day))
     )
-    return rows.agg(F.count_distinct("product_id").alias("product_count"))
+    return distinct_ids(rows, "product_id", "product_count")
 
 
 def top_product_end_dates(l3_pp_product_contract: DataFrame, top: int = TOP_PRODUCT_END_DATES) -> DataFrame:
