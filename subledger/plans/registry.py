@@ -28,12 +28,12 @@ QUERIES: dict[str, Query] = {
     "l0_branch": lambda w: w.l0["branch"],
     # L1 checks and views
     "check_contract_duplicates": lambda w: quality.duplicate_keys(w.l1_contract, "contract_id"),
-    "check_contract_null_key": lambda w: quality.null_key_rows(w.l1_contract, "contract_id"),
+    "check_contract_null_key": lambda w: w.check_null_contracts(),
     "l1_contract": lambda w: w.l1_contract,
     "l1_product": lambda w: w.l1_product,
     "l1_product_status": lambda w: w.l1_product_status,
     "l1_product_purchase": lambda w: w.l1_product_purchase,
-    "check_invoice_null_key": lambda w: quality.null_key_count(w.l0["invoice"], "id_invoice"),
+    "check_invoice_null_key": lambda w: w.check_null_invoices(),
     "check_invoice_duplicates": lambda w: quality.duplicate_keys(w.l0["invoice"], "id_invoice"),
     "invoice_deduplicated": lambda w: quality.dedupe_by_key(w.l0["invoice"], "id_invoice"),
     "check_invoice_old_duplicates": lambda w: quality.duplicate_keys(w.l0["invoice"], "id_invoice_old").orderBy(
@@ -42,11 +42,11 @@ QUERIES: dict[str, Query] = {
     "l1_invoice": lambda w: w.l1_invoice,
     # L2 tables and count checks
     "l2_contract": lambda w: w.l2_contract,
-    "check_counts_contract": lambda w: quality.count_compare({"L2": w.l2_contract, "L1": w.l1_contract}),
+    "check_counts_contract": lambda w: w.check_counts("contract"),
     "l2_invoice": lambda w: w.l2_invoice,
-    "check_counts_invoice": lambda w: quality.count_compare({"L2": w.l2_invoice_rows, "L1": w.l1_invoice}),
+    "check_counts_invoice": lambda w: w.check_counts("invoice"),
     "l2_product": lambda w: w.l2_product,
-    "check_counts_product": lambda w: quality.count_compare({"L2": w.l2_product, "L1": w.l1_product}),
+    "check_counts_product": lambda w: w.check_counts("product"),
     "l2_product_purchase": lambda w: w.l2_product_purchase,
     # L3 tables
     "l3_invoice": lambda w: w.l3_invoice,

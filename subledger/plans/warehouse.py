@@ -17,13 +17,15 @@ build that fails moves none.
 
 from __future__ import annotations
 
+import json
 import re
 import time
 import uuid
 from collections.abc import MutableMapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
+from subledger.operators import quality
 from subledger.plans import layers, views
 from subledger.session import checkpoint_folder, configure
 from subledger.sources import csv as csv_source
@@ -42,8 +44,12 @@ MATERIALIZED = (
     "l3_contract_duration_bins",
     "l3_invoice_pp",
 )
-# Marks a version whose tables have all been written.
+# Marks a version whose tables have all been written; holds the metrics gathered meanwhile.
 COMPLETE = "_complete"
+# Table -> view whose rows the stage that writes the table also sees, each once.  Metrics are only
+# observed there: Spark counts a finished task of a job's last stage once, but adds a shuffle's tasks again when a lost
+# executor makes them run again.
+OBSERVED = {"l2_contract": "l1_contract", "l2_product": "l1_product"}
 
 
 class Warehouse:
@@ -52,6 +58,8 @@ class Warehouse:
         self.spark = spark or l0["invoice"].sparkSession
         self._tables: dict[str, DataFrame] = {}
         self._written = False
+        self._metrics: dict[str, dict[str, int]] = {}
+        self._observing: dict[str, Observation] = {}
         configure(self.spark)
         checkpoint_folder(self.spark)
 
@@ -69,11 +77,11 @@ class Warehouse:
     # ---------------------------------------------------------------- L1 views
     @property
     def l1_contract(self) -> DataFrame:
-        return layers.l1_contract(self.l0["contract"])
+        return self._observed("l1_contract", layers.l1_contract(self.l0["contract"]), "contract_id")
 
     @property
     def l1_product(self) -> DataFrame:
-        return layers.l1_product(self.l0["all_products"])
+        return self._observed("l1_product", layers.l1_product(self.l0["all_products"]))
 
     @property
     def l1_product_status(self) -> DataFrame:
@@ -87,6 +95,37 @@ class Warehouse:
     def l1_invoice(self) -> DataFrame:
         return layers.l1_invoice(self.l0["invoice"])
 
+    def _observed(self, name: str, frame: DataFrame, key: str | None = None) -> DataFrame:
+        """``frame``, counted on its way if a table that reads it is being written."""
+        if name not in self._observing:
+            return frame
+        return frame.observe(self._observing[name], *quality.row_metrics(key))
+
+    # ------------------------------------------------------------------ checks
+    def metrics(self) -> dict[str, dict[str, int]]:
+        """Rows (and NULL keys) of views and tables as the version in use was written; empty without one."""
+        return {k: dict(v) for k, v in self._metrics.items()}
+
+    def _metric(self, name: str, metric: str = "rows") -> int | None:
+        return self._metrics.get(name, {}).get(metric)
+
+    def check_null_contracts(self) -> DataFrame:
+        """Rows of ``l1_contract`` without a key; not searched for if the build met none."""
+        rows = quality.null_key_rows(self.l1_contract, "contract_id")
+        return rows.where("false") if self._metric("l1_contract", "null_keys") == 0 else rows
+
+    def check_null_invoices(self) -> DataFrame:
+        """How many rows of the invoice source have no key."""
+        n = self._metric("l1_invoice", "null_keys")
+        invoice = self.l0["invoice"]
+        return quality.null_key_count(invoice, "id_invoice") if n is None else quality.constant_row(invoice, n, "cnt")
+
+    def check_counts(self, subject: str) -> DataFrame:
+        """(layer, cnt) of the L2 table and L1 view of ``contract``, ``invoice`` or ``product``."""
+        l2 = self.l2_invoice_rows if subject == "invoice" else getattr(self, f"l2_{subject}")
+        known = {layer: self._metric(f"{layer.lower()}_{subject}") for layer in ("L2", "L1")}
+        return quality.count_compare({"L2": l2, "L1": getattr(self, f"l1_{subject}")}, known=known)
+
     # --------------------------------------------------------------- L2 tables
     def _table(self, name: str, build) -> DataFrame:
         if name not in self._tables:
@@ -157,24 +196,50 @@ class Warehouse:
         never reads or overwrites an earlier version.  The version counts once
         all its tables are written (see :meth:`use`); a run that dies before
         leaves the earlier one in place.  Returns the version's folder.
+
+        Rows and NULL keys that the checks ask for are counted meanwhile
+        (:meth:`metrics`): the checks then tell of this version, L1 views as they
+        were when it was built, and read nothing.  Contracts and products are
+        observed by the jobs that write them; invoices of L1 pass a shuffle on
+        their way, so one more pass over their key counts them.
         """
         folder = (folder or f"{checkpoint_folder(self.spark)}/warehouse-{uuid.uuid4().hex[:12]}").rstrip("/")
         version = f"{folder}/v{time.time_ns():020d}"
-        before = self._tables, self._written
-        self._tables, self._written = {}, False
+        before = self._tables, self._written, self._metrics
+        self._tables, self._written, self._metrics = {}, False, {}
         try:
+            found = {}
             for name in tables:
-                getattr(self, name).write.parquet(f"{version}/{name}")
+                found |= self._write(name, f"{version}/{name}")
                 self._tables[name] = self.spark.read.parquet(f"{version}/{name}")
                 self._written = True
+            if "l2_invoice" in tables:
+                found["l1_invoice"] = self.l1_invoice.agg(*quality.row_metrics("invoice_id")).first().asDict()
             fs, path = _hadoop(self.spark, f"{version}/{COMPLETE}")
-            fs.create(path, False).close()
+            mark = fs.create(path, False)
+            mark.write(json.dumps(found).encode())
+            mark.close()
+            self._metrics = found
         except BaseException:
             # reports go on with what they had, not with a mixture
-            self._tables, self._written = before
+            self._tables, self._written, self._metrics = before
             raise
         return version
 
+    def _write(self, name: str, path: str) -> dict[str, dict[str, int]]:
+        """Write one table; returns the metrics of the view it reads and of itself, where checks ask for them."""
+        if name not in OBSERVED and name != "l2_invoice":
+            getattr(self, name).write.parquet(path)
+            return {}
+        rows = Observation()
+        self._observing = {OBSERVED[name]: Observation()} if name in OBSERVED else {}
+        try:
+            getattr(self, name).observe(rows, *quality.row_metrics()).write.parquet(path)
+            # an observation that its job did not reach (no such case is known) leaves the check to a scan
+            return {k: o.get for k, o in {**self._observing, name: rows}.items() if o.get}
+        finally:
+            self._observing = {}
+
     def publish(self, db: str, folder: str | None = None, tables=MATERIALIZED) -> str:
         """Build a new version and let the names of database ``db`` stand for it; returns the version's folder.
 
@@ -212,7 +277,14 @@ class Warehouse:
             raise FileNotFoundError(f"no complete version below {folder}")
         fs, at = _hadoop(self.spark, done[-1])
         names = [s.getPath().getName() for s in fs.listStatus(at) if s.isDirectory()]
+        mark = fs.open(_hadoop(self.spark, f"{done[-1]}/{COMPLETE}")[1])
+        try:
+            text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(mark, "UTF-8")
+        finally:
+            mark.close()
         self._tables, self._written = {n: self.spark.read.parquet(f"{done[-1]}/{n}") for n in names}, True
+        # marks of versions written before metrics were kept are empty
+        self._metrics = json.loads(text) if text else {}
         return done[-1]
 
     def _versions(self, folder: str) -> list[str]:
