@@ -176,8 +176,15 @@ def churned_equipment_other_types(
     The question's join has one row per ended equipment row and distinct other
     product; ``cnt`` is the number of those rows per contract and type, formed
     from the two counts, so the pairs of a large contract are never expanded.
+
+    The probe for hot contracts, the points, the intervals and the row counts read
+    the same five columns: they are written once to the checkpoint folder, unfiltered,
+    so that the joins run and the dates are worked out once.  So is the result, which
+    the final sort reads twice (range bounds, rows).
     """
-    ended = l3_pp_product_contract.where(F.col("product_valid_to").isNotNull())
+    rows = l3_pp_product_contract.select("contract_id", "product_id", "product_type", "product_valid_from", "product_valid_to")
+    rows = rows.checkpoint(eager=True)
+    ended = rows.where(F.col("product_valid_to").isNotNull())
     equipment = ended.where(F.col("product_type") == equipment_type)
     others = intervals_hit_by_other_points(
         ended,
@@ -204,7 +211,7 @@ def churned_equipment_other_types(
         F.lit(equipment_type).alias("discontinued_product"),
         "other_product_at_same_time",
         (F.col("__n") * F.col("__m")).alias("cnt"),
-    )
+    ).checkpoint(eager=True)
     return per.orderBy("contract_id", F.col("other_product_at_same_time").asc_nulls_first())
 
 

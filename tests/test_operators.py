@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import Window
@@ -179,6 +180,20 @@ def test_intervals_against_pairs(spark):
         assert got == sorted(want)
 
 
+def test_intervals_repeated_rows_and_one_exchange(spark):
+    """Repeated points and intervals change nothing, and no shuffle but the group's makes them distinct."""
+    d = dt.date
+    rows = [(1, 1, "a", d(2023, 1, 1), d(2023, 2, 1), True), (1, 2, "b", d(2023, 1, 1), d(2023, 2, 1), False)] * 3
+    rows += [(1, 3, "c", d(2023, 2, 2), d(2023, 3, 1), False), (2, 1, "a", d(2023, 1, 1), d(2023, 2, 1), True)] * 2
+    df = spark.createDataFrame(rows, "g int, pid int, typ string, lo date, hi date, is_point boolean")
+    for hot in (10**9, 3):
+        got = intervals_hit_by_other_points(df, df.where("is_point"), "g", "pid", "lo", "hi", "hi", keep_cols=["typ"], hot_rows=hot)
+        assert list(map(tuple, got.collect())) == [(1, 2, "b", d(2023, 1, 1), d(2023, 2, 1))]
+        if hot > len(rows):
+            assert got._jdf.queryExecution().sparkPlan().toString().count("HashAggregate") == 2
+            assert len(re.findall(r"Exchange hashpartitioning", got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0])) == 1
+
+
 def test_business_date_dst_and_session_zone(spark):
     cases = [
         ("2023-03-25 22:59:59", "2023-03-25"),

@@ -136,3 +136,9 @@ def test_a_hot_contract_is_split(spark, key):
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert "skew=true" in plan, plan[:3000]
+
+
+def test_equipment_report_reads_its_joins_once(plain):
+    """The probe, both kinds of events, the counts and the final sort start from written rows."""
+    plan = _plan(QUERIES["churned_equipment_other_types"](plain))
+    assert "Scan parquet" not in plan and "FileScan" not in plan and "Window" not in plan and "Join" not in plan
