@@ -142,3 +142,34 @@ def test_equipment_report_reads_its_joins_once(plain):
     """The probe, both kinds of events, the counts and the final sort start from written rows."""
     plan = _plan(QUERIES["churned_equipment_other_types"](plain))
     assert "Scan parquet" not in plan and "FileScan" not in plan and "Window" not in plan and "Join" not in plan
+
+
+@pytest.mark.parametrize("numbered", [False, True])
+def test_a_task_holds_a_bounded_share_of_a_large_join(spark, numbered):
+    """Some 40 MB of compressed invoices and contracts must not be merged into one task."""
+    from pyspark.sql import functions as F
+
+    from subledger.plans import layers
+    from subledger.plans.reports import behavior
+
+    n = 2_000_000
+    day = F.date_add(F.lit("2023-01-01").cast("date"), (F.rand(1) * 1000).cast("int"))
+    inv = spark.range(n).select(
+        F.col("id").alias("invoice_id"), (F.hash("id") % (n // 4)).cast("long").alias("contract_id"), *[day.alias(c) for c in layers.INVOICE_ORDER_KEYS if c.endswith("_date")],
+        day.alias("date_issue"), day.alias("date_insert"), (F.rand(2) * 1000).alias("amount_w_vat"), F.lit(1).cast("long").alias("branch_id"),
+        F.lit("invoice").alias("invoice_type"), F.lit(True).alias("flag_invoice_issued"),
+    )
+    contract = spark.range(-n // 4, n // 4).select(F.col("id").alias("contract_id"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        if numbered:
+            out = layers.l2_invoice(inv, contract, hot_rows=10**9)
+        else:
+            out = behavior._invoices_per_contract(layers.l2_invoice_rows(inv, contract))
+        # every column is read, so none is pruned
+        per_task = out.groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("rows"), *[F.max(c) for c in out.columns])
+        rows = [r["rows"] for r in per_task.collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert max(rows) <= 0.7 * sum(rows), rows
