@@ -4,27 +4,24 @@ Texts are lower-cased (A-Z), split at ``[.,;:!?\\x0A-\\x0D]`` into pieces and
 those into words ``[^\\x20\\x09]+``; a phrase never crosses a piece.  All counts
 are per language (null: ``und``).
 
-1. Level by level (words, pairs, triples) every task counts the 64-bit hashes of
-   phrases whose two shorter parts may be frequent, and sends them in slices of
-   the hash range; a slice adds its counts up and marks the frequent ones in its
-   part of a bitmap of 2^``BITMAP`` bits, the one thing that is broadcast.  A
-   bit that two phrases share only lets one more candidate through, so every
-   phrase that is frequent is a candidate (Apriori).  A slice also picks, for each
-   frequent phrase, one class of texts in which it was seen (a 16-bit hash of the
-   text), and marks the two in a second bitmap.
-2. The candidates' words are read off the texts of their class, so that few tasks
-   send the same phrase, and candidates and their words are dealt into blocks of about half of ``PHRASES`` phrases, by their
-   first word; only the phrases of a first word that has many are dealt
-   singly.  A block becomes a double-array trie, built in a task: a word is two
-   symbols of ``DIGIT`` bits, the next state of s at c is base[s] + c, if check
-   there is s.
-3. The tries of ``TOGETHER`` blocks are broadcast (``PHRASES`` bounds each) and
-   destroyed after their pass.  A task advances the states of all word positions
-   of a run of texts at once, symbol by symbol, counts the states of whole
-   phrases, and the counts of all tasks are summed.  Candidates under ``LEAST``
-   end here.
-
-More candidates mean more passes over the texts, not more memory.  Scores are
+1. First of words, then of pairs every task counts the 64-bit hashes, of pairs only those
+   whose words may be frequent, and sends them in slices of the hash range; a slice adds
+   its counts up and marks the frequent ones in its part of a bitmap of 2^``BITMAP`` bits,
+   the one thing that is broadcast.  A bit that two phrases share only lets one more
+   candidate through, so every phrase that is frequent is a candidate (Apriori).
+2. In a third pass every task adds up its words, pairs and triples that the bitmaps let
+   pass (triples by their two pairs) and deals them with their counts to slices, words and
+   pairs by their hash, triples with their first pair, so that a common first word has
+   pairs in every slice.  A row has the words it needs once, and the phrases as places of them.
+3. A slice drops what cannot reach ``LEAST`` by the sums of a small table of hashes and builds
+   the others into double-array tries of about half of ``PHRASES`` phrases: a word is two
+   symbols of ``DIGIT`` bits, the next state of s at c is base[s] + c, if check there is s.
+   The states of all dealt phrases are advanced at once, symbol by symbol, and the counts
+   of all tasks are summed by state.  A slice has about ``TOGETHER`` tries.  Candidates under
+   ``LEAST`` end here.
+
+The texts are read three times, however many candidates there are: more of them mean more
+slices, not more memory.  Scores are
 integers computed from decimals of 38 digits, exact for counts below 10^15.
 A language's best rows are cut from the best of ``SALTS`` parts of it, so that no
 task sorts a whole language.
@@ -39,6 +36,7 @@ empty result; other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,13 +52,15 @@ LEAST, LONGEST, TOP = 10, 3, 2000
 #: A phrase goes if a longer one that holds it has this share (percent) of its occurrences.
 INSIDE = 50
 BITMAP = 27
-#: Phrases of a trie at most (about), and tries of one pass over the texts.
+#: Phrases of a trie at most (about), and tries of a slice.
 PHRASES, TOGETHER = 1 << 18, 8
 DIGIT = 12
+#: States with so many children at most are given room many at a time.
+FEW = 6
 SALTS = 16
-#: States whose counts travel as one row.
-CHUNK = 1 << 16
-#: Hashes that a task holds before it adds them up, and distinct ones before it sends them.
+#: Phrases that leave a task as one batch.
+CUT = 1 << 15
+#: Hashes or words that a task holds before it adds them up, and distinct hashes before it sends them.
 HELD = 1 << 21
 
 #: Bytes that end a piece, and bytes of words.
@@ -92,20 +92,6 @@ def _tokens(batch: pa.RecordBatch, text: str = "text") -> Iterator[tuple]:
         yield data, row + i, start, end, h, joined
 
 
-def _classes(row: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """A 16-bit class of the text that each word is in, from the text's first and last word and its length."""
-    first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-    size = np.diff(np.r_[first, len(row)])
-    of = mix(h[first] + mix(h[first + size - 1]) + size.astype(np.uint64)) >> np.uint64(48)
-    return np.repeat(of.astype(np.uint16), size)
-
-
-def _owner(h: np.ndarray, classes: np.ndarray, slice_bits: int) -> np.ndarray:
-    """A hash of phrase and class that begins like the phrase's, so that both fall into one slice."""
-    top = np.uint64(64 - slice_bits)
-    return (h >> top << top) | (mix(h ^ mix(classes.astype(np.uint64) + np.uint64(1))) >> np.uint64(slice_bits))
-
-
 class Bitmap:
     """Membership of 64-bit hashes by their first bits."""
 
@@ -118,162 +104,260 @@ class Bitmap:
         return (self.packed[at >> np.uint64(3)] << (at & np.uint64(7)).astype(np.uint8) & 0x80) > 0
 
 
-def _candidates(h: np.ndarray, joined: np.ndarray, maps: list[Bitmap]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(words, positions, hashes) of the phrases of each size that the bitmaps of shorter and equal sizes let pass.
+def _frequent(h: np.ndarray, joined: np.ndarray, words: Bitmap) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the words that may be frequent, and whether the next word is one too, in the same piece."""
+    alive = words.has(h)
+    pair = joined & alive
+    pair[:-1] &= alive[1:]
+    at = np.flatnonzero(alive)
+    return at, pair[at]
 
-    Sizes end with the one that is a word longer than the last bitmap's.
-    """
-    alive = np.ones(len(h), dtype=bool)
-    for k in range(1, min(len(maps) + 1, LONGEST) + 1):
-        if k > 1:
-            alive = alive[:-1] & alive[1:] & joined[: max(0, len(alive) - 1)]
-        run = h if k == 1 else sequence_hash(h, k)
-        at = np.flatnonzero(alive)
-        if k <= len(maps):
-            at = at[maps[k - 1].has(run[at])]
-            alive = np.zeros(len(alive), dtype=bool)
-            alive[at] = True
-        yield k, at, run[at]
-
-
-def _merge(hashes: list[np.ndarray], counts: list[np.ndarray], classes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct hashes in order, their summed counts (255 stands for more) and one class of each."""
+
+def _edges(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.r_[True, x[1:] != x[:-1]][: len(x)])
+
+
+def _merge(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes in order and their summed counts (255 stands for more)."""
     h = np.concatenate(hashes)
-    order = np.argsort(h, kind="stable")
+    order = np.argsort(h)
     h = h[order]
-    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]][: len(h)])
+    first = _edges(h)
     n = np.concatenate(counts)[order].astype(np.int64)
     n = np.add.reduceat(n, first) if len(h) else n
-    return h[first], np.minimum(n, 255).astype(np.uint8), np.concatenate(classes)[order[first]]
+    return h[first], np.minimum(n, 255).astype(np.uint8)
 
 
-_COUNTED = "slice int, hashes binary, counts binary, classes binary"
+_COUNTED = "slice int, hashes binary, counts binary, seen bigint"
 
 
 def _count_hashes(shared: list, slice_bits: int):
-    """Texts to (slice, hashes, counts, classes) of the phrases that are one word longer than the bitmaps."""
+    """Texts to (slice, hashes, counts, seen) of the words, or with a bitmap of the pairs of words that it lets pass.
+
+    A row of a slice tells in ``seen`` how many words or pairs stand behind it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maps = [Bitmap(b.value) for b in shared]
-        known = (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint8), np.zeros(0, dtype=np.uint16))
-        held: list[list[np.ndarray]] = [[x] for x in known]
-        size = 0
-
-        def send(parts):
-            edges = np.searchsorted(parts[0] >> np.uint64(64 - slice_bits), np.arange((1 << slice_bits) + 1))
+        known = (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint8))
+        counted, held, size = known, [], 0
+
+        def add():
+            h = np.sort(np.concatenate([known[0], *held]))
+            first = _edges(h)
+            fresh = h[first], np.minimum(np.diff(np.r_[first, len(h)]), 255).astype(np.uint8)
+            return _merge(*zip(counted, fresh)) if len(counted[0]) else fresh
+
+        def send():
+            h, n = counted
+            edges = np.searchsorted(h >> np.uint64(64 - slice_bits), np.arange((1 << slice_bits) + 1))
             full = np.flatnonzero(np.diff(edges))
-            blobs = [pa.array([x[edges[s] : edges[s + 1]].tobytes() for s in full], pa.binary()) for x in parts]
-            return pa.record_batch([pa.array(full, pa.int32()), *blobs], names=["slice", "hashes", "counts", "classes"])
+            blobs = [pa.array([x[edges[s] : edges[s + 1]].tobytes() for s in full], pa.binary()) for x in counted]
+            seen = [int(n[edges[s] : edges[s + 1]].sum()) for s in full]
+            return pa.record_batch([pa.array(full, pa.int32()), *blobs, pa.array(seen, pa.int64())], names=["slice", "hashes", "counts", "seen"])
 
         for batch in batches:
-            for _, row, _, _, word, joined in _tokens(batch):
-                of = _classes(row, word)
-                for k, at, found in _candidates(word, joined, maps):
-                    if k == len(maps) + 1:
-                        for x, more in zip(held, (found, np.ones(len(at), dtype=np.uint8), of[at])):
-                            x.append(more)
-                        size += len(at)
+            for _, _, _, _, h, joined in _tokens(batch):
+                if maps:
+                    at, pair = _frequent(h, joined, maps[0])
+                    h = sequence_hash(h[at], 2)[pair[:-1]]
+                held.append(h)
+                size += len(h)
                 if size > HELD:
-                    merged = _merge(*held)
-                    if len(merged[0]) > HELD:
-                        yield send(merged)
-                        merged = known
-                    held, size = [[x] for x in merged], 0
-        yield send(_merge(*held))
+                    counted, held, size = add(), [], 0
+                    if len(counted[0]) > HELD:
+                        yield send()
+                        counted = known
+        counted = add()
+        yield send()
 
     return run
 
 
 def _mark(least: int, slice_bits: int, bitmap: int):
-    """Counted hashes, sorted by slice, to the slice's part of the bitmaps of frequent phrases and of their owners."""
+    """Counted hashes, sorted by slice, to the slice's part of the bitmap of frequent ones."""
     width = bitmap - slice_bits
 
-    def packed(h: np.ndarray) -> bytes:
+    def bits(s: int, held: list, seen: int) -> pa.RecordBatch:
+        h, n = _merge(*held)
         part = np.zeros(1 << width, dtype=bool)
-        part[((h >> np.uint64(64 - bitmap)) & np.uint64((1 << width) - 1)).astype(np.int64)] = True
-        return np.packbits(part).tobytes()
-
-    def bits(s: int, held: list) -> pa.RecordBatch:
-        h, n, of = _merge(*held)
-        on = n >= least
-        both = [packed(h[on]), packed(_owner(h[on], of[on], slice_bits))]
-        return pa.record_batch([pa.array([s], pa.int32()), *[pa.array([b], pa.binary()) for b in both]], names=["slice", "bits", "owners"])
+        part[((h[n >= least] >> np.uint64(64 - bitmap)) & np.uint64((1 << width) - 1)).astype(np.int64)] = True
+        return pa.record_batch([pa.array([s], pa.int32()), pa.array([np.packbits(part).tobytes()], pa.binary()), pa.array([seen], pa.int64())], names=["slice", "bits", "seen"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, held, size = None, [], 0
+        current, held, size, seen = None, [], 0, 0
         for batch in batches:
-            for s, *blobs in zip(*(batch.column(c) for c in ("slice", "hashes", "counts", "classes"))):
+            for s, hashes, counts, m in zip(*(batch.column(c) for c in ("slice", "hashes", "counts", "seen"))):
                 if s.as_py() != current:
                     if held:
-                        yield bits(current, held)
-                    current, held, size = s.as_py(), [[], [], []], 0
-                for x, blob, kind in zip(held, blobs, (np.uint64, np.uint8, np.uint16)):
+                        yield bits(current, held, seen)
+                    current, held, size, seen = s.as_py(), [[], []], 0, 0
+                for x, blob, kind in zip(held, (hashes, counts), (np.uint64, np.uint8)):
                     x.append(np.frombuffer(blob.as_buffer(), dtype=kind))
+                seen += m.as_py()
                 size += len(held[0][-1])
                 if size > 2 * HELD:
                     held, size = [[x] for x in _merge(*held)], 0
         if held:
-            yield bits(current, held)
+            yield bits(current, held, seen)
 
     return run
 
 
-def _slice_bits(texts: DataFrame, bitmap: int) -> int:
+def _bitmap(texts: DataFrame, shared: list, least: int, bitmap: int) -> tuple[np.ndarray, int]:
+    """The packed bitmap of frequent words, or with their bitmap of frequent pairs, and how many words or pairs were seen (about)."""
     tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(max(8, (tasks - 1).bit_length()), bitmap - 3)
-
-
-def _bitmaps(texts: DataFrame, shared: list, least: int, bitmap: int) -> tuple[np.ndarray, np.ndarray]:
-    """The packed bitmaps of frequent phrases of one more word than ``shared`` has bitmaps, and of their owners."""
-    slice_bits = _slice_bits(texts, bitmap)
+    slice_bits = min(max(8, (tasks - 1).bit_length()), bitmap - 3)
     counted = map_arrow(texts, _count_hashes(shared, slice_bits), _COUNTED)
-    marked = map_arrow(counted.repartition("slice").sortWithinPartitions("slice"), _mark(least, slice_bits, bitmap), "slice int, bits binary, owners binary")
-    out = np.zeros((2, 1 << (bitmap - 3)), dtype=np.uint8)
+    marked = map_arrow(counted.repartition("slice").sortWithinPartitions("slice"), _mark(least, slice_bits, bitmap), "slice int, bits binary, seen bigint")
+    out, seen = np.zeros(1 << (bitmap - 3), dtype=np.uint8), 0
     width = 1 << (bitmap - slice_bits - 3)
     for r in marked.toLocalIterator():
-        for row, bits in zip(out, (r["bits"], r["owners"])):
-            row[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(bytes(bits), dtype=np.uint8)
-    return out[0], out[1]
+        out[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
+        seen += r["seen"]
+    return out, seen
+
+
+def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of runs of ``size`` from ``start``, one run after the other."""
+    return data[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+
+
+def _phrase_texts(data: np.ndarray, start: np.ndarray, size: np.ndarray, word: np.ndarray) -> pa.Array:
+    """The phrases of the words in each row of ``word``, joined by a space.  ``data`` begins with a space."""
+    rows, k = word.shape
+    begin = np.zeros((rows, 2 * k - 1), dtype=np.int64)
+    length = np.ones((rows, 2 * k - 1), dtype=np.int64)
+    begin[:, ::2], length[:, ::2] = start[word], size[word]
+    out = _gather(data, begin.ravel(), length.ravel())
+    offsets = np.r_[0, np.cumsum(length.sum(axis=1))].astype(np.int64)
+    return pa.LargeStringArray.from_buffers(rows, pa.py_buffer(offsets), pa.py_buffer(out)).cast(pa.string())
+
+
+def _distinct(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys in order, a position of each, the place of every key among them, counts) of keys below 2^bits."""
+    keys = keys.view(np.uint64)
+    room = len(keys).bit_length()
+    drop = np.uint64(max(0, bits + room - 64))
+    order = keys >> drop << np.uint64(room)
+    order |= np.arange(len(keys), dtype=np.uint64)
+    order.sort()
+    order &= np.uint64((1 << room) - 1)
+    found = keys[order]
+    if drop and (found[1:] < found[:-1]).any():  # keys that differ in their last bits only
+        order = np.argsort(keys)
+        found = keys[order]
+    first = _edges(found)
+    n = np.diff(np.r_[first, len(keys)])
+    place = np.empty(len(keys), dtype=np.int32)
+    place[order] = np.repeat(np.arange(len(first), dtype=np.int32), n)
+    return found[first], order[first].astype(np.int64), place, n
+
+
+def _blob(x: np.ndarray) -> bytes:
+    """Numbers that are not negative, in as few bytes each as the largest needs (told by the first byte)."""
+    top = int(x.max()) if len(x) else 0
+    kind = next(t for t in (np.uint8, np.uint16, np.uint32) if top <= np.iinfo(t).max)
+    return bytes([np.dtype(kind).itemsize]) + x.astype(kind).tobytes()
+
 
+def _numbers(blob: pa.Buffer) -> np.ndarray:
+    return np.frombuffer(blob, dtype=f"u{memoryview(blob)[0]}", offset=1).astype(np.int32)
 
-def _phrase_texts(data: np.ndarray, start: np.ndarray, end: np.ndarray, at: np.ndarray, k: int) -> pa.Array:
-    """The phrases of ``k`` words from positions ``at``, words joined by a space."""
-    word = (at[:, None] + np.arange(k)).ravel()
-    size = end[word] - start[word]
-    room = size + 1
-    room[k - 1 :: k] -= 1
-    ends = np.cumsum(room)
-    out = np.full(int(ends[-1]) if len(ends) else 0, 0x20, dtype=np.uint8)
-    inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    out[np.repeat(ends - room, size) + inside] = data[np.repeat(start[word], size) + inside]
-    offsets = np.r_[0, ends[k - 1 :: k]].astype(np.int64)
-    return pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(out)).cast(pa.string())
 
+#: ``langs`` and ``words``: a dictionary (:func:`_deal`); ``n``: a language's words, in rows of their own.
+_DEALT = "slice int, langs array<string>, words array<binary>, phrases array<binary>, n bigint"
 
-def _read_phrases(shared: list, owners, slice_bits: int):
-    """Texts to the (lang, phrase) of the candidates that texts of their class own, once a task."""
+
+def _dealt(slices: list, langs: list, words: list, phrases: list, n: list) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.list_(pa.string()), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.int64())
+    return pa.record_batch([pa.array(x, t) for x, t in zip((slices, langs, words, phrases, n), kinds)], names=["slice", "langs", "words", "phrases", "n"])
+
+
+def _deal(shared: list, slices: int):
+    """Texts to their phrases that may be frequent, with counts, in rows for the slice of each word or pair; triples go with their first pair.
+
+    A row has a dictionary: languages, the language of each word, sizes and bytes.  Phrases are
+    places in it: words and counts; left, right and counts of pairs; pair, third word and counts of triples.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maps, owned = [Bitmap(b.value) for b in shared], Bitmap(owners.value)
-        seen = {k: np.zeros(0, dtype=np.uint64) for k in range(2, LONGEST + 1)}
+        words_map, pairs_map = (Bitmap(b.value) for b in shared)
+        kind = np.uint16 if slices <= 1 << 16 else np.int64  # numpy sorts 16 bits by radix
+        slice_of = lambda h: ((h >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)).astype(kind)
+        codes: dict[str, int] = {}
+        total = np.zeros(0, dtype=np.int64)
+        held: list[tuple] = []
+        size = at_byte = 0
+
+        def send() -> Iterator[pa.RecordBatch]:
+            columns = [list(x) for x in zip(*held)]
+            held.clear()
+            data, h, lang, start, length, pair = (np.concatenate(columns.pop(0)) for _ in range(6))
+            names = list(codes)
+            found, first, word, uses = _distinct(h, 64)
+            wide = np.int64(max(1, len(found)))
+            at = np.flatnonzero(pair)
+            keys, _, place, n2 = _distinct(word[at] * wide + word[at + 1], 2 * int(wide).bit_length())
+            left, right = keys.astype(np.int64) // wide, keys.astype(np.int64) % wide
+            pairs = np.full(len(h), -1, dtype=np.int32)
+            pairs[at] = place
+            at = np.flatnonzero(pair[:-1] & pair[1:])
+            third = np.sort(pairs[at] * wide + word[at + 2])
+            del h, pair, word, at, place, pairs
+            cut = _edges(third)
+            n3 = np.diff(np.r_[cut, len(third)])
+            inner, third = third[cut] // wide, third[cut] % wide
+            # in the order of their slices
+            of1, of2 = slice_of(found), slice_of(sequence_hash(np.c_[found[left], found[right]].ravel(), 2)[::2])
+            order1, order2, order3 = (np.argsort(x, kind="stable") for x in (of1, of2, of2[inner]))
+            renamed = np.empty(len(order2), dtype=np.int64)
+            renamed[order2] = np.arange(len(order2))
+            left, right, n2, inner, third, n3 = left[order2], right[order2], n2[order2], renamed[inner[order3]], third[order3], n3[order3]
+            ends = [np.searchsorted(x[o], np.arange(slices + 1)) for x, o in ((of1, order1), (of2, order2))]
+            ends.append(np.searchsorted(inner, ends[1]))
+            lang, start, length = lang[first], start[first], length[first]
+            rows: list[tuple] = []
+            for s in np.flatnonzero(np.diff(ends[0]) + np.diff(ends[1])).tolist():
+                one, two, three = (slice(e[s], e[s + 1]) for e in ends)
+                own = order1[one]
+                used, code = np.unique(np.concatenate([own, left[two], right[two], third[three]]), return_inverse=True)
+                edges = np.cumsum([len(own), two.stop - two.start, two.stop - two.start])
+                a, b, c, d = np.split(code, edges)
+                spoken, lang_code = np.unique(lang[used], return_inverse=True)
+                dictionary = [_blob(lang_code), _blob(length[used]), _gather(data, start[used], length[used]).tobytes()]
+                phrases = [_blob(x) for x in (a, uses[own], b, c, n2[two], inner[three] - two.start, d, n3[three])]
+                rows.append((s, [names[x] for x in spoken], dictionary, phrases, None))
+                if len(rows) == 256:
+                    yield _dealt(*map(list, zip(*rows)))
+                    rows = []
+            if rows:
+                yield _dealt(*map(list, zip(*rows)))
+
         for batch in batches:
-            langs = batch.column("lang")
+            langs = batch.column("lang").dictionary_encode()
+            of = np.array([codes.setdefault(x, len(codes)) for x in langs.dictionary.to_pylist()], dtype=np.int64)[langs.indices.to_numpy(zero_copy_only=False)]
             for data, row, start, end, h, joined in _tokens(batch):
-                of = _classes(row, h)
-                for k, at, found in _candidates(h, joined, maps):
-                    if k == 1:
-                        continue
-                    mine = np.flatnonzero(owned.has(_owner(found, of[at], slice_bits)))
-                    if not len(mine):
-                        continue
-                    at, (values, first) = at[mine], np.unique(found[mine], return_index=True)
-                    near = np.searchsorted(seen[k], values)
-                    new = np.ones(len(values), dtype=bool)
-                    known = near < len(seen[k])
-                    new[known] = seen[k][near[known]] != values[known]
-                    seen[k] = np.insert(seen[k], near[new], values[new])
-                    at = at[first[new]]
-                    yield pa.record_batch([langs.take(pa.array(row[at])), _phrase_texts(data, start, end, at, k)], names=["lang", "phrase"])
+                some = np.bincount(of[row], minlength=len(codes))
+                some[: len(total)] += total
+                total = some
+                at, pair = _frequent(h, joined, words_map)
+                if not len(at):
+                    continue
+                h = h[at]
+                pair[-1] = False
+                pair[:-1] &= pairs_map.has(sequence_hash(h, 2))
+                held.append((data, h, of[row[at]].astype(np.int32), start[at] + at_byte, (end - start)[at].astype(np.int32), pair))
+                size += len(at)
+                at_byte += len(data)
+                if size > HELD:
+                    yield from send()
+                    size = at_byte = 0
+        if held:
+            yield from send()
+        for lang, n in zip(codes, total.tolist()):
+            yield _dealt([zlib.crc32(lang.encode()) % slices], [[lang]], [None], [None], [n])
 
     return run
 
@@ -310,20 +394,44 @@ class DoubleArray:
         used = int((self.check >= 0).sum())
         self._grow(2 * (used + len(parent)) + (2 << DIGIT))
         state = np.empty(len(parent), dtype=np.int64)
-        many = np.flatnonzero(count > 1)
-        for g in many[np.argsort(-count[many], kind="stable")].tolist():
-            a, b = first[g], first[g] + count[g]
-            c = symbol[a:b]
-            base = self._room(c, rng)
-            state[a:b] = base + c
-            self.check[state[a:b]] = parent[a]
-            self.base[parent[a]] = base
+        for many in (np.flatnonzero(count > FEW), np.flatnonzero((count > 1) & (count <= FEW))):
+            if len(many) and count[many[0]] <= FEW:
+                many = self._place_few(many, first, count, symbol, parent, state, rng)
+            for g in many[np.argsort(-count[many], kind="stable")].tolist():
+                a, b = first[g], first[g] + count[g]
+                c = symbol[a:b]
+                base = self._room(c, rng)
+                state[a:b] = base + c
+                self.check[state[a:b]] = parent[a]
+                self.base[parent[a]] = base
         single = first[count == 1]
         state[single] = np.flatnonzero(self.check < 0)[: len(single)]
         self.check[state[single]] = parent[single]
         self.base[parent[single]] = state[single] - symbol[single]
         return state
 
+    def _place_few(self, groups: np.ndarray, first: np.ndarray, count: np.ndarray, symbol: np.ndarray, parent: np.ndarray, state: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        """Bases at random for many groups of few children together; returns those that found no room."""
+        owner = np.full(len(self.check), -1, dtype=np.int64)
+        for _ in range(32):
+            if not len(groups):
+                break
+            some = np.cumsum(count[groups]) - count[groups]
+            child = np.repeat(first[groups] - some, count[groups]) + np.arange(int(count[groups].sum()))
+            base = rng.integers(1, len(self.check) - (1 << DIGIT), len(groups)) - symbol[first[groups]]
+            to = np.repeat(base, count[groups]) + symbol[child]
+            group = np.repeat(np.arange(len(groups)), count[groups])
+            free = np.logical_and.reduceat(self.check[to] < 0, some)
+            owner[to[free[group]]] = group[free[group]]
+            won = free & np.logical_and.reduceat(owner[to] == group, some)
+            on = won[group]
+            owner[to] = -1
+            self.check[to[on]] = parent[child[on]]
+            state[child[on]] = to[on]
+            self.base[parent[first[groups[won]]]] = base[won]
+            groups = groups[~won]
+        return groups
+
     def _room(self, c: np.ndarray, rng: np.random.Generator) -> int:
         """A base at which the states of symbols ``c`` are free; tried at random, else behind the end."""
         span = int(c[-1] - c[0]) + 1
@@ -345,219 +453,241 @@ class DoubleArray:
         return np.where(~out & (check[to] == state) & (to > 0), to, -1)
 
 
-def _build(rows: pa.Table) -> pa.Table:
-    """A block's phrases to their states (node, lang, phrase), and a row (node -1) with the trie's arrays."""
-    phrases = rows.select(["block", "lang", "phrase"]).combine_chunks()
-    hashes, owner = [], []
-    done = 0
-    for batch in phrases.to_batches():
-        for _, row, _, _, h, _ in _tokens(batch, "phrase"):
-            hashes.append(h)
-            owner.append(row + done)
-        done += batch.num_rows
-    h, row = np.concatenate(hashes), np.concatenate(owner)
-    vocabulary, code, uses = np.unique(h, return_inverse=True, return_counts=True)
+def _words_on(trie: DoubleArray, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """The states a word later, through its two symbols; -1 where there is none."""
+    for shift in (DIGIT, 0):
+        to = DoubleArray.step(trie.base, trie.check, np.maximum(state, 0), code >> shift & ((1 << DIGIT) - 1))
+        state = np.where(state < 0, -1, to)
+    return state
+
+
+def _trie_counts(sequences: np.ndarray, phrases: list[np.ndarray]) -> np.ndarray:
+    """How often each of ``sequences`` (rows of word numbers, -1 after their end) is among ``phrases``, counted by a trie.
+
+    ``phrases``: words and counts; left, right and counts of pairs; pair, third word and counts of triples.
+    """
+    a, n1, left, right, n2, inner, third, n3 = phrases
     # common words get small codes, so that their symbols meet in few states
-    rank = np.empty(len(vocabulary), dtype=np.int64)
-    rank[np.argsort(-uses, kind="stable")] = np.arange(len(vocabulary))
-    code = rank[code]
-    place = np.arange(len(row)) - np.searchsorted(row, row)
-    symbols = np.full((done, 2 * LONGEST), -1, dtype=np.int64)
-    symbols[row, 2 * place], symbols[row, 2 * place + 1] = code >> DIGIT, code & ((1 << DIGIT) - 1)
+    uses = np.bincount(sequences[sequences >= 0])
+    rank = np.empty(len(uses), dtype=np.int64)
+    rank[np.argsort(-uses, kind="stable")] = np.arange(len(uses))
+    code = np.where(sequences >= 0, rank[sequences], -1)
+    symbols = np.where(code < 0, -1, np.stack([code >> DIGIT, code & ((1 << DIGIT) - 1)])).transpose(1, 2, 0).reshape(len(code), -1)
     trie = DoubleArray(symbols)
-    block = phrases.column("block")[0].as_py()
-    arrays = [a.tobytes() for a in (vocabulary, rank.astype(np.int32), trie.base, trie.check)]
-    return pa.table(
-        {
-            "block": pa.array([block] * (done + 1), pa.int32()),
-            "node": pa.array(np.r_[trie.node, -1], pa.int32()),
-            "lang": pa.array([*phrases.column("lang").to_pylist(), None], pa.string()),
-            "phrase": pa.array([*phrases.column("phrase").to_pylist(), None], pa.string()),
-            "arrays": pa.array([None] * done + [arrays], pa.list_(pa.binary())),
-        }
-    )
-
-
-_TRIE_SQL = "block int, node int, lang string, phrase string, arrays array<binary>"
-
-
-class _Counter:
-    """Counts of the states of one trie; words come as places in a vocabulary that holds this trie's."""
-
-    def __init__(self, every: np.ndarray, vocabulary: np.ndarray, rank: np.ndarray, base: np.ndarray, check: np.ndarray):
-        self.base, self.check = base, check
-        self.code = np.full(len(every), -1, dtype=np.int32)
-        self.code[np.searchsorted(every, vocabulary)] = rank
-        self.first = np.full(len(every), -1, dtype=np.int32)
-        known = np.flatnonzero(self.code >= 0)
-        self.first[known] = self._word(np.zeros(len(known), dtype=np.int64), self.code[known])
-        self.begins = self.first >= 0
-        self.counts = np.zeros(len(check), dtype=np.int64)
-        self.held: list[np.ndarray] = []
-        self.size = 0
-
-    def _word(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
-        """The state a word later, through its two symbols; -1 where there is none."""
-        for shift in (DIGIT, 0):
-            on = np.flatnonzero(state >= 0)
-            to = np.full(len(state), -1, dtype=np.int64)
-            to[on] = DoubleArray.step(self.base, self.check, state[on], code[on] >> shift & ((1 << DIGIT) - 1))
-            state = to
-        return state
-
-    def advance(self, word: np.ndarray, at: np.ndarray, joined: np.ndarray) -> None:
-        """Move a state from every known word on, level by level, as far as the trie goes."""
-        at = at[self.begins[word[at]]]
-        state = self.first[word[at]].astype(np.int64)
-        for k in range(LONGEST):
-            if k:
-                on = joined[at + k - 1]
-                at, state = at[on], state[on]
-                w = word[at + k]
-                code = np.where(w >= 0, self.code[w], -1)
-                on = code >= 0
-                at, state = at[on], self._word(state[on], code[on])
-                on = state >= 0
-                at, state = at[on], state[on]
-            self.held.append(state)
-            self.size += len(state)
-        if self.size > HELD:
-            self.sum()
-
-    def sum(self) -> np.ndarray:
-        if self.held:
-            self.counts += np.bincount(np.concatenate(self.held), minlength=len(self.counts))
-            self.held, self.size = [], 0
-        return self.counts
-
-
-_SHARD = "block int, chunk int, nodes binary, counts binary, lang string, n bigint"
-
-
-def _advance(shared: list, totals: bool):
-    """Count the states that word positions reach, in chunks of CHUNK states, and the words of each language."""
+    root = lambda x: np.zeros(len(x), dtype=np.int64)
+    single = _words_on(trie, root(a), rank[a])
+    double = _words_on(trie, _words_on(trie, root(left), rank[left]), rank[right])
+    triple = _words_on(trie, double[inner], rank[third])
+    counts = np.zeros(len(trie.check), dtype=np.int64)
+    for state, n in ((single, n1), (double, n2), (triple, n3)):
+        counts += np.bincount(state[state >= 0], n[state >= 0], len(counts)).astype(np.int64)
+    return counts[trie.node]
+
+
+def _sieved(keys: np.ndarray, n: np.ndarray, least: int) -> np.ndarray:
+    """Which keys may reach ``least``: sums of the counts that share a hash of 22 bits."""
+    at = (mix(keys.astype(np.uint64)) >> np.uint64(42)).astype(np.int64)
+    return np.bincount(at, n, 1 << 22)[at] >= least
+
+
+class _Slice:
+    """The dealt rows of one slice, and the words of languages."""
+
+    def __init__(self) -> None:
+        self.totals: dict[str, int] = {}
+        self.langs: dict[str, int] = {}
+        self.words: list[tuple] = []
+        self.phrases: list[tuple] = []
+        self.size = self.pairs = self.bytes = self.entries = 0
+        self.room = 4 * HELD
+
+    def add(self, langs: list[str], words: list[pa.Buffer], phrases: list[pa.Buffer]) -> None:
+        salts = _salts(pa.array(langs, pa.string()))
+        lang, size = _numbers(words[0]), _numbers(words[1])
+        data = np.frombuffer(words[2], dtype=np.uint8)
+        start = np.cumsum(size, dtype=np.int64) - size
+        h = mix(word_hashes(data, start, start + size) ^ salts[lang])
+        of = np.array([self.langs.setdefault(x, len(self.langs)) for x in langs], dtype=np.int32)
+        a, n1, left, right, n2, inner, third, n3 = map(_numbers, phrases)
+        self._hold((h, of[lang], start + self.bytes, size, data), (a + self.size, n1, left + self.size, right + self.size, n2, inner + self.pairs, third + self.size, n3))
+        if self.entries > self.room:
+            self.fold()
+
+    def _hold(self, words: tuple, phrases: tuple) -> None:
+        self.words.append(words)
+        self.phrases.append(phrases)
+        self.size += len(words[0])
+        self.bytes += len(words[4])
+        self.pairs += len(phrases[4])
+        self.entries += len(words[0]) + len(phrases[4]) + len(phrases[7])
+
+    def _taken(self) -> tuple[tuple, tuple]:
+        """All that is held, with each word once; nothing is held any more."""
+        columns = [list(x) for x in (*zip(*self.words), *zip(*self.phrases))]
+        self.words, self.phrases = [], []
+        self.size = self.pairs = self.bytes = self.entries = 0
+        h, lang, start, size, data, a, n1, left, right, n2, inner, third, n3 = (np.concatenate(columns.pop(0)) for _ in range(13))
+        h, first, place, _ = _distinct(h, 64)
+        return (h, lang[first], start[first], size[first], data), (place[a], n1, place[left], place[right], n2, inner, place[third], n3)
+
+    def fold(self) -> None:
+        """Add equal phrases up, so that a common pair does not fill memory with each task's rows of it."""
+        (h, lang, start, size, data), (a, n1, left, right, n2, inner, third, n3) = self._taken()
+        wide = np.int64(len(h))
+        bits = 2 * int(wide).bit_length()
+        added = lambda place, n: np.bincount(place, n).astype(np.int64)
+        a, _, place, _ = _distinct(a.astype(np.int64), bits)
+        n1 = added(place, n1)
+        pairs, _, of, _ = _distinct(left * wide + right, bits)
+        n2 = added(of, n2)
+        triples, _, place, _ = _distinct(of[inner] * wide + third, bits + 32)
+        n3 = added(place, n3)
+        a, pairs, triples = (x.astype(np.int64) for x in (a, pairs, triples))
+        self._hold((h, lang, np.cumsum(size, dtype=np.int64) - size, size, _gather(data, start, size)), (a.astype(np.int32), n1, *(x.astype(np.int32) for x in (pairs // wide, pairs % wide)), n2, *(x.astype(np.int32) for x in (triples // wide, triples % wide)), n3))
+        self.room = max(self.room, 2 * self.entries)
+
+    def counted(self, least: int, block: int) -> Iterator[pa.RecordBatch]:
+        """(lang, phrase, n_words, f, pair) of the frequent words and phrases; n_words 0: the words of the language.
+
+        ``pair``: the count of a triple's first pair; of a pair, that of the most frequent triple which begins with it.
+        """
+        for lang, n in self.totals.items():
+            yield _named(pa.array([lang], pa.string()), pa.nulls(1, pa.string()), 0, np.array([n]))
+        if not self.words:
+            return
+        (h, lang, start, size, data), (a, n1, left, right, n2, inner, third, n3) = self._taken()
+        wide = np.int64(len(h))
+        # phrases that may be frequent
+        on = _sieved(a, n1, least)
+        a, n1 = a[on], n1[on]
+        keys = left * wide + right
+        on = _sieved(keys, n2, least)
+        pairs, _, of, _ = _distinct(keys[on], 2 * int(wide).bit_length())
+        pairs = pairs.astype(np.int64)
+        place = np.full(len(keys), -1, dtype=np.int32)
+        place[on] = of
+        left, right, n2 = left[on], right[on], n2[on]
+        renamed = np.cumsum(on, dtype=np.int32) - 1
+        on = place[inner] >= 0
+        inner, third, n3 = inner[on], third[on], n3[on]
+        keys = place[inner] * wide + third
+        on = _sieved(keys, n3, least)
+        inner, third, n3 = renamed[inner[on]], third[on], n3[on]
+        triples = np.unique(keys[on])
+        words = np.unique(a)
+        sequences = np.full((len(words) + len(pairs) + len(triples), LONGEST), -1, dtype=np.int64)
+        sequences[: len(words), 0] = words
+        sequences[len(words) :, 0] = np.r_[pairs // wide, pairs[triples // wide] // wide]
+        sequences[len(words) :, 1] = np.r_[pairs % wide, pairs[triples // wide] % wide]
+        sequences[len(words) + len(pairs) :, 2] = triples % wide
+        # tries of about half a block at most: words by themselves, triples with their pair
+        tries = max(1, -(-2 * len(sequences) // block))
+        by = lambda x: (mix(x.astype(np.uint64)) % np.uint64(tries)).astype(np.int64)
+        trie_of = np.r_[by(words), by(pairs), by(pairs[triples // wide])]
+        of1, of2 = by(a), by(left * wide + right)
+        of3 = of2[inner]
+        f = np.zeros(len(sequences), dtype=np.int64)
+        local = np.full(wide, -1, dtype=np.int64)
+        for t in range(tries):
+            some = np.flatnonzero(trie_of == t)
+            if not len(some):
+                continue
+            one, two, three = of1 == t, of2 == t, of3 == t
+            rows = sequences[some]
+            numbers = np.unique(rows[rows >= 0])
+            local[numbers] = np.arange(len(numbers))
+            phrases = (local[a[one]], n1[one], local[left[two]], local[right[two]], n2[two], (np.cumsum(two) - 1)[inner[three]], local[third[three]], n3[three])
+            f[some] = _trie_counts(np.where(rows >= 0, local[rows], -1), phrases)
+        frequent = f >= least
+        f1, f2, f3 = np.split(f, [len(words), len(words) + len(pairs)])
+        longer = np.zeros(len(pairs), dtype=np.int64)
+        held = triples[f3 >= least] // wide
+        if len(held):
+            longer[held[_edges(held)]] = np.maximum.reduceat(f3[f3 >= least], _edges(held))
+        # a space before the words' bytes joins them
+        data, start = np.r_[np.uint8(0x20), data], start + 1
+        names = pa.array(list(self.langs), pa.string())
+        at = 0
+        for k, n, known in ((1, f1, None), (2, f2, longer), (3, f3, f2[triples // wide])):
+            rows = np.flatnonzero(frequent[at : at + len(n)])
+            for some in np.split(rows, range(CUT, len(rows), CUT)):
+                if len(some):
+                    word = sequences[at + some, :k]
+                    known_of = None if known is None else known[some]
+                    yield _named(names.take(pa.array(lang[word[:, 0]])), _phrase_texts(data, start, size, word), k, n[some], known_of)
+            at += len(n)
+
+
+_NAMED = "lang string, phrase string, n_words int, f bigint, pair bigint"
+
+
+def _named(langs: pa.Array, phrases: pa.Array, k: int, f: np.ndarray, pair: np.ndarray | None = None) -> pa.RecordBatch:
+    known = pa.nulls(len(f), pa.int64()) if pair is None else pa.array(pair, mask=pair == 0)
+    return pa.record_batch([langs, phrases, pa.array(np.full(len(f), k, dtype=np.int32)), pa.array(f), known], names=["lang", "phrase", "n_words", "f", "pair"])
+
+
+def _count_slices(least: int, block: int):
+    """Dealt rows, sorted by slice, to what :meth:`_Slice.counted` gives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (np.uint64, np.int32, np.int32, np.int32)
-        arrays = {b: [np.frombuffer(x, dtype=t) for x, t in zip(trie.value, kinds)] for b, trie in shared}
-        every = np.unique(np.concatenate([a[0] for a in arrays.values()]))
-        sieve = np.zeros(1 << 24, dtype=bool)
-        sieve[every >> np.uint64(40)] = True
-        counters = {b: _Counter(every, *a) for b, a in arrays.items()}
-        n: dict[str, int] = {}
+        current, held = None, _Slice()
         for batch in batches:
-            langs = batch.column("lang").to_pylist() if totals else []
-            for _, row, _, _, h, joined in _tokens(batch):
-                if totals:
-                    for r, m in zip(*np.unique(row, return_counts=True)):
-                        n[langs[r]] = n.get(langs[r], 0) + int(m)
-                at = np.flatnonzero(sieve[h >> np.uint64(40)])
-                near = np.minimum(np.searchsorted(every, h[at]), len(every) - 1)
-                hit = every[near] == h[at]
-                at = at[hit]
-                word = np.full(len(h), -1, dtype=np.int64)
-                word[at] = near[hit]
-                for c in counters.values():
-                    c.advance(word, at, joined)
-        for b, c in counters.items():
-            c.sum()
-            for chunk, a in enumerate(range(0, len(c.counts), CHUNK)):
-                some = c.counts[a : a + CHUNK]
-                full = np.flatnonzero(some)
-                if len(full):
-                    yield _shard(b, chunk, full.astype(np.uint16).tobytes(), some[full].tobytes(), None, None)
-        for lang, m in n.items():
-            yield _shard(-1, 0, None, None, lang, m)
+            for s, langs, words, phrases, n in zip(*(batch.column(c) for c in ("slice", "langs", "words", "phrases", "n"))):
+                if s.as_py() != current:
+                    yield from held.counted(least, block)
+                    current, held = s.as_py(), _Slice()
+                langs = langs.as_py()
+                if n.as_py() is None:
+                    held.add(langs, *([x.as_buffer() for x in c.values] for c in (words, phrases)))
+                else:
+                    held.totals[langs[0]] = held.totals.get(langs[0], 0) + n.as_py()
+        yield from held.counted(least, block)
 
     return run
 
 
-def _shard(*values) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.string(), pa.int64())
-    return pa.record_batch([pa.array([v], t) for v, t in zip(values, kinds)], names=["block", "chunk", "nodes", "counts", "lang", "n"])
-
-
-def _sum_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by block and chunk to (block, node, f)."""
-    current, total = None, np.zeros(CHUNK, dtype=np.int64)
-
-    def out():
-        full = np.flatnonzero(total)
-        return pa.record_batch([pa.array(np.full(len(full), current[0], dtype=np.int32)), pa.array((full + current[1] * CHUNK).astype(np.int32)), pa.array(total[full])], names=["block", "node", "f"])
-
-    for batch in batches:
-        for block, chunk, nodes, counts in zip(*(batch.column(c) for c in ("block", "chunk", "nodes", "counts"))):
-            if current != (block.as_py(), chunk.as_py()):
-                if current:
-                    yield out()
-                current, total = (block.as_py(), chunk.as_py()), np.zeros(CHUNK, dtype=np.int64)
-            total[np.frombuffer(nodes.as_buffer(), dtype=np.uint16)] += np.frombuffer(counts.as_buffer(), dtype=np.int64)
-    if current:
-        yield out()
-
-
 def phrase_counts(docs: DataFrame, least: int = LEAST, bitmap: int = BITMAP, block: int = PHRASES, together: int = TOGETHER) -> tuple[DataFrame, DataFrame]:
-    """(lang, phrase, n_words, f) of every phrase of 2 or 3 words with f >= ``least`` and of all their words, and (lang, n)."""
+    """(lang, phrase, n_words, f, pair) of every word and phrase of 2 or 3 words with f >= ``least`` (see :meth:`_Slice.counted`), and (lang, n)."""
     spark = docs.sparkSession
     sc = spark.sparkContext
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
     shared: list = []
-    owned = np.zeros(1 << (bitmap - 3), dtype=np.uint8)
-    for k in range(1, LONGEST + 1):
-        frequent, of = _bitmaps(texts, shared, least, bitmap)
-        if k > 1:
-            owned |= of
-        if k < LONGEST:
-            shared.append(sc.broadcast(frequent))
-    owners = sc.broadcast(owned)
-    read = _read_phrases(shared, owners, _slice_bits(texts, bitmap))
-    found = stage(map_arrow(texts, read, "lang string, phrase string").distinct(), "colloc-candidates")
-    for b in (*shared, owners):
+    for _ in range(2):
+        frequent, seen = _bitmap(texts, shared, least, bitmap)
+        shared.append(sc.broadcast(frequent))
+    slices = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-seen // (block * together)))
+    dealt = map_arrow(texts, _deal(shared, slices), _DEALT).repartition("slice").sortWithinPartitions("slice")
+    named = stage(map_arrow(dealt, _count_slices(least, block), _NAMED), "colloc-named")
+    for b in shared:
         b.destroy()
-    every = found.select("lang", "phrase").union(found.select("lang", F.explode(F.split("phrase", " ")).alias("phrase"))).distinct()
-    every = stage(every, "colloc-phrases")
-    blocks = max(1, -(-2 * every.count() // block))
-    first = F.substring_index("phrase", " ", 1)
-    many = every.groupBy("lang", first.alias("first")).count().filter(F.col("count") > block // 16).select("lang", "first", F.lit(True).alias("many"))
-    dealt = every.withColumn("first", first).join(many, ["lang", "first"], "left")
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("lang", F.when(F.col("many"), F.col("phrase")).otherwise(F.col("first"))), F.lit(blocks)).cast("int"))
-    tries = stage(dealt.select("block", "lang", "phrase").groupBy("block").applyInArrow(_build, _TRIE_SQL), "colloc-tries")
-    present = sorted(r["block"] for r in tries.filter("node = -1").select("block").collect())
-    counts = spark.createDataFrame([], "block int, node int, f bigint")
-    totals = spark.createDataFrame([], "lang string, n bigint")
-    for at in range(0, len(present), together):
-        now = []
-        for b in present[at : at + together]:
-            arrays = tries.filter((F.col("block") == b) & (F.col("node") == -1)).select("arrays").first()[0]
-            now.append((b, sc.broadcast([bytes(a) for a in arrays])))
-        shards = stage(map_arrow(texts, _advance(now, at == 0), _SHARD), "colloc-shards")
-        if at == 0:
-            totals = shards.filter("block < 0").groupBy("lang").agg(F.sum("n").alias("n"))
-        near = shards.filter("block >= 0").select("block", "chunk", "nodes", "counts").repartition("block", "chunk").sortWithinPartitions("block", "chunk")
-        counts = counts.unionByName(map_arrow(near, _sum_shards, "block int, node int, f bigint"))
-        for _, trie in now:
-            trie.destroy()
-    named = tries.filter("node >= 0").select("block", "node", "lang", "phrase").join(counts, ["block", "node"])
-    named = named.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("n_words"), "f")
-    return stage(named.filter((F.col("n_words") == 1) | (F.col("f") >= least)), "colloc-named"), totals
+    return named.filter("n_words > 0"), named.filter("n_words = 0").select("lang", F.col("f").alias("n"))
 
 
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, inside: int = INSIDE, salts: int = SALTS, **kw) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's first ``top`` phrases by their weakest cut."""
     counts, totals = phrase_counts(docs, least, **kw)
-    phrases = counts.filter("n_words > 1").select("lang", "phrase", "n_words", F.col("f").alias("a"))
-    cuts = phrases.select("*", F.explode(F.sequence(F.lit(1), F.col("n_words") - 1)).alias("k"))
-    cuts = cuts.select("*", F.expr("substring_index(phrase, ' ', k)").alias("first"), F.expr("substring_index(phrase, ' ', k - n_words)").alias("rest"))
-    left = counts.select("lang", F.col("phrase").alias("first"), F.col("f").alias("l"))
-    right = counts.select("lang", F.col("phrase").alias("rest"), F.col("f").alias("r"))
-    cuts = cuts.join(left, ["lang", "first"]).join(right, ["lang", "rest"])
+    phrase = lambda k: counts.filter(f"n_words = {k}").withColumnRenamed("f", "a")
+
+    def look_up(rows: DataFrame, text: str, k: int, name: str) -> DataFrame:
+        """``rows`` with the count of the ``k`` words ``text``; sorted by a hash, which is quicker than by texts."""
+        known = counts.filter(f"n_words = {k}").select(F.xxhash64("lang", "phrase").alias("key"), "lang", F.col("phrase").alias("of"), F.col("f").alias(name))
+        return rows.withColumns({"of": F.expr(text), "key": F.xxhash64("lang", F.expr(text))}).join(known, ["key", "lang", "of"]).drop("key", "of")
+
+    rest = "substring_index(phrase, ' ', -2)"
+    triples = look_up(phrase(3), rest, 2, "r1")
+    # pairs inside of a longer phrase: known of triples that begin with the pair, joined of those that end with it
+    ends = phrase(3).select("lang", F.expr(rest).alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
+    ends = ends.select(F.xxhash64("lang", "phrase").alias("key"), "lang", "phrase", "longer")
+    alone = lambda c: F.coalesce(100 * F.col(c) < inside * F.col("a"), F.lit(True))
+    pairs = phrase(2).filter(alone("pair")).withColumn("key", F.xxhash64("lang", "phrase"))
+    pairs = pairs.join(ends, ["key", "lang", "phrase"], "left").filter(alone("longer")).drop("key", "longer").withColumn("r1", F.lit(None).cast("long"))
+    both = look_up(pairs.unionByName(triples), "substring_index(phrase, ' ', 1)", 1, "l1")
+    both = look_up(both, "substring_index(phrase, ' ', -1)", 1, "last")
     wide = lambda c: f"cast({c} as decimal(15, 0))"
-    score = F.expr(f"cast(cast(1000000 as decimal(7, 0)) * {wide('a')} * {wide('a')} as decimal(38, 0)) div cast({wide('l')} * {wide('r')} as decimal(38, 0))")
-    scored = cuts.groupBy("lang", "phrase", "a", "n_words").agg(F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("cut"))
-    longer = phrases.filter("n_words = 3").select("lang", F.explode(F.expr("array(substring_index(phrase, ' ', 2), substring_index(phrase, ' ', -2))")).alias("phrase"), F.col("a").alias("f"))
-    longer = longer.groupBy("lang", "phrase").agg(F.max("f").alias("longer"))
-    kept = scored.join(longer, ["lang", "phrase"], "left").filter(F.coalesce(100 * F.col("longer") < inside * F.col("a"), F.lit(True)))
-    kept = kept.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
+    score = lambda l, r: f"cast(cast(1000000 as decimal(7, 0)) * {wide('a')} * {wide('a')} as decimal(38, 0)) div cast({wide(l)} * {wide(r)} as decimal(38, 0))"  # noqa: E731, E741
+    cut = lambda k, l, r: f"named_struct('score', {score(l, r)}, 'k', {k}, 'l', {l}, 'r', {r})"  # noqa: E731, E741
+    both = both.withColumn("cut", F.expr(f"if(n_words = 2, {cut(1, 'l1', 'last')}, least({cut(1, 'l1', 'r1')}, {cut(2, 'pair', 'last')}))"))
+    kept = both.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
     best = (F.col("score").desc(), F.col("a").desc(), F.col("phrase"))
     part = W.partitionBy("lang", "salt").orderBy(*best)
     kept = kept.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(salts))).withColumn("rank", F.row_number().over(part)).filter(F.col("rank") <= top)

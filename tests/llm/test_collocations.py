@@ -6,6 +6,7 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from subledger.llm import collocations as m
@@ -68,6 +69,44 @@ def test_small_runs_in_tasks(spark, monkeypatch):
     assert rows(m.collocations(df, least=3)) == brute(docs, least=3)
 
 
+def test_texts_are_read_three_times_however_many_the_candidates(spark, monkeypatch):
+    reads, real = [], m.map_arrow
+    monkeypatch.setattr(m, "map_arrow", lambda df, run, schema: (reads.append("text" in df.columns), real(df, run, schema))[1])
+    docs = [("en", " ".join(f"w{i * j % 311}" for j in range(400))) for i in range(40)]
+    assert rows(m.collocations(spark.createDataFrame(docs, "lang string, text string"), block=40, together=2)) == brute(docs)
+    assert sum(reads) == 3
+
+
+def test_common_pair_is_folded_in_its_slice(monkeypatch):
+    monkeypatch.setattr(m, "HELD", 60)
+    full = type("Shared", (), {"value": np.full(1 << 9, 255, dtype=np.uint8)})
+    docs = [("en", f"of the w{i % 90}") for i in range(1500)] + [("de", "of the w1")] * 300
+    folds, real = [], m._Slice.fold
+    monkeypatch.setattr(m._Slice, "fold", lambda self: (folds.append(self.entries), real(self)))
+    table = pa.table({"lang": [x for x, _ in docs], "text": [x for _, x in docs]})
+    dealt = [b for b in m._deal([full, full], 1)(iter(table.to_batches(max_chunksize=50)))]
+    assert {r["slice"] for b in dealt for r in b.to_pylist()} == {0}
+    got = Counter()
+    for b in m._count_slices(10, 64)(iter(dealt)):
+        for r in b.to_pylist():
+            assert (r["lang"], r["phrase"]) not in got
+            got[r["lang"], r["phrase"]] = r["f"]
+    want = Counter()
+    for lang, text in docs:
+        w = text.split()
+        want.update((lang, " ".join(w[i : i + k])) for k in (1, 2, 3) for i in range(4 - k))
+        want[lang, None] += len(w)
+    assert len(folds) > 1
+    assert got == {p: n for p, n in want.items() if n >= 10}
+
+
+def test_distinct_keys_that_differ_in_their_last_bits():
+    keys = np.array([5, 4, 5, 1 << 63, 4, 6, (1 << 63) + 1, 5], dtype=np.uint64)
+    found, first, place, n = m._distinct(keys, 64)
+    assert found.tolist() == [4, 5, 6, 1 << 63, (1 << 63) + 1] and n.tolist() == [2, 3, 1, 1, 1]
+    assert (keys[first] == found).all() and (found[place] == keys).all()
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([("en", "one"), (None, None)], "lang string, text string")
     assert m.collocations(df).collect() == [] == m.collocations(df.limit(0)).collect()
