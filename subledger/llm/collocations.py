@@ -213,7 +213,7 @@ def _bitmap(texts: DataFrame, shared: list, least: int, bitmap: int) -> tuple[np
     marked = map_arrow(counted.repartition("slice").sortWithinPartitions("slice"), _mark(least, slice_bits, bitmap), "slice int, bits binary, seen bigint")
     out, seen = np.zeros(1 << (bitmap - 3), dtype=np.uint8), 0
     width = 1 << (bitmap - slice_bits - 3)
-    for r in marked.toLocalIterator():
+    for r in marked.collect():  # of the bitmap's size; an iterator would run the tasks one by one
         out[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
         seen += r["seen"]
     return out, seen
